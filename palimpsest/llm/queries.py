@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontamination
 from .packing import op7_packing
 from .token_ids import op3_token_ids
 
@@ -13,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_token_ids, op7_packing]
+    found = [op1_decontamination, op3_token_ids, op7_packing]
     return {f.__name__: f for f in found}
 
 
