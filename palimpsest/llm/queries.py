@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
 from .packing import op7_packing
+from .secrets import op4_secrets
 from .token_ids import op3_token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op3_token_ids, op7_packing]
+    found = [op1_decontamination, op3_token_ids, op4_secrets, op7_packing]
     return {f.__name__: f for f in found}
 
 
