@@ -50,12 +50,18 @@ def trigrams(literal: str) -> list[str]:
     return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
 
 
+def any_trigram(asked: list[str]) -> str:
+    """A regular expression that finds, at each place, the trigram that starts there if it is asked for."""
+    quoted = lambda x: "".join(f"\\{c}" if not c.isalnum() else c for c in x)
+    by_first = {c: [t[1:] for t in asked if t[0] == c] for c in sorted({t[0] for t in asked})}
+    return "(?=(" + "|".join(f"{quoted(c)}(?:{'|'.join(map(quoted, rest))})" for c, rest in by_first.items()) + "))"
+
+
 def trigram_postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, text_key) over lower-cased texts, of the trigrams that rules ask for."""
     asked = sorted({t for r in rules for literal in r.literals for t in trigrams(literal)})
-    lower = texts.select(F.xxhash64("text").alias("text_key"), F.lower("text").alias("lower")).filter(F.length("lower") > 2)
-    held = F.array_compact(F.array(*[F.when(F.contains("lower", F.lit(t)), F.lit(t)) for t in asked]))
-    return lower.select("text_key", held.alias("held")).filter(F.size("held") > 0).distinct().select(F.explode("held").alias("trigram"), "text_key")
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_trigram(asked)), F.lit(1)))
+    return texts.select(F.xxhash64("text").alias("text_key"), held.alias("held")).filter(F.size("held") > 0).distinct().select(F.explode("held").alias("trigram"), "text_key")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
