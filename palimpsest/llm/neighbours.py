@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-N_PIVOTS, LISTED, SHARE, BLOCK, QUERIES = 128, 16, 0.15, 8_192, 4_096
+N_PIVOTS, LISTED, SHARE, BLOCK, QUERIES = 128, 64, 0.15, 8_192, 4_096
 
 
 def usable(vectors: DataFrame) -> DataFrame:

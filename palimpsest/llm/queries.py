@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
+from .near_dups import op2_near_duplicates
 from .neighbours import op10_neighbours
 from .packing import op7_packing
 from .secrets import op4_secrets
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op3_token_ids, op4_secrets, op7_packing, op10_neighbours]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op7_packing, op10_neighbours]
     return {f.__name__: f for f in found}
 
 
