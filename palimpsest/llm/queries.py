@@ -12,12 +12,13 @@ from .neighbours import op10_neighbours
 from .packing import op7_packing
 from .secrets import op4_secrets
 from .token_ids import op3_token_ids
+from .toxicity import op9_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op7_packing, op10_neighbours]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op7_packing, op9_toxicity, op10_neighbours]
     return {f.__name__: f for f in found}
 
 
