@@ -45,11 +45,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, here, counts = encoder(tokenizer).ids, TaskContext.get().partitionId(), dict[int, int]()
+        ids_of, here, counts = encoder(tokenizer).ids_of, TaskContext.get().partitionId(), dict[int, int]()
         for doc_ids, texts in in_batches(2, 1, batches):
             out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(doc_ids, texts):
-                held = memoryview(ids(text or "") + end)
+            for doc_id, ids in zip(doc_ids, ids_of([t or "" for t in texts])):
+                held = memoryview(ids + end)
                 n, start = len(held) >> 2, 0
                 for length in binary_lengths(n, longest):
                     piece = held[4 * start : 4 * (start + length)]

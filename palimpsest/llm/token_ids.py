@@ -35,9 +35,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at, here = encoder(tokenizer).ids, 0, TaskContext.get().partitionId()
+        ids_of, at, here = encoder(tokenizer).ids_of, 0, TaskContext.get().partitionId()
         for doc_ids, texts in in_batches(2, 1, batches):
-            rows = [ids(t or "") + end for t in texts]
+            rows = [ids + end for ids in ids_of([t or "" for t in texts])]
             sizes = np.array([len(r) >> 2 for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
@@ -57,15 +57,16 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows with start, the number of ids of all documents before.
+    """The stored rows with start, the number of ids of all documents before."""
+    return with_starts(spark.read.schema(STORED).orc(path))
 
-    Each file's total comes from two narrow columns, and only one number per file is carried over.
-    """
-    stored = spark.read.schema(STORED).orc(path)
-    totals = stored.groupBy("range").agg(F.max(F.col("begins") + F.col("n_tokens")).alias("total"))
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Adds start from range, begins and n_tokens, and drops the first two: one number per file is carried over."""
+    totals = rows.groupBy("range").agg(F.max(F.col("begins") + F.col("n_tokens")).alias("total"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return stored.join(bases, "range").select("doc_id", (F.col("base") + F.col("begins")).alias("start"), "n_tokens", "tokens")
+    return rows.join(bases, "range").withColumn("start", F.col("base") + F.col("begins")).drop("range", "begins", "base")
 
 
 def token_checksums(rows: DataFrame) -> DataFrame:
@@ -89,4 +90,4 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = work_folder(spark)
     write_token_ids(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_checksums(read_token_ids(spark, path))
+    return with_starts(token_checksums(spark.read.schema(STORED).orc(path))).select("doc_id", "start", "n_tokens", "ids_crc32")
