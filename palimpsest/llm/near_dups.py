@@ -150,14 +150,14 @@ def crossing_pairs(posted: DataFrame, classes: DataFrame, roots: DataFrame) -> D
     return keyed.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows of each key, from batches sorted by it."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
+    """Tables of the rows of each key (non-null integers), from batches sorted by it."""
     held: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]) if held is not None else table
-        keys = table.column(key).to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys = [table.column(k).to_numpy() for k in key]
+        cuts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else []
         for begin, end in zip(cuts[:-1], cuts[1:]):
             yield table.slice(begin, end - begin)
         held = table.slice(cuts[-1]) if len(cuts) else None

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chaining import op8_substring_dups
 from .decontaminate import op1_decontamination
 from .html_text import op6_html_text
 from .language import op5_language
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op9_toxicity, op10_neighbours]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours]
     return {f.__name__: f for f in found}
 
 
