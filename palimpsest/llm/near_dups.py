@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, read, stored, to_batch
@@ -32,6 +32,8 @@ from .components import components
 
 WIDTH, PERCENT = 5, 85
 COORDINATES, MATCHES, LIST_BLOCK = 32, 14, 1_024
+#: Most ids of dropped rows that are sent to every executor; more are joined by a shuffle.
+GONE_SENT = 1_000_000
 _ODD = np.random.default_rng(20_240_501).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -212,3 +214,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_key")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the rows that repeat another: of each component the least id stays, and of rows equal in id
+    and text one. An id stays if any of its rows is kept; a row without an id stays."""
+    judged = stored(near_duplicates(docs.select("doc_id", "text")))
+    ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = stored(ids.filter("not kept").select("doc_id"))
+    left = docs.join(F.broadcast(gone) if gone.count() <= GONE_SENT else gone, "doc_id", "left_anti").select(docs.columns)
+    if ids.filter("kept and n > 1").limit(1).count():
+        one = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(0))
+        again = left.filter("doc_id is not null").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
+        left = again.unionByName(left.filter("doc_id is null"))
+    return left

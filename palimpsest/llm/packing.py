@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, read, stored, to_batch
+from .common import in_batches, read, stored
 from .encoding import encoder
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("split", pa.int32()), ("nth", pa.int64())]
@@ -41,24 +41,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    schema = pa.schema(PIECE + [("tokens", pa.list_(pa.int32()))] * with_tokens)
+    names = [name for name, _ in PIECE] + ["tokens"] * with_tokens
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, here, counts = encoder(tokenizer).ids_of, TaskContext.get().partitionId(), dict[int, int]()
         for doc_ids, texts in in_batches(2, 1, batches):
-            out: list[list] = [[] for _ in schema]
-            for doc_id, ids in zip(doc_ids, ids_of([t or "" for t in texts])):
-                held = memoryview(ids + end)
-                n, start = len(held) >> 2, 0
+            out: list[list] = [[] for _ in PIECE]
+            held = [ids + end for ids in ids_of([t or "" for t in texts])]
+            for doc_id, ids in zip(doc_ids, map(memoryview, held)):
+                n, start = len(ids) >> 2, 0
                 for length in binary_lengths(n, longest):
-                    piece = held[4 * start : 4 * (start + length)]
                     nth = counts[length] = counts.get(length, -1) + 1
-                    row = [doc_id, start, length, zlib.crc32(piece), n, here, nth]
-                    for column, value in zip(out, row + [np.frombuffer(piece, "<i4")] * with_tokens):
+                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
+                    for column, value in zip(out, (doc_id, start, length, crc, n, here, nth)):
                         column.append(value)
                     start += length
-            yield to_batch(schema, out)
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(out, PIECE)]
+            if with_tokens:
+                offsets = np.concatenate([[0], np.cumsum(out[2])])
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SQL + ", tokens array<int>" * with_tokens))
     counts = pieces.groupBy("length", "split").agg(F.count("*").alias("n"))
