@@ -7,11 +7,12 @@ them with a chance below 1e-8.
 
 Classes are posted under (coordinate, value). Pairs with MATCHES common postings must meet in a
 class's `held - MATCHES + 1` rarest shared postings, so only those prefixes are joined, and values
-of one class post nothing. First each posting list is linked to its least class, the best two links
-of each class are confirmed on full sets, and components are formed. Then, in lists that still span
-several components, the pairs across components are counted over whole signatures, skipping pairs
-that the first round joined or whose sizes rule them out; those with MATCHES are confirmed on full
-sets. A long list is compared in blocks, so no task gets a whole one. No pair is lost to a cap.
+of one class post nothing. In each list the agreeing coordinates of whole signatures are counted,
+pairs whose sizes rule them out are skipped, and pairs with MATCHES are alike. The components of
+alike classes are families; inside each the pairs are confirmed on full sets, again by counting over
+inverted lists. Long lists and large families are compared in pairs of blocks, so no task gets a
+whole one, and each comparison returns a forest of its links, so rows stay in proportion to classes
+while no link between components is lost.
 
 Null or blank text has an empty set, linked with nothing. Each row follows its own text; a row
 without an id has no component and is kept.
@@ -24,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches, read, stored, to_batch
 from .components import components
 
 WIDTH, PERCENT = 5, 85
-COORDINATES, MATCHES, LIST_BLOCK = 32, 14, 1_024
-#: Most ids of dropped rows that are sent to every executor; more are joined by a shuffle.
-GONE_SENT = 1_000_000
+COORDINATES, MATCHES, LIST_BLOCK, SET_BLOCK = 32, 14, 1_024, 512
+#: Most ids that are sent to every executor; more are joined by a shuffle.
+IDS_SENT = 1_000_000
 _ODD = np.random.default_rng(20_240_501).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -95,11 +96,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
-def sized(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be as similar as asked."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
 def postings(classes: DataFrame) -> DataFrame:
     """(coordinate, value, rep, n): each class under its rarest shared coordinate values."""
     each = classes.select("rep", "n", F.posexplode("sig").alias("coordinate", "value"))
@@ -109,47 +105,115 @@ def postings(classes: DataFrame) -> DataFrame:
     return held.filter(F.size("held") >= MATCHES).select("rep", "n", F.explode(prefix).alias("p")).select("p.coordinate", "p.value", "rep", "n")
 
 
-def star_pairs(posted: DataFrame) -> DataFrame:
-    """(a, b): each class with the least class of its lists; of these the two that it meets most often."""
-    least = posted.groupBy("coordinate", "value").agg(F.min(F.struct("rep", "n")).alias("least"))
-    met = posted.join(least, ["coordinate", "value"]).filter((F.col("rep") != F.col("least.rep")) & sized(F.col("n"), F.col("least.n")))
-    counts = met.groupBy(F.col("least.rep").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("n"))
-    best = counts.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, 2).alias("best"))
-    return best.select(F.explode("best.a").alias("a"), "b")
-
-
-def crossing_pairs(posted: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components in one list that agree in MATCHES coordinates."""
-    named = posted.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed_lists = named.groupBy("coordinate", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    here = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    listed = named.join(mixed_lists.select("coordinate", "value", blocks.alias("blocks"), "size"), ["coordinate", "value"]).withColumn("mine", here)
-    cells = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = cells.join(classes.select("rep", "sig"), "rep").select(
-        F.xxhash64("coordinate", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "rep", "n", "root", "sig"
-    )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def in_blocks(rows: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Rows of each group dealt to the cells of its pairs of blocks: cell, left and right (the sides a row is on).
+
+    A group of n rows has ceil(n / size) blocks, so a cell holds about two blocks at most, whatever n.
+    """
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n > 1")
+    blocks = F.ceil(F.col("__n") / size).cast("int")
+    dealt = rows.join(sizes.select(*group, blocks.alias("__blocks")), group).withColumn("__mine", F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
+    cells = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    cell = F.xxhash64(*group, F.least("__mine", "__other"), F.greatest("__mine", "__other"))
+    return cells.withColumn("cell", cell).withColumn("left", F.col("__mine") <= F.col("__other")).withColumn("right", F.col("__mine") >= F.col("__other"))
+
+
+def forest(n: int, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """(root, node) for every node of a graph of n nodes with edges u - v but the roots: its components in few edges."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(u.tolist(), v.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [(find(x), x) for x in range(n) if find(x) != x]
+
+
+def _edges(compare):
+    """Links of each cell as the edges of a forest; compare(cell, rows on the left, rows on the right) yields index pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
         for cell in sorted_groups(batches, "cell"):
             if cell.num_rows < 2:
                 continue
-            left, right, rep, n, root = (cell.column(c).to_numpy() for c in ("left", "right", "rep", "n", "root"))
-            sig = cell.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            rows = np.flatnonzero(left)
-            for i in range(0, len(rows), 128):
-                x, y = rows[i : i + 128], np.flatnonzero(right)
-                fits = (root[x, None] != root[None, y]) & (100 * np.minimum(n[x, None], n[None, y]) >= PERCENT * np.maximum(n[x, None], n[None, y]))
-                p, q = np.nonzero(fits)
-                for j in range(0, len(p), 200_000):
-                    u, v = x[p[j : j + 200_000]], y[q[j : j + 200_000]]
-                    kept = (sig[u] == sig[v]).sum(axis=1) >= MATCHES
-                    u, v = rep[u[kept]], rep[v[kept]]
-                    if len(u):
-                        yield to_batch(schema, [np.minimum(u, v), np.maximum(u, v)])
-
-    return keyed.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
+            left, right, rep = (cell.column(c).to_numpy() for c in ("left", "right", "rep"))
+            found = [f for f in compare(cell, np.flatnonzero(left), np.flatnonzero(right)) if len(f[0])]
+            if found:
+                u, v = (np.concatenate(x) for x in zip(*found))
+                out += [(int(rep[x]), int(rep[y])) for x, y in forest(len(rep), u, v)]
+        a, b = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _fits(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n[x][:, None], n[y][None]) >= PERCENT * np.maximum(n[x][:, None], n[y][None])
+
+
+def _by_signature(cell: pa.Table, left: np.ndarray, right: np.ndarray):
+    n = cell.column("n").to_numpy()
+    sig = cell.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    if len(n) == 2:
+        if 100 * n.min() >= PERCENT * n.max() and (sig[0] == sig[1]).sum() >= MATCHES:
+            yield np.array([0]), np.array([1])
+        return
+    for i in range(0, len(left), 64):
+        x = left[i : i + 64]
+        counts = np.zeros((len(x), len(right)), np.int16)
+        for k in range(COORDINATES):
+            counts += sig[x, k][:, None] == sig[right, k][None]
+        p, q = np.nonzero((counts >= MATCHES) & _fits(n, x, right))
+        yield x[p], right[q]
+
+
+def _by_sets(cell: pa.Table, left: np.ndarray, right: np.ndarray):
+    """Full sets: an inverted list of the right side's shingles counts what each set of the left shares with all of them."""
+    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in cell.column("hashes")]
+    n = np.array([len(s) for s in sets])
+    held = np.concatenate([sets[y] for y in right])
+    owner = np.repeat(np.arange(len(right)), n[right])
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    for x in left:
+        low, high = np.searchsorted(held, sets[x], "left"), np.searchsorted(held, sets[x], "right")
+        sizes = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        q = np.flatnonzero(100 * common >= PERCENT * (n[x] + n[right] - common))
+        yield np.full(len(q), x), right[q]
+
+
+def alike(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs that agree in MATCHES coordinates."""
+    cells = in_blocks(posted, ["coordinate", "value"], LIST_BLOCK).select("cell", "left", "right", "rep", "n")
+    signed = cells.join(classes.select("rep", "sig"), "rep").select("cell", "left", "right", "rep", "n", "sig")
+    return signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_signature), "a long, b long").distinct()
+
+
+def linked(families: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs in one family (rep, family) with full sets as similar as asked."""
+    families = stored(families)
+    sent = F.broadcast if families.count() <= IDS_SENT else lambda frame: frame
+    schema = pa.schema([("rep", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in in_batches(2, 1, batches):
+            found = [shingles(t).tobytes() for t in texts]
+            yield to_batch(schema, [ids, [xxhash.xxh128_digest(f) for f in found], found])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent(families.select("rep")), "rep", "left_semi")
+    held = texts.mapInArrow(sets, "rep long, set_key binary, hashes binary")
+    held = held.join(sent(members.join(families, "rep", "left_semi")), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
+    rows = in_blocks(families, ["family"], SET_BLOCK).select("cell", "left", "right", "rep").join(held.select("rep", "hashes"), "rep")
+    return rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_sets), "a long, b long")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
@@ -167,46 +231,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.T
         yield held
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked. members: (rep, set_key)."""
-    pairs = stored(pairs)
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in in_batches(2, 1, batches):
-            found = [shingles(t).tobytes() for t in texts]
-            yield to_batch(schema, [ids, [xxhash.xxh128_digest(f) for f in found], found])
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
-    held = texts.mapInArrow(sets, "doc_id long, set_key binary, hashes binary")
-    held = stored(held.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").select("doc_id", "hashes").distinct())
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, set_key, component_id, kept."""
     signed = stored(signatures(docs))
-    linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    first = linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    worded = signed.filter("n_shingles > 0 and doc_id is not null")
+    first = worded.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(first)
     members = classes.select("rep", "set_key")
     posted = stored(postings(classes))
-    links = stored(confirmed(star_pairs(posted), docs, members))
-    roots = components(links)
-    more = confirmed(crossing_pairs(posted, classes, roots), docs, members)
-    roots = components(links.unionByName(more))
+    near = components(alike(posted, classes))
+    roots = near.select(F.col("id").alias("rep"), F.col("root").alias("family"))
+    families = roots.unionByName(near.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct())
+    roots = components(linked(families, docs, members))
     component = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     out = signed.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -222,7 +258,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     judged = stored(near_duplicates(docs.select("doc_id", "text")))
     ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = stored(ids.filter("not kept").select("doc_id"))
-    left = docs.join(F.broadcast(gone) if gone.count() <= GONE_SENT else gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(F.broadcast(gone) if gone.count() <= IDS_SENT else gone, "doc_id", "left_anti").select(docs.columns)
     if ids.filter("kept and n > 1").limit(1).count():
         one = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(0))
         again = left.filter("doc_id is not null").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
