@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import in_batches, read, stored
 
 MIN_PAGES, HOSTS_SENT = 5, 100_000
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style noscript template textarea title iframe object svg math select".split())
+HIDDEN = set("script style noscript template".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("body main article section div td table center form".split())
 ASIDE = RAW | set("nav footer aside form button menu dialog head".split())
@@ -80,6 +81,11 @@ class Page:
                 if depth:
                     pop(depth)
                 continue
+            if tag in HIDDEN:  # within a block without ending it
+                self.elements[f"{stack[-1][1]}/{tag}"] += 1
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                at = end.end() if end else len(source)
+                continue
             if tag in INLINE:
                 if tag in ("br", "img", "wbr"):
                     parts.append(" " if tag == "br" else "")
