@@ -52,7 +52,8 @@ def censoring_group(rows: DataFrame, stratum: str, least: int, name: str = "cens
 
 def ipcw(rows: DataFrame, group: str, time: str, event: str, horizon: int) -> DataFrame:
     """rows with label (event 1 by the horizon) and weight: 1/G before the event or at the horizon; 0 if censored earlier."""
-    curve = censoring_survival(rows, [group], time, event).select(group, F.col("t").alias("__t"), F.col("g").alias("__g"))
+    grouped = rows.select(F.col(group).alias("__group"), time, event)
+    curve = censoring_survival(grouped, ["__group"], time, event).select(F.col("__group").alias(group), F.col("t").alias("__t"), F.col("g").alias("__g"))
     ended = (F.col(time) <= horizon) & (F.col(event) > 0)
     keyed = rows.withColumn("__at", F.when(ended, F.col(time)).otherwise(F.lit(horizon)))
     before = asof_join(keyed.filter(ended), curve, [group], "__at", "__t", strict=True)
