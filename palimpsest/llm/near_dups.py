@@ -40,10 +40,10 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class _Words(dict):
-    """64-bit hashes of words; emptied when it holds 400,000."""
+    """64-bit hashes of words; emptied when it holds 150,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
