@@ -12,6 +12,7 @@ from .html_text import op6_html_text
 from .language import op5_language
 from .near_dups import op2_near_duplicates
 from .neighbours import op10_neighbours
+from .oracles import ORACLES
 from .packing import op7_packing
 from .secrets import op4_secrets
 from .token_ids import op3_token_ids
@@ -26,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
