@@ -1,7 +1,7 @@
 """Exact token ids of whole texts, with the encodings of repeated words kept.
 
-Both public byte-pair tokenizers start a new pre-token at a space that stands between two
-characters that are not white space, and between letters and a comma or full stop that ends them.
+Both public byte-pair tokenizers start a new pre-token at a space or line end that stands
+between two characters that are not white space, and between letters and a comma or full stop.
 Text is cut there, the tokenizers library encodes each distinct piece once per worker, and the ids
 are joined, so the result equals encoding the whole text. New pieces are encoded many at a time,
 with a bar between them: its id, which no piece without a bar gives, separates their ids again.
@@ -11,20 +11,24 @@ Up to KEPT pieces are held; then those that the present texts lack are forgotten
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 CUT, DOUBLE, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s"), re.compile(r"[|\s]")
-KEPT, AT_ONCE = 600_000, 2_000
+KEPT, AT_ONCE = 400_000, 2_000
 _encoders: dict[str, Encoder] = {}
 
 
 def pieces_of(text: str) -> list[str]:
-    """The text cut at each space between two characters that are not white space."""
-    if DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return CUT.split(text)
-    return text.split(" ")
+    """The text cut at each space and line end between two characters that are not white space; a piece that a line
+    end came before starts with it, the first piece of a text as if one had."""
+    if not text:
+        return []
+    if DOUBLE.search(text) or text[0].isspace() or text[-1].isspace():
+        head, *rest = CUT.split(text)
+        return [f"\n{head}", *rest]
+    return f"\n{text}".replace("\n", " \n").split(" ")[1:]
 
 
 class Encoder:
@@ -36,40 +40,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {}
         (self.bar,) = self.tokenizer.encode(" |", add_special_tokens=False).ids
+        self.line_end = self._encode("\n")
         self.ends = {p: self._encode(p) for p in (",", ".")}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Holds the ids of " " + piece for every piece."""
-        plain = [p for p in pieces if not ODD.search(p)]
+    def _learn(self, pieces: list[str]) -> None:
+        """Holds the ids of every piece after a space, or of the line end that it starts with and its rest."""
+        odd = [p for p in pieces if ODD.search(p, p[0] == "\n")]
+        plain = [p for p in pieces if not ODD.search(p, p[0] == "\n")] if odd else pieces
         for i in range(0, len(plain), AT_ONCE):
             some = plain[i : i + AT_ONCE]
-            found = self.tokenizer.encode_batch_fast(["".join([f" {p} |" for p in some])], add_special_tokens=False)
-            ids = np.array(found[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.bar)
+            joined = "".join([f"{p} |" if p[0] == "\n" else f" {p} |" for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, (4 * ends).tolist(), strict=True):
+            for p, end in zip(some, (4 * np.flatnonzero(ids == self.bar)).tolist(), strict=True):
                 self.held[p] = raw[begin:end]
                 begin = end + 4
-        for p in pieces:
-            if p not in self.held:
-                self.held[p] = self._encode(" " + p)
+        for p in odd:
+            self.held[p] = self.line_end + self._encode(p[1:]) if p[0] == "\n" else self._encode(" " + p)
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         cut = [pieces_of(t) for t in texts]
-        here = set().union(*[pieces[1:] for pieces in cut])
+        here = set(chain.from_iterable(cut))
         new = here.difference(self.held)
         if len(self.held) + len(new) > KEPT:
             self.held = {p: self.held[p] for p in here - new}
-        ended = {p for p in new if p[-1] in self.ends and p[:-1].isalpha() and p[:-1].lower().isalpha()}
-        heads = {p[:-1] for p in ended}
-        self._learn([p for p in (new - ended) | heads if p not in self.held])
+        heads, ended = set[str](), list[str]()
+        for p in new:
+            head = p[:-1]
+            if p[-1] in self.ends and (word := head.removeprefix("\n")).isalpha() and (word.isascii() or word.lower().isalpha()):
+                ended.append(p)
+                heads.add(head)
+            else:
+                heads.add(p)
+        self._learn([p for p in heads if p not in self.held])
         for p in ended:
             self.held[p] = self.held[p[:-1]] + self.ends[p[-1]]
-        get = self.held.__getitem__
-        return [b"".join([self._encode(pieces[0]), *map(get, pieces[1:])]) if t else b"" for t, pieces in zip(texts, cut)]
+        get, skip = self.held.__getitem__, len(self.line_end)
+        return [b"".join(map(get, pieces))[skip:] for pieces in cut]
 
 
 def encoder(path: str) -> Encoder:

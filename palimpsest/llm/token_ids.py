@@ -51,19 +51,19 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", STRIDE)
         .option("orc.stripe.size", STRIPE_BYTES)
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .orc(path)
     )
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows with start, the number of ids of all documents before."""
-    return with_starts(spark.read.schema(STORED).orc(path))
+    return with_starts(spark.read.schema(STORED).orc(path), path)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
-    """Adds start from range, begins and n_tokens, and drops the first two: one number per file is carried over."""
-    totals = rows.groupBy("range").agg(F.max(F.col("begins") + F.col("n_tokens")).alias("total"))
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """Adds start to rows of the files at path, in place of range and begins: one number per file is carried over."""
+    totals = rows.sparkSession.read.schema(STORED).orc(path).groupBy("range").agg(F.max(F.col("begins") + F.col("n_tokens")).alias("total"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     return rows.join(bases, "range").withColumn("start", F.col("base") + F.col("begins")).drop("range", "begins", "base")
@@ -90,4 +90,4 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = work_folder(spark)
     write_token_ids(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return with_starts(token_checksums(spark.read.schema(STORED).orc(path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(token_checksums(spark.read.schema(STORED).orc(path)), path).select("doc_id", "start", "n_tokens", "ids_crc32")
