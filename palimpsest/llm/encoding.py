@@ -1,10 +1,11 @@
 """Exact token ids of whole texts, with the encodings of repeated words kept.
 
 Both public byte-pair tokenizers start a new pre-token at a space or line end that stands
-between two characters that are not white space, and between letters and a comma or full stop.
+between two characters that are not white space, and between letters and marks that end a piece.
 Text is cut there, the tokenizers library encodes each distinct piece once per worker, and the ids
-are joined, so the result equals encoding the whole text. New pieces are encoded many at a time,
-with a bar between them: its id, which no piece without a bar gives, separates their ids again.
+are joined, so the result equals encoding the whole text. New pieces are encoded many at a time.
+Words of letters alone are told apart by the tokens that only begin, or only end, a word; other
+pieces by a bar between them, whose id no piece without a bar gives.
 Up to KEPT pieces are held; then those that the present texts lack are forgotten.
 """
 
@@ -12,11 +13,12 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 
 CUT, DOUBLE, ODD = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s"), re.compile(r"[|\s]")
-KEPT, AT_ONCE = 400_000, 2_000
+KEPT, AT_ONCE, TAIL = 400_000, 8_000, 3
 _encoders: dict[str, Encoder] = {}
 
 
@@ -41,19 +43,42 @@ class Encoder:
         self.held: dict[str, bytes] = {}
         (self.bar,) = self.tokenizer.encode(" |", add_special_tokens=False).ids
         self.line_end = self._encode("\n")
-        self.ends = {p: self._encode(p) for p in (",", ".")}
+        self.tails: dict[str, bytes] = {}
+        last = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.marks_end = bool(last)
+        self.marked = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.marked[i] = token.endswith(last) if last else token.startswith("Ġ")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Holds the ids of words of letters after a space; returns them instead if the tokens don't tell them apart."""
+        ids = self._ids(f" {' '.join(words)}")
+        marks = np.flatnonzero(self.marked[ids])
+        ends = marks + 1 if self.marks_end else np.append(marks[1:], len(ids))
+        if len(marks) != len(words) or ends[-1] != len(ids) or not (self.marks_end or marks[0] == 0):
+            return words
+        raw, begin = ids.tobytes(), 0
+        for p, end in zip(words, (4 * ends).tolist()):
+            self.held[p] = raw[begin:end]
+            begin = end
+        return []
+
     def _learn(self, pieces: list[str]) -> None:
         """Holds the ids of every piece after a space, or of the line end that it starts with and its rest."""
-        odd = [p for p in pieces if ODD.search(p, p[0] == "\n")]
-        plain = [p for p in pieces if not ODD.search(p, p[0] == "\n")] if odd else pieces
+        words, plain, odd = list[str](), list[str](), list[str]()
+        for p in pieces:
+            (words if p.isalpha() else odd if ODD.search(p, p[0] == "\n") else plain).append(p)
+        for i in range(0, len(words), AT_ONCE):
+            plain += self._learn_words(words[i : i + AT_ONCE])
         for i in range(0, len(plain), AT_ONCE):
             some = plain[i : i + AT_ONCE]
-            joined = "".join([f"{p} |" if p[0] == "\n" else f" {p} |" for p in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ids = self._ids("".join([f"{p} |" if p[0] == "\n" else f" {p} |" for p in some]))
             raw, begin = ids.tobytes(), 0
             for p, end in zip(some, (4 * np.flatnonzero(ids == self.bar)).tolist(), strict=True):
                 self.held[p] = raw[begin:end]
@@ -67,17 +92,19 @@ class Encoder:
         new = here.difference(self.held)
         if len(self.held) + len(new) > KEPT:
             self.held = {p: self.held[p] for p in here - new}
-        heads, ended = set[str](), list[str]()
+        heads, ended = set[str](), list[tuple[str, str, str]]()
         for p in new:
-            head = p[:-1]
-            if p[-1] in self.ends and (word := head.removeprefix("\n")).isalpha() and (word.isascii() or word.lower().isalpha()):
-                ended.append(p)
+            head = p.rstrip(punctuation)
+            if 0 < len(p) - len(head) <= TAIL and (word := head.removeprefix("\n")).isalpha() and (word.isascii() or word.lower().isalpha()):
+                ended.append((p, head, p[len(head) :]))
                 heads.add(head)
             else:
                 heads.add(p)
         self._learn([p for p in heads if p not in self.held])
-        for p in ended:
-            self.held[p] = self.held[p[:-1]] + self.ends[p[-1]]
+        for p, head, tail in ended:
+            if tail not in self.tails:
+                self.tails[tail] = self._encode(tail)
+            self.held[p] = self.held[head] + self.tails[tail]
         get, skip = self.held.__getitem__, len(self.line_end)
         return [b"".join(map(get, pieces))[skip:] for pieces in cut]
 
