@@ -17,6 +17,9 @@ from palimpsest.llm.packing import pack
 from palimpsest.llm.secrets import redact
 from palimpsest.llm.toxicity import score, train
 
+#: Jaccard similarity from which the pipeline takes documents as near-duplicates; op2 has its own bound of 85.
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the clause grammar scores as toxic."""
@@ -25,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """Keeps one document of each group of near-duplicates, of 80 % of five-word shingles at least."""
+    return drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 A document's set is its distinct five-word shingles (lower-cased ASCII, words between ASCII white
 space; fewer words are one shingle). Equal sets are one class, represented by its least id. A
-signature has COORDINATES minima; two sets at the similarity bound agree in fewer than MATCHES of
-them with a chance below 1e-8.
+signature has COORDINATES minima; two sets at the similarity bound of `percent` agree in fewer than
+matches(percent) of them with a chance of at most CHANCE.
 
-Classes are posted under (coordinate, value). Pairs with MATCHES common postings must meet in a
-class's `held - MATCHES + 1` rarest shared postings, so only those prefixes are joined, and values
+Classes are posted under (coordinate, value). Pairs with that many common postings must meet in a
+class's `held - matches + 1` rarest shared postings, so only those prefixes are joined, and values
 of one class post nothing. In each list the agreeing coordinates of whole signatures are counted,
-pairs whose sizes rule them out are skipped, and pairs with MATCHES are alike. The components of
+pairs whose sizes rule them out are skipped, and pairs with as many are alike. The components of
 alike classes are families; inside each the pairs are confirmed on full sets, again by counting over
 inverted lists. Long lists and large families are compared in pairs of blocks, so no task gets a
 whole one, and each comparison returns a forest of its links, so rows stay in proportion to classes
@@ -20,6 +20,7 @@ without an id has no component and is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import in_batches, read, stored, to_batch
 from .components import components
 
 WIDTH, PERCENT = 5, 85
-COORDINATES, MATCHES, LIST_BLOCK, SET_BLOCK = 32, 14, 1_024, 512
+COORDINATES, CHANCE, LIST_BLOCK, SET_BLOCK = 32, 1.1e-8, 1_024, 512
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 IDS_SENT = 1_000_000
 _ODD = np.random.default_rng(20_240_501).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,6 +53,17 @@ class _Words(dict):
 _hash = _Words()
 
 
+def matches(percent: int) -> int:
+    """Most coordinates in which sets of this similarity agree but for a chance of CHANCE at most."""
+    p, missed, n = percent / 100, 0.0, 0
+    while n < COORDINATES:
+        missed += math.comb(COORDINATES, n) * p**n * (1 - p) ** (COORDINATES - n)
+        if missed > CHANCE:
+            break
+        n += 1
+    return max(n, 1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
@@ -96,13 +108,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(coordinate, value, rep, n): each class under its rarest shared coordinate values."""
     each = classes.select("rep", "n", F.posexplode("sig").alias("coordinate", "value"))
     shared = each.groupBy("coordinate", "value").agg(F.count("*").alias("df")).filter("df > 1")
     held = each.join(shared, ["coordinate", "value"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("held"))
-    prefix = F.slice("held", 1, F.size("held") - MATCHES + 1)
-    return held.filter(F.size("held") >= MATCHES).select("rep", "n", F.explode(prefix).alias("p")).select("p.coordinate", "p.value", "rep", "n")
+    least = matches(percent)
+    prefix = F.slice("held", 1, F.size("held") - least + 1)
+    return held.filter(F.size("held") >= least).select("rep", "n", F.explode(prefix).alias("p")).select("p.coordinate", "p.value", "rep", "n")
 
 
 def in_blocks(rows: DataFrame, group: list[str], size: int) -> DataFrame:
@@ -135,8 +148,8 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return [(find(x), x) for x in range(n) if find(x) != x]
 
 
-def _edges(compare):
-    """Links of each cell as the edges of a forest; compare(cell, rows on the left, rows on the right) yields index pairs."""
+def _edges(compare, percent: int):
+    """Links of each cell as the edges of a forest; compare(cell, rows on the left, rows on the right, percent) yields index pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -144,7 +157,7 @@ def _edges(compare):
             if cell.num_rows < 2:
                 continue
             left, right, rep = (cell.column(c).to_numpy() for c in ("left", "right", "rep"))
-            found = [f for f in compare(cell, np.flatnonzero(left), np.flatnonzero(right)) if len(f[0])]
+            found = [f for f in compare(cell, np.flatnonzero(left), np.flatnonzero(right), percent) if len(f[0])]
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found))
                 out += [(int(rep[x]), int(rep[y])) for x, y in forest(len(rep), u, v)]
@@ -154,15 +167,15 @@ def _edges(compare):
     return run
 
 
-def _fits(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n[x][:, None], n[y][None]) >= PERCENT * np.maximum(n[x][:, None], n[y][None])
+def _fits(n: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[x][:, None], n[y][None]) >= percent * np.maximum(n[x][:, None], n[y][None])
 
 
-def _by_signature(cell: pa.Table, left: np.ndarray, right: np.ndarray):
-    n = cell.column("n").to_numpy()
+def _by_signature(cell: pa.Table, left: np.ndarray, right: np.ndarray, percent: int):
+    least, n = matches(percent), cell.column("n").to_numpy()
     sig = cell.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
     if len(n) == 2:
-        if 100 * n.min() >= PERCENT * n.max() and (sig[0] == sig[1]).sum() >= MATCHES:
+        if 100 * n.min() >= percent * n.max() and (sig[0] == sig[1]).sum() >= least:
             yield np.array([0]), np.array([1])
         return
     for i in range(0, len(left), 64):
@@ -170,11 +183,11 @@ def _by_signature(cell: pa.Table, left: np.ndarray, right: np.ndarray):
         counts = np.zeros((len(x), len(right)), np.int16)
         for k in range(COORDINATES):
             counts += sig[x, k][:, None] == sig[right, k][None]
-        p, q = np.nonzero((counts >= MATCHES) & _fits(n, x, right))
+        p, q = np.nonzero((counts >= least) & _fits(n, x, right, percent))
         yield x[p], right[q]
 
 
-def _by_sets(cell: pa.Table, left: np.ndarray, right: np.ndarray):
+def _by_sets(cell: pa.Table, left: np.ndarray, right: np.ndarray, percent: int):
     """Full sets: an inverted list of the right side's shingles counts what each set of the left shares with all of them."""
     sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in cell.column("hashes")]
     n = np.array([len(s) for s in sets])
@@ -187,18 +200,18 @@ def _by_sets(cell: pa.Table, left: np.ndarray, right: np.ndarray):
         sizes = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(sizes.sum())
         common = np.bincount(owner[at], minlength=len(right))
-        q = np.flatnonzero(100 * common >= PERCENT * (n[x] + n[right] - common))
+        q = np.flatnonzero(100 * common >= percent * (n[x] + n[right] - common))
         yield np.full(len(q), x), right[q]
 
 
-def alike(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs that agree in MATCHES coordinates."""
+def alike(posted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs that agree in matches(percent) coordinates."""
     cells = in_blocks(posted, ["coordinate", "value"], LIST_BLOCK).select("cell", "left", "right", "rep", "n")
     signed = cells.join(classes.select("rep", "sig"), "rep").select("cell", "left", "right", "rep", "n", "sig")
-    return signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_signature), "a long, b long").distinct()
+    return signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_signature, percent), "a long, b long").distinct()
 
 
-def linked(families: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+def linked(families: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs in one family (rep, family) with full sets as similar as asked."""
     families = stored(families)
     sent = F.broadcast if families.count() <= IDS_SENT else lambda frame: frame
@@ -213,7 +226,7 @@ def linked(families: DataFrame, docs: DataFrame, members: DataFrame) -> DataFram
     held = texts.mapInArrow(sets, "rep long, set_key binary, hashes binary")
     held = held.join(sent(members.join(families, "rep", "left_semi")), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
     rows = in_blocks(families, ["family"], SET_BLOCK).select("cell", "left", "right", "rep").join(held.select("rep", "hashes"), "rep")
-    return rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_sets), "a long, b long")
+    return rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_sets, percent), "a long, b long")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
@@ -231,31 +244,32 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.T
         yield held
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, set_key, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, set_key, component_id, kept. Sets of at least
+    `percent` Jaccard similarity are linked."""
     signed = stored(signatures(docs))
     worded = signed.filter("n_shingles > 0 and doc_id is not null")
     first = worded.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = stored(first)
     members = classes.select("rep", "set_key")
-    posted = stored(postings(classes))
-    near = components(alike(posted, classes))
+    posted = stored(postings(classes, percent))
+    near = components(alike(posted, classes, percent))
     roots = near.select(F.col("id").alias("rep"), F.col("root").alias("family"))
     families = roots.unionByName(near.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct())
-    roots = components(linked(families, docs, members))
+    roots = components(linked(families, docs, members, percent))
     component = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     out = signed.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_key")
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), PERCENT).drop("set_key")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows that repeat another: of each component the least id stays, and of rows equal in id
     and text one. An id stays if any of its rows is kept; a row without an id stays."""
-    judged = stored(near_duplicates(docs.select("doc_id", "text")))
+    judged = stored(near_duplicates(docs.select("doc_id", "text"), percent))
     ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = stored(ids.filter("not kept").select("doc_id"))
     left = docs.join(F.broadcast(gone) if gone.count() <= IDS_SENT else gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,7 +1,8 @@
 import itertools
 
+import corpus_pipeline
 from palimpsest.llm.components import components
-from palimpsest.llm.near_dups import drop_near_duplicates, near_duplicates
+from palimpsest.llm.near_dups import drop_near_duplicates, matches, near_duplicates
 
 from .conftest import prose
 
@@ -63,3 +64,19 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r.id, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_the_stage_links_at_80_percent_and_op2_at_85(spark):
+    base = prose(212, 1).split()
+    edited = list(base)
+    for i in (20, 60, 100, 140):
+        edited[i] = "changed"
+    a, b = shingled(" ".join(base)), shingled(" ".join(edited))
+    assert 82 <= 100 * len(a & b) / len(a | b) < 84
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, prose(200, 9))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+    assert {r.doc_id for r in drop_near_duplicates(docs).collect()} == {1, 2, 3}
+
+
+def test_matches_of_each_bound():
+    assert (matches(85), matches(80)) == (14, 11)
