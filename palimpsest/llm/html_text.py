@@ -6,8 +6,7 @@ an order-independent fingerprint (xor of a hash of page and count), so no host's
 one task. Tokens with one vector are an equivalence class; valid are those on at least half of the
 host's pages that hold an element. The class that occurs once on every page is the template's
 skeleton, the others nest in it by path. Text blocks in valid classes are fixed text. What remains
-are slots: of these the text under the deepest skeleton container with most of the host's running
-text is extracted, without parts whose element or class names say menu, advert, comments and so on.
+are slots: of these all text is extracted, without parts whose element or class names say menu, advert, comments and so on.
 
 A null page is the empty page and gives the empty text. A null or odd url is a host of its own name.
 A host with fewer than MIN_PAGES pages, or only equal ones, has no fixed text. Repeated rows are
@@ -173,10 +172,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html)."""
-    found = stored(templates(pages).select("host", "content", "fixed"))
+    found = stored(templates(pages).select("host", "fixed"))
     keyed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_with_host, "host long, page_id long, url string, html string")
     sent = F.broadcast(found) if found.count() <= HOSTS_SENT else found
-    return keyed.join(sent, "host", "left").select("page_id", "url", "html", "content", "fixed").mapInArrow(_extract, "page_id long, url string, text string")
+    return keyed.join(sent, "host", "left").select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,13 +185,11 @@ def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, urls, sources, contents, fixed in in_batches(5, 2, batches):
+    for ids, urls, sources, fixed in in_batches(4, 2, batches):
         texts = []
-        for source, content, known in zip(sources, contents, fixed):
+        for source, known in zip(sources, fixed):
             page, skip = Page(source), set(known or ())
             blocks = [(p, t) for p, t, aside in page.blocks if not aside and token(p, t) not in skip]
-            if content and content in page.elements:
-                blocks = [(p, t) for p, t in blocks if p == content or p.startswith(content + "/")]
             texts.append("\n\n".join(t for _, t in blocks))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

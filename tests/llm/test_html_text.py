@@ -49,3 +49,20 @@ def test_any_markup_is_read(source):
 
 def test_hosts():
     assert [host_of(u) for u in ("HTTPS://A.b:80/x", "//u@h?q", "odd", None)] == ["a.b", "h", "odd", ""]
+
+
+PARTS = "<h1>Title</h1><div class=lead><p>lead {0}</p></div><div class=body><p>" + "body {0} goes on " * 30 + "</p></div>"
+
+
+def texts_of(spark, *sources):
+    rows = [(i, "http://a.example/", s) for i, s in enumerate(sources)]
+    return [r.text for r in sorted(extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
+
+
+def test_title_and_lead_beside_the_largest_container_stay(spark):
+    want = lambda i: f"Title {i}\n\nlead {i}\n\n" + " ".join([f"body {i} goes on"] * 30)
+    made = lambda i: f"<body><article>{PARTS.format(i).replace('Title', f'Title {i}')}</article></body>"
+    assert texts_of(spark, *[made(i) for i in range(6)]) == [want(i) for i in range(6)]
+    assert texts_of(spark, made(0)) == [want(0)]
+    empty = "<body><article><h1>Only this</h1><div class=lead></div><div class=body></div></article></body>"
+    assert texts_of(spark, *[made(i) for i in range(6)], empty) == [*[want(i) for i in range(6)], "Only this"]
