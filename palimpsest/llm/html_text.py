@@ -5,8 +5,11 @@ one host that occur equally often on every page share an occurrence vector; vect
 an order-independent fingerprint (xor of a hash of page and count), so no host's pages ever meet in
 one task. Tokens with one vector are an equivalence class; valid are those on at least half of the
 host's pages that hold an element. The class that occurs once on every page is the template's
-skeleton, the others nest in it by path. Text blocks in valid classes are fixed text. What remains
-are slots: of these all text is extracted, without parts whose element or class names say menu, advert, comments and so on.
+skeleton. Text blocks in valid classes are fixed text, all others are slots, wherever they nest. Every slot
+is extracted but those in asides: under tags such as nav, or under a form or an element whose class, id or
+role says menu, advert, comments and so on. Such a name does not count on html, body, main and article, nor
+on an element that holds more than half of the slots' text: on the host's pages that hold it, if these are
+half of the host's pages at least, else on the page itself.
 
 A null page is the empty page and gives the empty text. A null or odd url is a host of its own name.
 A host with fewer than MIN_PAGES pages, or only equal ones, has no fixed text. Repeated rows are
@@ -19,6 +22,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -35,19 +39,21 @@ RAW = set("script style noscript template textarea title iframe object svg math
 HIDDEN = set("script style noscript template".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("body main article section div td table center form".split())
-ASIDE = RAW | set("nav footer aside form button menu dialog head".split())
+ASIDE = RAW | set("nav footer aside button menu dialog head".split())
+#: Elements whose class, id or role never makes them asides.
+WHOLE = set("html body main article".split())
 ASIDE_WORDS = set("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation footer comment comments disqus cookie cookies notice promo share sharing social related newsletter subscribe signup breadcrumb breadcrumbs pagination popup modal sponsor sponsored complementary contentinfo search login".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BREAKS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 class Page:
-    """elements: how often each path occurs, and running text under it; blocks: (path, text, left out, of links)."""
+    """elements: how often each path occurs; blocks: (path, text)."""
 
     def __init__(self, source: str | None) -> None:
         self.elements: Counter[str] = Counter()
-        self.blocks: list[tuple[str, str, bool]] = []
-        stack: list[tuple[str, str, bool]] = [("", "", False)]
+        self.blocks: list[tuple[str, str]] = []
+        stack: list[tuple[str, str]] = [("", "")]
         parts: list[str] = []
         source, at, raw = source or "", 0, ""
 
@@ -55,8 +61,7 @@ class Page:
             text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
             parts.clear()
             if text:
-                name, path, aside = next(s for s in reversed(stack) if s[0] not in INLINE)
-                self.blocks.append((path, text, aside or stack[-1][2]))
+                self.blocks.append((stack[-1][1], text))
 
         def pop(depth: int) -> None:
             if any(s[0] not in INLINE for s in stack[depth:]):
@@ -89,7 +94,7 @@ class Page:
                 if tag in ("br", "img", "wbr"):
                     parts.append(" " if tag == "br" else "")
                 elif not found[3].rstrip().endswith("/"):
-                    stack.append((tag, stack[-1][1], stack[-1][2]))
+                    stack.append((tag, stack[-1][1]))
                 continue
             flush()
             if tag in BREAKS_P or tag in CLOSES:
@@ -102,16 +107,38 @@ class Page:
                         break
             words = {w for m in NAMES.finditer(found[3]) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())} - {""} if found[3] else set()
             path = f"{stack[-1][1]}/{tag}" + "".join(f".{w}" for w in sorted(words))
-            head = tag == "header" or "header" in words
-            inside = any(s[0] in ("article", "main") for s in stack)
-            aside = stack[-1][2] or tag in ASIDE or not ASIDE_WORDS.isdisjoint(words) or (head and not inside)
             self.elements[path] += 1
             if tag not in VOID and not found[3].rstrip().endswith("/"):
-                stack.append((tag, path, aside))
+                stack.append((tag, path))
                 raw = tag if tag in RAW else ""
         flush()
 
 
+@lru_cache(1 << 16)
+def asides(path: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether a tag makes the path an aside, and the paths of its elements that are asides by their names."""
+    at, inside, named = "", False, []
+    for part in path.split("/")[1:]:
+        tag, *words = part.split(".")
+        at = f"{at}/{part}"
+        if tag in ASIDE or (tag == "header" and not inside):
+            return True, ()
+        if tag not in WHOLE and (tag == "form" or not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not inside)):
+            named.append(at)
+        inside = inside or tag in ("article", "main")
+    return False, tuple(named)
+
+
+def slots(page: Page, fixed: set[int]) -> tuple[list[tuple[str, str]], Counter[str]]:
+    """Blocks that are neither fixed nor in an aside by tag, and how much of their text lies under each named aside."""
+    blocks = [(p, t) for p, t in page.blocks if not asides(p)[0] and token(p, t) not in fixed]
+    held: Counter[str] = Counter()
+    for path, text in blocks:
+        for name in asides(path)[1]:
+            held[name] += len(text)
+    return blocks, held
+
+
 def token(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") - (1 << 63)
 
@@ -122,60 +149,95 @@ def host_of(url: str | None) -> str:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, n, chars, page, body): each page's distinct tokens. path is null for text;
-    chars, running text under an element; body, a hash of the page's text. The page itself is token 0."""
+    """(host, token, path, n, page, body): each page's distinct tokens. path is null for text; body, a hash of the
+    page's text. The page itself is token 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, sources in in_batches(3, 2, batches):
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for page_id, url, source in zip(ids, urls, sources):
                 page, host = Page(source), token(host_of(url))
-                chars: Counter[str] = Counter()
-                for path, text, aside in page.blocks:
-                    for i, c in enumerate(path):
-                        if c == "/" and i and not aside:
-                            chars[path[:i]] += len(text)
-                    if not aside:
-                        chars[path] += len(text)
-                body = xxhash.xxh64_intdigest("\n".join(t for _, t, _ in page.blocks)) >> 1
-                rows = [(0, "", 1, sum(len(t) for _, t, a in page.blocks if not a))]
-                rows += [(token(p), p, n, chars[p]) for p, n in page.elements.items()]
-                rows += [(token(p, t), None, n, 0) for (p, t), n in Counter((p, t) for p, t, _ in page.blocks).items()]
+                body = xxhash.xxh64_intdigest("\n".join(t for _, t in page.blocks)) >> 1
+                rows = [(0, "", 1)]
+                rows += [(token(p), p, n) for p, n in page.elements.items()]
+                rows += [(token(p, t), None, n) for (p, t), n in Counter(page.blocks).items()]
                 for row in rows:
                     for column, value in zip(out, (host, *row, page_id, body)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "token", "path", "n", "chars", "page", "body"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "token", "path", "n", "page", "body"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "host long, token long, path string, n long, chars long, page long, body long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "host long, token long, path string, n long, page long, body long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, skeleton, content, fixed): skeleton, paths of the class of every page; content, the path
-    under which the main text lies; fixed, tokens of fixed text blocks."""
+    """(host, pages, skeleton, fixed, content, kept, left_out): skeleton, paths of the class of every page; fixed, tokens
+    of fixed text blocks; content, the deepest path of the skeleton that holds all text outside of asides; kept and
+    left_out, named asides of half of the pages at least that hold most of their slots' text, and that do not."""
     counted = page_tokens(pages).groupBy("host", "token").agg(
-        F.first("path").alias("path"), F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "body", "n")).alias("vector"), F.sum("chars").alias("chars"), (F.min("body") < F.max("body")).alias("differ"),
+        F.first("path").alias("path"), F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "body", "n")).alias("vector"), (F.min("body") < F.max("body")).alias("differ"),
     )
     counted = stored(counted)
-    totals = counted.filter("token = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("every"), F.col("chars").alias("all_chars"), F.col("differ").alias("unlike"))
+    totals = counted.filter("token = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("every"), F.col("differ").alias("unlike"))
     tokens = counted.filter("token <> 0").join(totals, "host")
     classes = tokens.groupBy("host", "vector").agg(F.count("path").alias("elements"))
     fixed = tokens.filter(F.col("path").isNull() & (2 * F.col("support") >= F.col("pages")) & (F.col("pages") >= MIN_PAGES) & F.col("unlike") & F.col("differ"))
     fixed = fixed.join(classes.filter("elements > 0"), ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list("token").alias("fixed"))
     once = F.col("path").isNotNull() & (F.col("vector") == F.col("every"))
+    shape = tokens.filter(F.col("path").isNotNull()).groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.when(once, F.col("path")))).alias("skeleton"))
+    shape = stored(totals.select("host", "pages").join(shape.drop("pages"), "host", "left").join(fixed, "host", "left"))
+
+    keyed = with_host(pages).join(sent(shape.select("host", "fixed")), "host").select("host", "html", "fixed")
+    sums = keyed.mapInArrow(_held, "host long, path string, named boolean, n long, held long, total long").groupBy("host", "path", "named").agg(*[F.sum(c).alias(c) for c in ("n", "held", "total")])
+    sums = stored(sums)
+    whole = sums.filter("path = ''").select("host", F.col("held").alias("main"))
+    near = sums.filter("path <> ''").join(sent(shape.select("host", "pages", "skeleton").join(whole, "host", "left")), "host")
     tag = F.regexp_extract("path", r"/([\w:-]+)[^/]*$", 1)
-    roomy = once & tag.isin(*CONTAINERS) & (5 * F.col("chars") >= 4 * F.col("all_chars")) & (F.col("chars") > 0)
+    roomy = ~F.col("named") & tag.isin(*CONTAINERS) & F.array_contains("skeleton", F.col("path")) & (F.col("held") == F.col("main"))
     content = F.max_by(F.when(roomy, F.col("path")), F.when(roomy, F.struct(F.length(F.regexp_replace("path", "[^/]", "")).alias("depth"), "path")))
-    shape = tokens.filter(F.col("path").isNotNull()).groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.when(once, F.col("path")))).alias("skeleton"), content.alias("content"))
-    return shape.join(fixed, "host", "left")
+    usual, most = F.col("named") & (2 * F.col("n") >= F.col("pages")), 2 * F.col("held") > F.col("total")
+    judged = near.groupBy("host").agg(content.alias("content"), F.collect_list(F.when(usual & most, F.col("path"))).alias("kept"), F.collect_list(F.when(usual & ~most, F.col("path"))).alias("left_out"))
+    return shape.join(judged, "host", "left")
+
+
+def sent(hosts: DataFrame) -> DataFrame:
+    """A stored table of hosts, to be broadcast if it is small enough."""
+    return F.broadcast(hosts) if hosts.count() <= HOSTS_SENT else hosts
+
+
+def with_host(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_with_host, "host long, page_id long, url string, html string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html)."""
-    found = stored(templates(pages).select("host", "fixed"))
-    keyed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_with_host, "host long, page_id long, url string, html string")
-    sent = F.broadcast(found) if found.count() <= HOSTS_SENT else found
-    return keyed.join(sent, "host", "left").select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id long, url string, text string")
+    found = stored(templates(pages).select("host", "fixed", "kept", "left_out"))
+    keyed = with_host(pages).join(sent(found), "host", "left")
+    return keyed.select("page_id", "url", "html", "fixed", "kept", "left_out").mapInArrow(_extract, "page_id long, url string, text string")
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over pages of the text under named asides (of all slots' text) and under containers (of that in no aside)."""
+    kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+    for hosts, sources, fixed in in_batches(3, 1, batches):
+        sums: dict[tuple[int, str, bool], list[int]] = {}
+        for host, source, known in zip(hosts, sources, fixed):
+            page = Page(source)
+            blocks, held = slots(page, set(known or ()))
+            total = sum(len(t) for _, t in blocks)
+            under: Counter[str] = Counter()
+            for path, text in blocks:
+                if not asides(path)[1]:
+                    under[""] += len(text)
+                    for i, c in enumerate(path + "/"):
+                        if c == "/" and i:
+                            under[path[:i]] += len(text)
+            rows = [((host, p, False), (1, n, 0)) for p, n in under.items()]
+            rows += [((host, p, True), (1, held[p], total)) for p in {m for e in page.elements for m in asides(e)[1]}]
+            for key, row in rows:
+                sums[key] = [x + y for x, y in zip(sums.get(key, (0, 0, 0)), row)]
+        columns = list(zip(*[(*k, *v) for k, v in sums.items()])) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "named", "n", "held", "total"])
 
 
 def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +247,13 @@ def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, urls, sources, fixed in in_batches(4, 2, batches):
+    for ids, urls, sources, fixed, kept, left_out in in_batches(6, 2, batches):
         texts = []
-        for source, known in zip(sources, fixed):
-            page, skip = Page(source), set(known or ())
-            blocks = [(p, t) for p, t, aside in page.blocks if not aside and token(p, t) not in skip]
+        for source, known, inside, outside in zip(sources, fixed, kept, left_out):
+            blocks, held = slots(Page(source), set(known or ()))
+            inside, outside, total = set(inside or ()), set(outside or ()), sum(len(t) for _, t in blocks)
+            out = {p for p, n in held.items() if p in outside or (p not in inside and 2 * n <= total)}
+            blocks = [(p, t) for p, t in blocks if out.isdisjoint(asides(p)[1])]
             texts.append("\n\n".join(t for _, t in blocks))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -66,3 +66,19 @@ def test_title_and_lead_beside_the_largest_container_stay(spark):
     assert texts_of(spark, made(0)) == [want(0)]
     empty = "<body><article><h1>Only this</h1><div class=lead></div><div class=body></div></article></body>"
     assert texts_of(spark, *[made(i) for i in range(6)], empty) == [*[want(i) for i in range(6)], "Only this"]
+
+
+SHELLS = ["<body class='has-sidebar header-fixed'>{}</body>", "<body><form>{}</form></body>", "<body><div class='content with-sidebar'>{}</div></body>", "<body><div id=search-page><form>{}</form></div></body>", "<article class=notice><form>{}</form></article>"]
+
+
+@pytest.mark.parametrize("shell", SHELLS)
+def test_names_of_a_page_wide_element_hide_nothing(spark, shell):
+    inner = "<nav>menu</nav><h1>Title {0}</h1><p>" + "text {0} runs on " * 9 + "</p><div class=sidebar><p>beside {0}</p></div>"
+    want = lambda i: f"Title {i}\n\n" + " ".join([f"text {i} runs on"] * 9)
+    for n in (1, 6):
+        assert texts_of(spark, *[shell.format(inner.format(i)) for i in range(n)]) == [want(i) for i in range(n)]
+
+
+def test_long_comments_of_one_page_stay_left_out(spark):
+    made = lambda i: f"<article><p>{f'text {i} runs on ' * 9}</p></article><div class=comments><p>{'a reader ' * (100 if i == 3 else 1)}</p></div>"
+    assert texts_of(spark, *[made(i) for i in range(40)]) == [" ".join([f"text {i} runs on"] * 9) for i in range(40)]
