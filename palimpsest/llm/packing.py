@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, read, stored
-from .encoding import encoder
+from .common import read, stored
+from .encoding import encoder, text_chunks
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("split", pa.int32()), ("nth", pa.int64())]
 PIECE_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, split int, nth long"
@@ -42,25 +42,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     names = [name for name, _ in PIECE] + ["tokens"] * with_tokens
-    end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, here, counts = encoder(tokenizer).ids_of, TaskContext.get().partitionId(), dict[int, int]()
-        for doc_ids, texts in in_batches(2, 1, batches):
+        held, here, counts = encoder(tokenizer), TaskContext.get().partitionId(), dict[int, int]()
+        for batch in text_chunks(batches, 1):
             out: list[list] = [[] for _ in PIECE]
-            held = [ids + end for ids in ids_of([t or "" for t in texts])]
-            for doc_id, ids in zip(doc_ids, map(memoryview, held)):
-                n, start = len(ids) >> 2, 0
+            ids, offsets = held.encode(batch.column(1), end_id)
+            raw = memoryview(ids).cast("B")
+            for doc_id, begin, n in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), np.diff(offsets).tolist()):
+                start = 0
                 for length in binary_lengths(n, longest):
                     nth = counts[length] = counts.get(length, -1) + 1
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    for column, value in zip(out, (doc_id, start, length, crc, n, here, nth)):
+                    at = begin + start
+                    for column, value in zip(out, (doc_id, start, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), n, here, nth)):
                         column.append(value)
                     start += length
             columns = [pa.array(c, kind) for c, (_, kind) in zip(out, PIECE)]
             if with_tokens:
-                offsets = np.concatenate([[0], np.cumsum(out[2])])
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out[2])]), pa.int32()), pa.array(ids.view("<i4"))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SQL + ", tokens array<int>" * with_tokens))

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, read, to_batch, work_folder
-from .encoding import encoder
+from .common import read, to_batch, work_folder
+from .encoding import encoder, text_chunks
 
 STORED = "doc_id long, range int, begins long, n_tokens long, tokens array<int>"
 STRIPE_BYTES, STRIDE = 64 << 20, 1_000
@@ -32,16 +32,14 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
     n_tokens, with the end id; tokens.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("range", pa.int32()), ("begins", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, at, here = encoder(tokenizer).ids_of, 0, TaskContext.get().partitionId()
-        for doc_ids, texts in in_batches(2, 1, batches):
-            rows = [ids + end for ids in ids_of([t or "" for t in texts])]
-            sizes = np.array([len(r) >> 2 for r in rows], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield to_batch(schema, [doc_ids, np.full(len(rows), here, np.int32), at + offsets[:-1], sizes, tokens])
+        held, at, here = encoder(tokenizer), 0, TaskContext.get().partitionId()
+        for batch in text_chunks(batches, 1):
+            ids, offsets = held.encode(batch.column(1), end_id)
+            sizes = np.diff(offsets)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
+            yield to_batch(schema, [batch.column(0), np.full(len(sizes), here, np.int32), at + offsets[:-1], sizes, tokens])
             at += int(offsets[-1])
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -2,9 +2,11 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from palimpsest.llm import encoding
 from palimpsest.llm.encoding import encoder
 from palimpsest.llm.packing import binary_lengths, pack
 from palimpsest.llm.token_ids import read_token_ids, token_checksums, write_token_ids
@@ -23,7 +25,20 @@ def crc(ids):
 def test_encoder_equals_whole_texts(path, found):
     whole = Tokenizer.from_file(path)
     ids = [whole.encode(t, add_special_tokens=False).ids for t in found]
-    assert encoder(path).ids_of(found) == [struct.pack(f"<{len(x)}I", *x) for x in ids]
+    got, offsets = encoder(path).encode(pa.array(found, pa.string()))
+    assert [got[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == ids
+    got, offsets = encoder(path).encode(pa.array(found, pa.string()), 2)
+    assert [got[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*x, 2] for x in ids]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_forgotten_pieces_are_learned_again(path, monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT", 50)
+    held, whole = encoding.Encoder(path), Tokenizer.from_file(path)
+    for n in range(0, 400, 7):
+        found = [" ".join(f"w{i}x a{i % 9}, end." for i in range(n % 60, n % 60 + 12)), None, f"line {n}\nnext  two"]
+        got, offsets = held.encode(pa.array(found, pa.string()))
+        assert [got[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in found]
 
 
 def test_orc_round_trip(spark, docs, tmp_path):
