@@ -7,62 +7,74 @@ primary_completion_date, primary_completion_date_precision, stratum.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Rules
+from ..config import Study
 from ..functions.dates import period_end
 from .asof import asof_join
 from .versions import arg_min, latest_per, validity
 
 
-def submitted_status(rules: Rules) -> Column:
+def submitted_status(rules: Study) -> Column:
     """The status that was submitted, behind a computed unknown one."""
-    hidden = F.col("overall_status").isin(*rules.unknown) & F.col("last_known_status").isNotNull()
+    hidden = F.col("overall_status").isin(*rules.status.unknown) & F.col("last_known_status").isNotNull()
     return F.when(hidden, F.col("last_known_status")).otherwise(F.col("overall_status"))
 
 
-def lapse_from(rules: Rules) -> Column:
-    """From when a record counts as lapsed: all of posted, past completion and long unverified; at once if only unknown."""
+def lapse_from(rules: Study) -> Column:
+    """From when a record counts as lapsed: all of posted, past completion and long unverified; at once if only unknown.
+
+    A missing completion counts as past, and a record that names no verification was verified when it was posted.
+    """
     completion = F.coalesce(period_end(F.col("completion_date"), F.col("completion_date_precision")), period_end(F.col("primary_completion_date"), F.col("primary_completion_date_precision")))
-    verified = F.date_add(F.last_day(F.add_months("status_verified_date", rules.lapse_months)), 1)
-    ruled = F.greatest(F.col("effective_date"), F.date_add(completion, 1), verified)
-    return F.when(F.col("status").isin(*rules.lapse_statuses) & completion.isNotNull() & verified.isNotNull(), ruled).when(F.col("status").isin(*rules.unknown), F.col("effective_date"))
+    verified = F.coalesce("status_verified_date", "effective_date")
+    silent = F.date_add(F.last_day(F.add_months(verified, rules.silence.months)), 1)
+    ruled = F.greatest(F.col("effective_date"), F.coalesce(F.date_add(completion, 1), F.col("effective_date")), silent)
+    return F.when(F.col("status").isin(*rules.status.unknown), F.col("effective_date")).when(F.col("status").isin(*rules.silence.status), ruled)
+
+
+def horizon(rules: Study, before: date | None) -> date:
+    """The last day that is looked at: the window's, or the origin."""
+    return rules.window.last if before is None else before
 
 
-def known_versions(versions: DataFrame, rules: Rules) -> DataFrame:
-    if rules.versions_before is not None:
-        versions = versions.filter(F.col("effective_date") < F.lit(rules.versions_before))
-    return versions.filter(F.col("effective_date") <= F.lit(rules.cutoff)).withColumn("status", submitted_status(rules))
+def known_versions(versions: DataFrame, rules: Study, before: date | None = None) -> DataFrame:
+    """The versions inside the window with their submitted status; with an origin, only what was posted before it."""
+    posted = F.col("effective_date")
+    seen = posted <= F.lit(rules.window.last) if before is None else posted < F.lit(before)
+    return versions.filter(seen).withColumn("status", submitted_status(rules))
 
 
-def states(versions: DataFrame, rules: Rules) -> DataFrame:
+def states(versions: DataFrame, rules: Study, before: date | None = None) -> DataFrame:
     """One row per trial and post date, the highest version's, valid until next_effective, with lapse_from."""
-    daily = latest_per(known_versions(versions, rules), ["trial_id", "effective_date"], "version")
+    daily = latest_per(known_versions(versions, rules, before), ["trial_id", "effective_date"], "version")
     return validity(daily, "trial_id", "effective_date").withColumn("lapse_from", lapse_from(rules))
 
 
-def outcomes(versions: DataFrame, rules: Rules, unknown_as_stop: bool = False) -> DataFrame:
+def outcomes(versions: DataFrame, rules: Study, before: date | None = None, unknown_as_stop: bool = False) -> DataFrame:
     """One row per trial: t0, event (0 censored, 1 early stop, 2 completion), event_date, censor_reason, reversal, lapse_date."""
-    known = known_versions(versions, rules)
-    terminal = F.col("status").isin(*rules.terminal)
+    known = known_versions(versions, rules, before)
+    terminal = F.col("status").isin(*rules.status.ended)
     ends = F.min_by(F.struct("version", "status", "effective_date"), F.when(terminal, F.col("version")))
-    last_open = F.max(F.when(F.col("status").isin(*rules.open, *rules.unknown), F.col("version")))
+    last_open = F.max(F.when(F.col("status").isin(*rules.status.open, *rules.status.unknown), F.col("version")))
     per = known.groupBy("trial_id").agg(
         arg_min(F.col("first_post_date"), F.col("version")).alias("t0"), ends.alias("end"), F.count_if(terminal).alias("n_terminal"), last_open.alias("last_open"), F.bool_or(F.col("study_type") == "INTERVENTIONAL").alias("in_population")
     )
     per = per.withColumn("end", F.when(F.col("n_terminal") > 0, F.col("end"))).drop("n_terminal")
-    last = states(versions, rules).filter("next_effective is null").select("trial_id", "lapse_from", "status_verified_date", "effective_date")
-    cutoff = F.lit(rules.cutoff)
+    last = states(versions, rules, before).filter("next_effective is null").select("trial_id", "lapse_from", "status_verified_date", "effective_date")
+    cutoff = F.lit(horizon(rules, before))
     lapsed = F.coalesce(F.col("end").isNull() & (F.col("lapse_from") <= cutoff), F.lit(False))
     stop = F.lit(unknown_as_stop) & lapsed
     quiet = F.least(F.coalesce("status_verified_date", "effective_date"), cutoff)
     return per.join(last, "trial_id").select(
         "trial_id",
         "t0",
-        (F.col("t0") >= F.lit(rules.window_start)).alias("in_window"),
+        (F.col("t0") >= F.lit(rules.window.first)).alias("in_window"),
         "in_population",
-        F.when(F.col("end.status").isin(*rules.early_stop), 1).when(F.col("end").isNotNull(), 2).when(stop, 1).otherwise(0).alias("event"),
+        F.when(F.col("end.status").isin(*rules.status.stopped), 1).when(F.col("end").isNotNull(), 2).when(stop, 1).otherwise(0).alias("event"),
         F.when(F.col("end").isNotNull(), F.col("end.effective_date")).when(stop, F.col("lapse_from")).when(lapsed, quiet).otherwise(cutoff).alias("event_date"),
         F.when(F.col("end").isNull() & ~stop, F.when(lapsed, F.lit("unknown")).otherwise(F.lit("cutoff"))).alias("censor_reason"),
         F.coalesce(F.col("last_open") > F.col("end.version"), F.lit(False)).alias("reversal"),
@@ -70,32 +82,32 @@ def outcomes(versions: DataFrame, rules: Rules, unknown_as_stop: bool = False) -
     )
 
 
-def landmarks(versions: DataFrame, rules: Rules) -> DataFrame:
+def landmarks(versions: DataFrame, rules: Study, before: date | None = None) -> DataFrame:
     """Candidate rows t0 + k * spacing with `excluded`: the first rule that a row fails, or null for a kept one."""
-    of = outcomes(versions, rules).filter("in_window and in_population and not reversal and t0 is not null")
-    grid = of.select("trial_id", "t0", "event", "event_date", F.explode(F.sequence(F.lit(0), F.lit(rules.last_index))).alias("landmark_index"))
-    keys = grid.withColumn("landmark_date", F.add_months("t0", F.col("landmark_index") * rules.spacing_months))
-    keys = keys.filter(F.col("landmark_date") <= F.lit(rules.cutoff))
-    held = states(versions, rules).select("trial_id", "effective_date", "status", "study_type", "lapse_from", "stratum")
+    of = outcomes(versions, rules, before).filter("in_window and in_population and not reversal and t0 is not null")
+    grid = of.select("trial_id", "t0", "event", "event_date", F.explode(F.sequence(F.lit(0), F.lit(rules.landmarks.count))).alias("landmark_index"))
+    keys = grid.withColumn("landmark_date", F.add_months("t0", F.col("landmark_index") * rules.landmarks.months))
+    keys = keys.filter(F.col("landmark_date") <= F.lit(horizon(rules, before)))
+    held = states(versions, rules, before).select("trial_id", "effective_date", "status", "study_type", "lapse_from", "stratum")
     met = asof_join(keys, held, ["trial_id"], "landmark_date", "effective_date")
     excluded = (
         F.when(F.col("event_date") <= F.col("landmark_date"), "ended")
         .when(F.col("effective_date").isNull(), "no_state")
         .when(~F.coalesce(F.col("study_type") == "INTERVENTIONAL", F.lit(False)), "not_interventional")
-        .when(~F.coalesce(F.col("status").isin(*rules.open), F.lit(False)), "not_open")
+        .when(~F.coalesce(F.col("status").isin(*rules.status.open), F.lit(False)), "not_open")
         .when(F.col("lapse_from") <= F.col("landmark_date"), "lapsed")
     )
     return met.select("trial_id", "landmark_index", "landmark_date", "event", "event_date", F.coalesce("stratum", F.lit("MISSING")).alias("stratum"), excluded.alias("excluded"))
 
 
-def person_periods(rows: DataFrame, rules: Rules) -> DataFrame:
+def person_periods(rows: DataFrame, rules: Study, before: date | None = None) -> DataFrame:
     """Up to `intervals` intervals after each landmark, while under observation, with the event that falls in each."""
-    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(rules.intervals))).alias("interval"))
-    start = F.add_months("landmark_date", (F.col("interval") - 1) * rules.interval_months)
-    end = F.add_months("landmark_date", F.col("interval") * rules.interval_months)
+    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(rules.intervals.count))).alias("interval"))
+    start = F.add_months("landmark_date", (F.col("interval") - 1) * rules.intervals.months)
+    end = F.add_months("landmark_date", F.col("interval") * rules.intervals.months)
     each = each.withColumn("interval_start", start).withColumn("interval_end", end)
     watched = F.when(F.col("event") > 0, F.col("event_date") > F.col("interval_start")).otherwise(F.col("event_date") >= F.col("interval_end"))
-    each = each.filter(watched & (F.col("interval_end") <= F.lit(rules.cutoff)))
+    each = each.filter(watched & (F.col("interval_end") <= F.lit(horizon(rules, before))))
     return each.withColumn("outcome", F.when(F.col("event_date") <= F.col("interval_end"), F.col("event")).otherwise(0))
 
 

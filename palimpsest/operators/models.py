@@ -1,4 +1,4 @@
-"""Models on Spark ML: text components, design matrices, discrete-time hazards, static risks."""
+"""Models on Spark ML: design matrices, discrete-time hazards, static risks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Imputer, Normalizer, OneHotEncoder, PCA, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,22 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cif_from_hazards, signed_log
 
 
-def text_components(text: str, k: int = 32, features: int = 1 << 18, dense: int = 512) -> Pipeline:
-    """TF-IDF of hashed words, scaled to length 1, and its k leading components over `dense` hashed buckets."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\b[^\W\d_][\w\-]+\b", gaps=False),
-            HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-            IDF(inputCol="counts", outputCol="weighted"),
-            Normalizer(inputCol="weighted", outputCol="tfidf"),
-            HashingTF(inputCol="words", outputCol="few", numFeatures=dense),
-            IDF(inputCol="few", outputCol="few_weighted"),
-            Normalizer(inputCol="few_weighted", outputCol="few_unit"),
-            PCA(inputCol="few_unit", outputCol="components", k=k),
-        ]
-    )
-
-
 def with_logs(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Signed logs of columns, and whether each was missing."""
     return rows.select("*", *[signed_log(F.col(c).cast("double")).alias(f"{c}_log") for c in columns], *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in columns])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def outcomes_after(predictions: DataFrame, events: DataFrame, data_date) -> DataFrame:
     """predictions (id, prediction_date) with the first event strictly after it and up to data_date, and time in days.
@@ -30,9 +32,8 @@ def in_groups(rows: DataFrame, index: str, flag: str) -> DataFrame:
 
 def quantile_edges(rows: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct inner edges of equal-count bins; exact."""
-    at = [i / bins for i in range(1, bins)]
-    edges = rows.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("e")).first()["e"]
-    return sorted(set(edges or []))
+    edges = percentiles(rows, [], column, [i / bins for i in range(1, bins)]).first()
+    return sorted({e for e in edges or [] if e is not None})
 
 
 def binned_shares(rows: DataFrame, column: str, edges: Sequence[float], name: str) -> DataFrame:

@@ -6,13 +6,17 @@ of distinct times of a group, not as its rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_join
+from .ranks import positions, ranged, sum_before
 
 
 def risk_table(rows: DataFrame, by: Sequence[str], time: str, event: str) -> DataFrame:
@@ -51,24 +55,28 @@ def censoring_group(rows: DataFrame, stratum: str, least: int, name: str = "cens
 
 
 def ipcw(rows: DataFrame, group: str, time: str, event: str, horizon: int) -> DataFrame:
-    """rows with label (event 1 by the horizon) and weight: 1/G before the event or at the horizon; 0 if censored earlier."""
+    """rows with label (event 1 by the horizon) and weight: 1/G before the event or at the horizon; 0 if censored earlier.
+
+    The curve is looked up once for each distinct time of a group; rows get the answer by equality.
+    """
     grouped = rows.select(F.col(group).alias("__group"), time, event)
     curve = censoring_survival(grouped, ["__group"], time, event).select(F.col("__group").alias(group), F.col("t").alias("__t"), F.col("g").alias("__g"))
     ended = (F.col(time) <= horizon) & (F.col(event) > 0)
-    keyed = rows.withColumn("__at", F.when(ended, F.col(time)).otherwise(F.lit(horizon)))
-    before = asof_join(keyed.filter(ended), curve, [group], "__at", "__t", strict=True)
-    after = asof_join(keyed.filter(~ended), curve, [group], "__at", "__t")
-    g = F.coalesce("__g", F.lit(1.0))
-    both = before.withColumn("weight", F.when(g > 0, 1 / g)).unionByName(after.withColumn("weight", F.when(F.col(time) <= horizon, 0.0).when(g > 0, 1 / g)))
+    keyed = rows.withColumn("__ended", F.coalesce(ended, F.lit(False))).withColumn("__at", F.when(ended, F.col(time)).otherwise(F.lit(horizon)))
+    asked = keyed.select(group, "__ended", "__at").distinct()
+    before = asof_join(asked.filter("__ended"), curve, [group], "__at", "__t", strict=True)
+    after = asof_join(asked.filter("not __ended"), curve, [group], "__at", "__t")
+    answers = before.unionByName(after).select(F.col(group).alias("__of"), F.col("__ended").alias("__e"), F.col("__at").alias("__a"), F.coalesce("__g", F.lit(1.0)).alias("__g"))
+    met = keyed.join(answers, keyed[group].eqNullSafe(F.col("__of")) & (F.col("__ended") == F.col("__e")) & (F.col("__at") == F.col("__a")), "left")
+    weight = F.when(~F.col("__ended") & (F.col(time) <= horizon), 0.0).when(F.col("__g") > 0, 1 / F.col("__g"))
     label = F.when((F.col(time) <= horizon) & (F.col(event) == 1), 1).otherwise(0)
-    return both.withColumn("label", label).drop("__at", "__t", "__g")
+    return met.withColumn("weight", weight).withColumn("label", label).drop("__at", "__ended", "__of", "__e", "__a", "__g")
 
 
 def weighted_auc(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str) -> DataFrame:
     """(by, auc): chance that a positive outranks a negative, ties half, from weights per distinct score."""
     sums = rows.groupBy(*by, score).agg(F.sum(F.col(weight) * F.col(label)).alias("p"), F.sum(F.col(weight) * (1 - F.col(label))).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = sums.withColumn("below", F.coalesce(below, F.lit(0.0)))
+    ranked = sum_before(sums, by, [score], F.col("n"), "below")
     return ranked.groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
@@ -79,9 +87,8 @@ def weighted_brier(rows: DataFrame, by: Sequence[str], score: str, label: str, w
 
 def top_fraction(rows: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], fraction: float) -> DataFrame:
     """The max(1, ceil(fraction * n)) rows of highest score of each group, ties in the given order."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *ties))
-    size = F.count("*").over(Window.partitionBy(*by))
-    return rows.withColumn("__r", rank).withColumn("__n", size).filter(F.col("__r") <= F.greatest(F.lit(1), F.ceil(F.col("__n") * fraction))).drop("__r", "__n")
+    ranked = positions(rows, by, [F.desc(score), *ties], "__r", "__n")
+    return ranked.filter(F.col("__r") < F.greatest(F.lit(1), F.ceil(F.col("__n") * fraction))).drop("__r", "__n")
 
 
 def lift(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str, ties: Sequence[str], fraction: float = 0.1) -> DataFrame:
@@ -92,8 +99,12 @@ def lift(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str
 
 
 def equal_bins(rows: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], bins: int) -> DataFrame:
-    """rows with bin 1..bins of equal counts by score."""
-    return rows.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(score, *ties)))
+    """rows with bin 1..bins of equal counts by score; the first bins are larger by one where counts don't divide."""
+    ranked = positions(rows, by, [score, *ties], "__r", "__n")
+    size = F.floor(F.col("__n") / bins)
+    larger = F.col("__n") % bins * (size + 1)
+    late = F.col("__n") % bins + F.floor((F.col("__r") - larger) / F.greatest(size, F.lit(1)))
+    return ranked.withColumn("bin", (F.when(F.col("__r") < larger, F.floor(F.col("__r") / (size + 1))).otherwise(late) + 1).cast("int")).drop("__r", "__n")
 
 
 def calibration(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str) -> DataFrame:
@@ -123,17 +134,68 @@ def calibration_slope(rows: DataFrame, score: str, label: str, weight: str, step
     return float(beta[0]), float(beta[1])
 
 
-def bootstrap_weights(rows: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
-    """rows with replicate and times drawn, by clusters: a Poisson(1) count of a hash of cluster and replicate, so
-    every row of a cluster is drawn together, without a shuffle and reproducibly."""
-    each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(cluster, "replicate", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007
-    limits, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(8):
-        total += term
-        limits.append(total)
-        term /= k + 1
-    return each.withColumn("times", sum((u >= x).cast("int") for x in limits)).filter("times > 0")
+def poisson_draws(clusters: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Times that each cluster (a 64-bit hash) is drawn in each replicate: Poisson(1) by a hash of both."""
+    x = clusters[:, None].view(np.uint64) + replicates[None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    limits = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(limits, (x >> np.uint64(11)) / 2.0**53, "right").astype(float)
+
+
+def bootstrap_auc(rows: DataFrame, score: str, label: str, weight: str, cluster: str, replicates: int = 1_000, seed: int = 42) -> DataFrame:
+    """(replicate, auc): the weighted AUC with all rows of a cluster drawn together, Poisson(1) times.
+
+    Weights are summed per score and cluster and dealt by ranges of scores. A first pass takes each range's sums of all
+    replicates, a second the ranks, with the sums of the lower ranges broadcast: ranges times replicates numbers.
+    """
+    sums = rows.groupBy(F.col(score).alias("score"), F.xxhash64(cluster, F.lit(seed)).alias("cluster")).agg(F.sum(F.col(weight) * F.col(label)).alias("p"), F.sum(F.col(weight) * (1 - F.col(label))).alias("n"))
+    held = ranged(sums.select("score", "cluster", F.col("p").cast("double"), F.col("n").cast("double")), [], ["score"]).sortWithinPartitions("score")
+    drawn = np.arange(1, replicates + 1)
+    lists = pa.list_(pa.float64())
+
+    def per_score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Sums of all replicates for runs of whole scores, in order: range, positives and negatives by score."""
+        left: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            table = left if batch is None else pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+            if table is None or not table.num_rows:
+                continue
+            scores = table.column("score").to_numpy()
+            cut = len(scores) if batch is None else int(np.searchsorted(scores, scores[-1], "left"))
+            left = table.slice(cut)
+            starts = np.flatnonzero(np.concatenate([[True], scores[1:cut] != scores[: cut - 1]])) if cut else np.zeros(0, int)
+            for few in np.split(starts, range(2_000, len(starts), 2_000)) if cut else []:
+                end = starts[starts > few[-1]][0] if (starts > few[-1]).any() else cut
+                part = table.slice(few[0], end - few[0])
+                times = poisson_draws(part.column("cluster").to_numpy(), drawn)
+                sums = [np.add.reduceat(part.column(c).to_numpy()[:, None] * times, few - few[0]) for c in ("p", "n")]
+                yield part.column("__range")[0].as_py(), *sums
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(r, n.sum(axis=0)) for r, _, n in per_score(batches)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([found[0][0]], pa.int32()), pa.array([sum(n for _, n in found)], lists)], ["range", "n"])
+
+    lower, so_far = {}, np.zeros(replicates)
+    for r in sorted(held.mapInArrow(totals, "range int, n array<double>").collect()):
+        lower[r["range"]] = so_far
+        so_far = so_far + np.array(r["n"])
+    shared = rows.sparkSession.sparkContext.broadcast(lower)
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, above, positive, negative = None, 0.0, 0.0, 0.0
+        for r, p, n in per_score(batches):
+            below = shared.value[r] if below is None else below
+            before = below + np.cumsum(n, axis=0) - n
+            above = above + (p * (before + n / 2)).sum(axis=0)
+            positive, negative = positive + p.sum(axis=0), negative + n.sum(axis=0)
+            below = below + n.sum(axis=0)
+        if below is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int32()), *[pa.array(x, pa.float64()) for x in (above, positive, negative)]], ["replicate", "above", "p", "n"])
+
+    each = held.mapInArrow(ranks, "replicate int, above double, p double, n double").groupBy("replicate")
+    return each.agg((F.sum("above") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def interval(values: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def latest_per(versions: DataFrame, by: Sequence[str], version: str) -> DataFrame:
-    """The row of the highest version of each group, ties by any row."""
-    rank = Window.partitionBy(*by).orderBy(F.col(version).desc_nulls_last())
+    """The row of the highest version of each group; of equal versions the one of least content hash, whatever the run."""
+    hashed = F.xxhash64(*[f.name for f in versions.schema.fields if "map" not in f.dataType.simpleString()])
+    rank = Window.partitionBy(*by).orderBy(F.col(version).desc_nulls_last(), hashed)
     return versions.withColumn("__n", F.row_number().over(rank)).filter("__n = 1").drop("__n")
 
 

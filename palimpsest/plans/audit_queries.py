@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import cohort, compare
+from ..operators.ranks import percentiles
 from ..operators.versions import arg_max, arg_min, quarantine, unique_in
-from .registry import RULES, VERSIONS_SQL, query, table, versions
+from .registry import STUDY, VERSIONS_SQL, query, table, versions
 
 WITH = f"WITH {VERSIONS_SQL}"
 
@@ -15,7 +16,7 @@ WITH = f"WITH {VERSIONS_SQL}"
 @query(f"""{WITH} SELECT trial_id, arg_min(first_post_date, version) AS t0, min(effective_date) AS first_date, max(effective_date) AS last_date, count(*) AS n_versions, arg_max(status, version) AS last_status,
   any_value(stratum) AS stratum, count(DISTINCT (study_type, sponsor_key)) AS n_pairs FROM versions GROUP BY trial_id""")
 def trials_summary(spark, sf_dir):
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES))
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
     v = F.col("version")
     return held.groupBy("trial_id").agg(
         arg_min(F.col("first_post_date"), v).alias("t0"), F.min("effective_date").alias("first_date"), F.max("effective_date").alias("last_date"), F.count("*").alias("n_versions"),
@@ -99,18 +100,18 @@ def change_markers(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("trial_id").orderBy("version")
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES))
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
     return held.select("trial_id", "version", text.marker_code([(F.lag(c).over(w), F.col(c)) for c in ("status", "completion_date", "enrollment_count")]).alias("marker"))
 
 
 @query("""SELECT p_partkey, CASE upper(p_brand) WHEN '' THEN NULL WHEN 'BRAND#1' THEN 'FIRST' ELSE upper(p_brand) END AS brand,
   CASE p_partkey % 5 WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_size / 12 WHEN 2 THEN p_size * 7 / 365.25 WHEN 3 THEN p_size / 365.25 END AS age,
-  CASE p_partkey % 4 WHEN 0 THEN 'PHASE1_PHASE2' WHEN 1 THEN 'PHASE3' WHEN 2 THEN 'PHASE4' END AS phase FROM part""")
+  CASE p_partkey % 8 WHEN 0 THEN 'PHASE1_PHASE2' WHEN 1 THEN 'PHASE3' WHEN 2 THEN 'PHASE4' WHEN 3 THEN 'OTHER' WHEN 4 THEN 'PHASE2_PHASE3' WHEN 5 THEN 'EARLY_PHASE1' ELSE 'NONE' END AS phase FROM part""")
 def canonical_values(spark, sf_dir):
     k = F.col("p_partkey")
     unit = F.when(k % 5 == 0, " Years").when(k % 5 == 1, " Months").when(k % 5 == 2, " Weeks").when(k % 5 == 3, " Day").otherwise(" moons")
     age = text.age_in_years(F.concat(F.col("p_size").cast("string"), unit))
-    title = F.concat(F.lit("A "), F.when(k % 4 == 0, "Phase I/II").when(k % 4 == 1, "phase 3").when(k % 4 == 2, "PHASE IV").otherwise("phased"), F.lit(" trial of "), F.col("p_name"))
+    title = F.concat(F.lit("A "), F.when(k % 8 == 0, "Phase I/II").when(k % 8 == 1, "phase 3").when(k % 8 == 2, "PHASE-IV").when(k % 8 == 3, "phase 1, then phase 3").when(k % 8 == 4, "phase 2a or phase 3").when(k % 8 == 5, "Early Phase 0").otherwise("phased"), F.lit(" trial of "), F.col("p_name"))
     brand = text.canonical_enum(F.concat(F.lit("  "), F.lower("p_brand"), F.lit(" ")), {"BRAND#1": "FIRST"})
     return table(spark, sf_dir, "part").select("p_partkey", brand.alias("brand"), age.alias("age"), text.title_phase(title).alias("phase"))
 
@@ -132,15 +133,15 @@ def landmark_indices(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.true_index(d, e, 6).alias("true_index"), dates.months_between(e, d).alias("months"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents),
-p AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '[Ee][Xx][Cc][Ll][Uu][Ss][Ii][Oo][Nn]')), true) AS f FROM l), s AS (SELECT *, CASE WHEN f > 0 THEN f ELSE len(ls) + 1 END AS k FROM p)
-SELECT doc_id, len(list_filter(ls[1:k - 1], lambda x: NOT regexp_matches(x, ':\s*$'))) AS n_inclusion, len(list_filter(ls[k + 1:], lambda x: NOT regexp_matches(x, ':\s*$'))) AS n_exclusion, length(text) AS length, len(regexp_extract_all(text, '[<>]=?\s*\d')) AS n_thresholds FROM s""")
+@query(f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(x, '{text.EXCLUSIONS}')), true) AS f FROM l)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(list_filter(CASE WHEN f > 0 THEN ls[1:f - 1] ELSE ls END, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '{text.HEADING}'))) END AS n_inclusion,
+  CASE WHEN f > 0 THEN len(list_filter(ls[f:], lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '{text.HEADING}'))) WHEN text IS NOT NULL THEN 0 END AS n_exclusion, length(text) AS length, len(regexp_extract_all(text, '{text.THRESHOLD}')) AS n_thresholds FROM p""")
 def criteria_statistics(spark, sf_dir):
     stats = text.criteria_statistics(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in stats.items()])
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', '[email removed]', 'g') AS text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n FROM documents WHERE contains(text, '@')""")
+@query(r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email removed]', 'g') AS text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n FROM documents WHERE contains(text, '@')""")
 def scrubbed_emails(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@")))
     return d.select("doc_id", text.scrub_emails(F.col("text")).alias("text"), F.regexp_count("text", F.lit(text.EMAIL)).alias("n"))
@@ -162,7 +163,9 @@ def json_fields(spark, sf_dir):
 @query("SELECT o_orderpriority, quantile_cont(o_totalprice, 0.9) AS p90, median(o_totalprice) AS p50, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS share FROM orders GROUP BY 1")
 def exact_quantiles(spark, sf_dir):
     done = F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.lit(0.9)).alias("p90"), F.median("o_totalprice").alias("p50"), done.alias("share"))
+    orders = table(spark, sf_dir, "orders")
+    found = percentiles(orders, ["o_orderpriority"], "o_totalprice", [0.9, 0.5]).select("o_orderpriority", F.col("p0").alias("p90"), F.col("p1").alias("p50"))
+    return found.join(orders.groupBy("o_orderpriority").agg(done.alias("share")), "o_orderpriority")
 
 
 @query(f"""{WITH}, t AS (SELECT trial_id, min(effective_date) AS a, max(effective_date) AS b FROM versions GROUP BY 1), m AS (SELECT CAST(d AS DATE) AS "month" FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-07-01', INTERVAL 1 MONTH) g(d))
@@ -195,5 +198,5 @@ def posting_lags(spark, sf_dir):
 
 @query(f"""{WITH}, r AS (SELECT date_trunc('month', effective_date)::DATE AS "month", coalesce(sponsor_key, 'none') AS reason, stratum FROM versions WHERE status = 'TERMINATED') SELECT "month", reason, stratum, count(*) AS n FROM r GROUP BY ALL""")
 def stop_reason_cube(spark, sf_dir):
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES)).filter("status = 'TERMINATED'")
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY)).filter("status = 'TERMINATED'")
     return held.groupBy(F.trunc("effective_date", "month").alias("month"), F.coalesce("sponsor_key", F.lit("none")).alias("reason"), "stratum").agg(F.count("*").alias("n"))

@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import cohort, features
+from ..functions.text import EXCLUSIONS, HEADING, THRESHOLD, criteria_statistics, has_identity, resolved_phase
+from ..operators import cohort, features, sponsors
 from ..operators.asof import asof_join
 from ..operators.versions import changes, latest_per, open_counts, out_of_order, repeats, running_history
-from .registry import RULES, VERSIONS_SQL, cohort_sql, query, table, versions
+from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
+from .sponsor_queries import COUNTS, sponsor_states
 
 ORIGIN = date(2000, 1, 1)
 WITH = f"WITH {VERSIONS_SQL}"
@@ -42,29 +44,29 @@ def dedupe_latest_per_day(spark, sf_dir):
 @query(f"""{WITH} SELECT trial_id, version, row_number() OVER w AS n_versions, first_value(first_post_date) OVER w AS first_first_post_date, first_value(enrollment_count) OVER w AS first_enrollment_count,
   bool_or(status = 'SUSPENDED') OVER w AS ever_suspended FROM versions WINDOW w AS (PARTITION BY trial_id ORDER BY effective_date, version ROWS UNBOUNDED PRECEDING)""")
 def running_history_query(spark, sf_dir):
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES))
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
     ran = running_history(held, "trial_id", ["effective_date", "version"], ["first_post_date", "enrollment_count"], {"ever_suspended": F.col("status") == "SUSPENDED"})
     return ran.select("trial_id", "version", "n_versions", "first_first_post_date", "first_enrollment_count", "ever_suspended")
 
 
 @query(f"{FULL} SELECT trial_id, effective_date, next_effective, status, lapse_from FROM states")
 def states_with_validity(spark, sf_dir):
-    return cohort.states(versions(spark, sf_dir), RULES).select("trial_id", "effective_date", "next_effective", "status", "lapse_from")
+    return cohort.states(versions(spark, sf_dir), STUDY).select("trial_id", "effective_date", "next_effective", "status", "lapse_from")
 
 
 @query(f"{FULL} SELECT * FROM outcomes")
 def outcomes_first_terminal(spark, sf_dir):
-    return cohort.outcomes(versions(spark, sf_dir), RULES)
+    return cohort.outcomes(versions(spark, sf_dir), STUDY)
 
 
 @query(f"{FULL} SELECT * FROM landmarks")
 def landmark_rows(spark, sf_dir):
-    return cohort.landmarks(versions(spark, sf_dir), RULES)
+    return cohort.landmarks(versions(spark, sf_dir), STUDY)
 
 
 @query(f"{FULL} SELECT landmark_index, coalesce(excluded, 'kept') AS fate, count(*) AS n, count(DISTINCT trial_id) AS trials FROM landmarks GROUP BY ALL")
 def cohort_funnel(spark, sf_dir):
-    rows = cohort.landmarks(versions(spark, sf_dir), RULES)
+    rows = cohort.landmarks(versions(spark, sf_dir), STUDY)
     return rows.groupBy("landmark_index", F.coalesce("excluded", F.lit("kept")).alias("fate")).agg(F.count("*").alias("n"), F.countDistinct("trial_id").alias("trials"))
 
 
@@ -76,8 +78,8 @@ PERIODS = """, periods AS (SELECT *, CASE WHEN event_date <= interval_end THEN e
 
 @query(f'{FULL}{PERIODS} SELECT trial_id, landmark_index, "interval", interval_start, interval_end, outcome, stratum FROM periods')
 def person_period_expand(spark, sf_dir):
-    rows = cohort.landmarks(versions(spark, sf_dir), RULES).filter("excluded is null")
-    return cohort.person_periods(rows, RULES).select("trial_id", "landmark_index", "interval", "interval_start", "interval_end", "outcome", "stratum")
+    rows = cohort.landmarks(versions(spark, sf_dir), STUDY).filter("excluded is null")
+    return cohort.person_periods(rows, STUDY).select("trial_id", "landmark_index", "interval", "interval_start", "interval_end", "outcome", "stratum")
 
 
 BOTH = f"{FULL}, {cohort_sql('2000-01-01', '2000-01-01', 'a_')}"
@@ -85,7 +87,7 @@ BOTH = f"{FULL}, {cohort_sql('2000-01-01', '2000-01-01', 'a_')}"
 
 @query(f"{BOTH} SELECT trial_id, event, event_date, censor_reason, reversal FROM a_outcomes")
 def outcomes_as_of_origin(spark, sf_dir):
-    return cohort.outcomes(versions(spark, sf_dir), RULES.as_of(ORIGIN)).select("trial_id", "event", "event_date", "censor_reason", "reversal")
+    return cohort.outcomes(versions(spark, sf_dir), STUDY, before=ORIGIN).select("trial_id", "event", "event_date", "censor_reason", "reversal")
 
 
 @query(f"""{BOTH}, f AS (SELECT trial_id, CASE WHEN event_date >= DATE '2000-01-01' THEN 0 ELSE event END AS final_event, least(event_date, DATE '2000-01-01') AS final_date FROM outcomes),
@@ -94,7 +96,7 @@ SELECT CASE WHEN known_event IS NULL THEN 'only_final' WHEN final_event IS NULL
   count(*) AS n FROM k FULL JOIN f USING (trial_id) GROUP BY ALL""")
 def as_of_origin_labels_diff(spark, sf_dir):
     held = versions(spark, sf_dir)
-    return cohort.label_changes(cohort.outcomes(held, RULES.as_of(ORIGIN)), cohort.outcomes(held, RULES), ORIGIN).groupBy("category").agg(F.count("*").alias("n"))
+    return cohort.label_changes(cohort.outcomes(held, STUDY, before=ORIGIN), cohort.outcomes(held, STUDY), ORIGIN).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query(f"""{WITH}, d AS (SELECT opened AS day, 1 AS change FROM (SELECT trial_id, min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id)
@@ -106,12 +108,18 @@ def open_count_sweep(spark, sf_dir):
 
 
 def feature_rows(held, keys):
-    kinds = F.array(F.when(F.col("version") % 2 == 0, F.lit("DRUG")).otherwise(F.lit("DEVICE")), F.lit("OTHER"), F.lit("OTHER"))
-    states = features.history(held, RULES).withColumn("intervention_types", F.when(F.col("version") % 4 != 0, kinds))
-    return features.select_features(features.at_landmarks(keys, states))
+    """All inputs of the features at keys: state and history, title and text, and what the other tables say that day."""
+    states = features.history(held, STUDY)
+    stats = {f"eligibility_{name}": c for name, c in criteria_statistics(F.col("criteria")).items()}
+    states = states.withColumns({"title_phase": resolved_phase(F.col("official_title"), F.col("brief_title")), **stats})
+    spans = held.groupBy("trial_id").agg(F.min("effective_date").alias("opened"), F.max("effective_date").alias("closed"))
+    met = features.competition(features.at_landmarks(keys, states), spans).withColumnRenamed("open_trials", "open_interventional_trials")
+    asked = met.filter(has_identity(F.col("sponsor_key"), F.lit(False))).select("trial_id", "landmark_index", "landmark_date", "sponsor_key")
+    record = sponsors.strict_counts(sponsors.sponsor_events(sponsor_states(held), asked))
+    return sponsors.with_record(met, record, has_identity(F.col("sponsor_key"), F.lit(False)))
 
 
-FEATURES = """, hist AS (SELECT *, row_number() OVER w AS n_versions, first_value(first_post_date) OVER w AS f_post, first_value(start_date) OVER w AS f_start, first_value(completion_date) OVER w AS f_comp,
+FEATURES = """, hist AS (SELECT *, row_number() OVER w AS n_versions, first_value(first_post_date) OVER w AS f_post, first_value(start_date) OVER w AS f_start, first_value(completion_date) OVER w AS f_comp, first_value(primary_completion_date) OVER w AS f_prim,
     first_value(enrollment_count) OVER w AS f_count, first_value(enrollment_type) OVER w AS f_type, coalesce(bool_or(status = 'SUSPENDED') OVER w, false) AS ever_suspended
   FROM versions WINDOW w AS (PARTITION BY trial_id ORDER BY effective_date, version ROWS UNBOUNDED PRECEDING)),
 hst AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY trial_id, effective_date ORDER BY version DESC) = 1),
@@ -119,22 +127,36 @@ keys AS (SELECT trial_id, landmark_index, landmark_date, CAST(landmark_date - IN
 bef AS (SELECT k.trial_id, k.landmark_index, h.n_versions AS then_n FROM keys k ASOF LEFT JOIN hst h ON k.trial_id = h.trial_id AND k.window_start >= h.effective_date),
 cur AS (SELECT k.landmark_index, k.landmark_date, h.* FROM keys k ASOF LEFT JOIN hst h ON k.trial_id = h.trial_id AND k.landmark_date >= h.effective_date)"""
 MI = lambda d: f"(year({d}) * 12 + month({d}))"
-
-
-@query(f"""{FULL}{FEATURES} SELECT c.trial_id, c.landmark_index, landmark_date, CAST(enrollment_count AS DOUBLE) AS enrollment_count, {MI('completion_date')} - {MI('start_date')} AS planned_duration_months,
-  {MI('start_date')} > {MI('landmark_date')} AS start_anticipated, {MI('start_date')} < {MI('f_post')} AS registered_after_start, year(f_post) AS registration_year, status, n_versions,
-  n_versions - coalesce(then_n, 0) AS n_versions_recent, {MI('landmark_date')} - {MI('effective_date')} AS months_since_last_update, {MI('completion_date')} - {MI('f_comp')} AS completion_slip_months,
+LINES = "string_split(criteria, chr(10))"
+FLAGS = ", ".join(f"coalesce(list_contains(intervention_types, '{k}'), false) AS intervention_{k.lower()}" for k in features.INTERVENTION_KINDS)
+TEXTS = f"""SELECT *, list_filter(CASE WHEN o_first > 0 THEN ls[1:o_first - 1] ELSE ls END, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '{HEADING}')) AS inc,
+  list_filter(CASE WHEN o_first > 0 THEN ls[o_first:] ELSE [] END, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '{HEADING}')) AS exc
+  FROM (SELECT *, {LINES} AS ls, list_position(list_transform({LINES}, lambda x: regexp_matches(x, '{EXCLUSIONS}')), true) AS o_first FROM cur)"""
+
+
+@query(f"""{COUNTS}{FEATURES}, spans AS (SELECT min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id),
+ch AS (SELECT opened AS day, 1 AS c FROM spans UNION ALL SELECT closed, -1 FROM spans), tl AS (SELECT day, sum(sum(c)) OVER (ORDER BY day) AS n_open FROM ch GROUP BY day),
+txt AS ({TEXTS}), opn AS (SELECT txt.*, coalesce(n_open, 0) AS n_open FROM txt ASOF LEFT JOIN tl ON txt.landmark_date >= tl.day)
+SELECT c.trial_id, c.landmark_index, c.landmark_date, allocation, intervention_model, primary_purpose, masking, healthy_volunteers, sex, minimum_age_years, maximum_age_years,
+  CAST(enrollment_count AS DOUBLE) AS enrollment_count, {MI('primary_completion_date')} - {MI('start_date')} AS planned_duration_months,
+  {MI('start_date')} > {MI('c.landmark_date')} AS start_anticipated, {MI('start_date')} < {MI('first_post_date')} AS registered_after_start, {MI('first_post_date')} - {MI('start_date')} AS registration_lag_months,
+  year(first_post_date) AS registration_year, status, n_versions, n_versions - coalesce(then_n, 0) AS n_versions_recent, {MI('c.landmark_date')} - {MI('effective_date')} AS months_since_last_update,
+  {MI('primary_completion_date')} - {MI('f_prim')} AS primary_completion_slip_months, {MI('completion_date')} - {MI('f_comp')} AS completion_slip_months,
   {MI('start_date')} - {MI('f_start')} AS start_slip_months, CASE enrollment_type WHEN 'ACTUAL' THEN true WHEN 'ESTIMATED' THEN false END AS enrollment_closed,
   CASE WHEN enrollment_type = 'ESTIMATED' AND f_type = 'ESTIMATED' AND f_count > 0 THEN enrollment_count / f_count END AS enrollment_target_ratio,
   CASE WHEN enrollment_type = 'ACTUAL' AND f_type = 'ESTIMATED' AND f_count > 0 THEN enrollment_count / f_count END AS enrolled_to_first_target_ratio,
-  ever_suspended, status = 'SUSPENDED' AS currently_suspended, CASE WHEN status <> 'NOT_YET_RECRUITING' THEN false ELSE {MI('start_date')} < {MI('landmark_date')} END AS start_overdue,
-  {MI('landmark_date')} - {MI('status_verified_date')} AS months_since_status_verified, coalesce(stratum, 'MISSING') AS sponsor_class, {MI('landmark_date')} - {MI('f_post')} AS months_since_t0,
-  CASE WHEN version % 4 <> 0 THEN 3 ELSE 0 END AS n_interventions, CASE WHEN version % 4 <> 0 THEN 2 ELSE 0 END AS n_intervention_types
-FROM cur c JOIN bef b ON c.trial_id = b.trial_id AND c.landmark_index = b.landmark_index""")
+  ever_suspended, status = 'SUSPENDED' AS currently_suspended, CASE WHEN status <> 'NOT_YET_RECRUITING' THEN false ELSE {MI('start_date')} < {MI('c.landmark_date')} END AS start_overdue,
+  CASE WHEN primary_completion_date_type = 'ACTUAL' THEN false ELSE {MI('primary_completion_date')} < {MI('c.landmark_date')} END AS primary_completion_overdue, primary_completion_date_type = 'ACTUAL' AS primary_completion_reached,
+  {MI('c.landmark_date')} - {MI('status_verified_date')} AS months_since_status_verified, coalesce(stratum, 'MISSING') AS sponsor_class, organization_class, maximum_age_years - minimum_age_years AS eligibility_age_span_years,
+  {MI('c.landmark_date')} - {MI('first_post_date')} AS months_since_t0, title_phase, coalesce(len(intervention_types), 0) AS n_interventions, coalesce(len(list_distinct(intervention_types)), 0) AS n_intervention_types, {FLAGS},
+  c.sponsor_key IS NOT NULL AS sponsor_has_identity, registrations AS sponsor_prior_registrations, ended AS sponsor_prior_ended, stopped AS sponsor_prior_stopped, n_open AS open_interventional_trials,
+  CASE WHEN criteria IS NOT NULL THEN len(inc) END AS eligibility_n_inclusion, CASE WHEN criteria IS NOT NULL THEN len(exc) END AS eligibility_n_exclusion, length(criteria) AS eligibility_length, len(regexp_extract_all(criteria, '{THRESHOLD}')) AS eligibility_n_thresholds
+FROM opn c JOIN bef b ON c.trial_id = b.trial_id AND c.landmark_index = b.landmark_index LEFT JOIN cnt ON cnt.trial_id = c.trial_id AND cnt.landmark_index = c.landmark_index""")
 def features_at_landmark(spark, sf_dir):
+    """All features of every kept landmark row."""
     held = versions(spark, sf_dir)
-    keys = cohort.landmarks(held, RULES).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
-    return feature_rows(held, keys)
+    keys = cohort.landmarks(held, STUDY).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
+    return features.select_features(feature_rows(held, keys))
 
 
 @query(f"""{FULL}, spans AS (SELECT min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id),
@@ -142,7 +164,7 @@ ch AS (SELECT opened AS day, 1 AS c FROM spans UNION ALL SELECT closed, -1 FROM
 SELECT trial_id, landmark_index, CAST(coalesce(n, 0) AS BIGINT) AS open_trials FROM (SELECT * FROM landmarks WHERE excluded IS NULL) l ASOF LEFT JOIN tl ON l.landmark_date >= tl.day""")
 def competition_at_landmark(spark, sf_dir):
     held = versions(spark, sf_dir)
-    keys = cohort.landmarks(held, RULES).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
+    keys = cohort.landmarks(held, STUDY).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
     spans = held.groupBy("trial_id").agg(F.min("effective_date").alias("opened"), F.max("effective_date").alias("closed"))
     return features.competition(keys, spans).select("trial_id", "landmark_index", "open_trials")
 
@@ -161,6 +183,6 @@ def consecutive_repeats(spark, sf_dir):
 SELECT trial_id, version, list_aggregate(list_filter([CASE WHEN status IS DISTINCT FROM a THEN 'status' END, CASE WHEN sponsor_key IS DISTINCT FROM b THEN 'sponsor_key' END, CASE WHEN enrollment_type IS DISTINCT FROM c THEN 'enrollment_type' END], lambda x: x IS NOT NULL), 'string_agg', '|') AS changed
 FROM l WHERE n > 1 AND (status IS DISTINCT FROM a OR sponsor_key IS DISTINCT FROM b OR enrollment_type IS DISTINCT FROM c)""")
 def version_changes(spark, sf_dir):
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES))
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
     found = changes(held, "trial_id", "version", ["status", "sponsor_key", "enrollment_type"])
     return found.select("trial_id", "version", F.array_join("changed", "|").alias("changed"))

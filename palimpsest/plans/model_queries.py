@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import cohort, models
+from ..operators.text_svd import fit_components
+from ..session import shared_folder
 from ..streaming.state import batch_changes
-from .registry import RULES, query, table, versions
+from .registry import STUDY, query, table, versions
 
 
 @query()
 def text_component_features(spark, sf_dir):
+    """32 components of every document; tested against a dense decomposition."""
+    shared_folder(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = models.text_components("text", k=8, dense=128).fit(docs).transform(docs)
-    return found.select("doc_id", F.transform(vector_to_array("components"), lambda x: F.round(x, 6)).alias("components"))
+    return fit_components(docs, "doc_id", "text").transform(docs, "doc_id", "text")
 
 
 @query()
 def discrete_time_risks(spark, sf_dir):
     held = versions(spark, sf_dir)
-    rows = cohort.person_periods(cohort.landmarks(held, RULES).filter("excluded is null"), RULES)
+    rows = cohort.person_periods(cohort.landmarks(held, STUDY).filter("excluded is null"), STUDY)
     rows = rows.withColumn("months", F.col("interval") * 6 + F.col("landmark_index"))
     model = models.fit_hazards(rows, ["months"], ["stratum"])
     return models.risks(model, rows, ["months"], ["trial_id", "landmark_index"])
@@ -29,6 +31,6 @@ def discrete_time_risks(spark, sf_dir):
 @query()
 def change_stream_batch(spark, sf_dir):
     """The state machine over the whole log; the stream gives the same rows file by file."""
-    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(RULES))
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
     records = held.select(F.col("trial_id").alias("id"), F.col("effective_date").alias("day"), F.col("version").alias("seq"), "status", F.md5(F.concat_ws("|", "status", F.col("enrollment_count").cast("string"))).alias("hash"))
-    return batch_changes(records, frozenset(RULES.terminal))
+    return batch_changes(records, frozenset(STUDY.status.ended))

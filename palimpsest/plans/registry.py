@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Rules
+from ..config import study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-RULES = Rules()
+STUDY = study()
 
 
 def query(sql: str | None = None):
@@ -63,6 +63,20 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "ACTUAL").when(k % 17 != 0, "ESTIMATED").alias("enrollment_type"),
         F.when(k % 19 != 0, F.concat(F.lit("sponsor "), (F.when(k % 23 == 0, trial + 1).otherwise(trial) % 40).cast("string"))).alias("sponsor_key"),
         "stratum",
+        F.when(k % 3 == 0, "RANDOMIZED").when(k % 3 == 1, "NON_RANDOMIZED").alias("allocation"),
+        F.when(k % 2 == 0, "PARALLEL").otherwise("SINGLE_GROUP").alias("intervention_model"),
+        unless(9, F.lit("TREATMENT")).alias("primary_purpose"),
+        F.when(k % 4 == 0, "NONE").when(k % 4 == 1, "DOUBLE").alias("masking"),
+        unless(13, k % 6 == 0).alias("healthy_volunteers"),
+        F.when(k % 5 == 0, "FEMALE").otherwise("ALL").alias("sex"),
+        unless(14, (k % 60).cast("double")).alias("minimum_age_years"),
+        unless(8, (k % 60 + k % 30).cast("double")).alias("maximum_age_years"),
+        F.col("o_orderpriority").alias("organization_class"),
+        F.when(k % 9 == 0, "ACTUAL").when(k % 9 < 7, "ESTIMATED").alias("primary_completion_date_type"),
+        F.when(k % 6 == 0, "A Phase 1/2 study").when(k % 6 == 1, "PHASE III, randomized").when(k % 6 == 2, "phase IIb and Phase 3").when(k % 6 == 3, "Biphasic insulin").when(k % 6 == 4, "Phase 1 or 3").alias("official_title"),
+        F.when(k % 4 == 0, "Post-marketing phase-IV").when(k % 4 == 1, "A trial in phases").when(k % 4 == 2, "Early Phase 0").alias("brief_title"),
+        unless(10, F.concat(F.lit("Inclusion Criteria:\nage at least "), (k % 90).cast("string"), F.lit("\n\ndose >= 2"), F.when(k % 3 == 0, "").otherwise("\n Key EXCLUSION criteria\nunder 5 years\nsee exclusion criteria"))).alias("criteria"),
+        F.when(k % 4 != 0, F.array(F.when(k % 2 == 0, F.lit("DRUG")).otherwise(F.lit("DEVICE")), F.lit("OTHER"), F.lit("OTHER"))).alias("intervention_types"),
     )
 
 
@@ -81,7 +95,13 @@ versions AS (
     CAST(floor(o_totalprice / 1000) AS INTEGER) AS enrollment_count,
     CASE WHEN o_orderstatus = 'F' THEN 'ACTUAL' WHEN o_orderkey % 17 <> 0 THEN 'ESTIMATED' END AS enrollment_type,
     CASE WHEN o_orderkey % 19 <> 0 THEN 'sponsor ' || ((CASE WHEN o_orderkey % 23 = 0 THEN o_custkey + 1 ELSE o_custkey END) % 40) END AS sponsor_key,
-    c_mktsegment AS stratum,
+    c_mktsegment AS stratum, CASE o_orderkey % 3 WHEN 0 THEN 'RANDOMIZED' WHEN 1 THEN 'NON_RANDOMIZED' END AS allocation, CASE o_orderkey % 2 WHEN 0 THEN 'PARALLEL' ELSE 'SINGLE_GROUP' END AS intervention_model,
+    CASE WHEN o_orderkey % 9 <> 0 THEN 'TREATMENT' END AS primary_purpose, CASE o_orderkey % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'DOUBLE' END AS masking, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 6 = 0 END AS healthy_volunteers,
+    CASE o_orderkey % 5 WHEN 0 THEN 'FEMALE' ELSE 'ALL' END AS sex, CASE WHEN o_orderkey % 14 <> 0 THEN CAST(o_orderkey % 60 AS DOUBLE) END AS minimum_age_years, CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderkey % 60 + o_orderkey % 30 AS DOUBLE) END AS maximum_age_years,
+    o_orderpriority AS organization_class, CASE WHEN o_orderkey % 9 = 0 THEN 'ACTUAL' WHEN o_orderkey % 9 < 7 THEN 'ESTIMATED' END AS primary_completion_date_type,
+    CASE WHEN o_orderkey % 6 = 0 THEN 'PHASE1_PHASE2' WHEN o_orderkey % 6 = 1 THEN 'PHASE3' WHEN o_orderkey % 6 = 2 THEN 'PHASE2_PHASE3' WHEN o_orderkey % 6 = 4 THEN 'OTHER' WHEN o_orderkey % 4 = 0 THEN 'PHASE4' WHEN o_orderkey % 4 = 2 THEN 'EARLY_PHASE1' ELSE 'NONE' END AS title_phase,
+    CASE WHEN o_orderkey % 10 <> 0 THEN 'Inclusion Criteria:' || chr(10) || 'age at least ' || (o_orderkey % 90) || chr(10) || chr(10) || 'dose >= 2' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || ' Key EXCLUSION criteria' || chr(10) || 'under 5 years' || chr(10) || 'see exclusion criteria' END END AS criteria,
+    CASE WHEN o_orderkey % 4 <> 0 THEN [CASE o_orderkey % 2 WHEN 0 THEN 'DRUG' ELSE 'DEVICE' END, 'OTHER', 'OTHER'] END AS intervention_types,
     CASE WHEN s.status = 'UNKNOWN' AND o_orderkey % 2 = 0 THEN 'RECRUITING' ELSE s.status END AS status
   FROM (SELECT *, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'COMPLETED' WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'TERMINATED'
       WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN 'UNKNOWN' WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'SUSPENDED' ELSE 'RECRUITING' END AS status FROM orders) s
@@ -97,9 +117,9 @@ def cohort_sql(cutoff: str = "2001-08-01", before: str | None = None, prefix: st
   (SELECT * FROM {p}known QUALIFY row_number() OVER (PARTITION BY trial_id, effective_date ORDER BY version DESC) = 1)),
 {p}refs AS (SELECT *, coalesce(CASE completion_date_precision WHEN 'month' THEN last_day(completion_date) ELSE completion_date END,
     make_date(CAST(year(primary_completion_date) AS INTEGER), 12, 31)) + 1 AS done,
-  last_day(CAST(status_verified_date + INTERVAL 24 MONTH AS DATE)) + 1 AS silent FROM {p}daily),
-{p}states AS (SELECT *, CASE WHEN status IN ('NOT_YET_RECRUITING','RECRUITING','ENROLLING_BY_INVITATION','ACTIVE_NOT_RECRUITING') AND done IS NOT NULL AND silent IS NOT NULL
-    THEN greatest(effective_date, done, silent) WHEN status = 'UNKNOWN' THEN effective_date END AS lapse_from FROM {p}refs),
+  last_day(CAST(coalesce(status_verified_date, effective_date) + INTERVAL 24 MONTH AS DATE)) + 1 AS silent FROM {p}daily),
+{p}states AS (SELECT *, CASE WHEN status = 'UNKNOWN' THEN effective_date
+    WHEN status IN ('NOT_YET_RECRUITING','RECRUITING','ENROLLING_BY_INVITATION','ACTIVE_NOT_RECRUITING') THEN greatest(effective_date, coalesce(done, effective_date), silent) END AS lapse_from FROM {p}refs),
 {p}per AS (SELECT trial_id, arg_min(first_post_date, version) AS t0, min(version) FILTER (WHERE status IN ('TERMINATED','WITHDRAWN','COMPLETED')) AS end_version,
     max(version) FILTER (WHERE status IN ('RECRUITING','SUSPENDED','UNKNOWN')) AS last_open, bool_or(study_type = 'INTERVENTIONAL') AS in_population FROM {p}known GROUP BY trial_id),
 {p}ended AS (SELECT p.*, k.status AS end_status, k.effective_date AS end_date, s.lapse_from, coalesce(s.status_verified_date, s.effective_date) AS quiet,

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import monitoring, serving, survival
+from ..operators.ranks import percentiles
 from .registry import query, table
 
 
@@ -73,7 +74,9 @@ def area_counts(spark, sf_dir):
 
 @query("SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 300000) AS flagged, avg(o_totalprice) AS mean, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS median FROM orders GROUP BY 1")
 def landscape_summary(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 300000).alias("flagged"), F.avg("o_totalprice").alias("mean"), F.median("o_totalprice").alias("median"))
+    orders = table(spark, sf_dir, "orders")
+    found = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 300000).alias("flagged"), F.avg("o_totalprice").alias("mean"))
+    return found.join(percentiles(orders, ["o_orderpriority"], "o_totalprice", [0.5]).withColumnRenamed("p0", "median"), "o_orderpriority")
 
 
 @query("WITH k AS (SELECT 42 AS id) SELECT k.id, c_name, n_name, (SELECT count(*) FROM orders WHERE o_custkey = k.id) AS n_orders FROM k LEFT JOIN customer ON c_custkey = k.id LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -97,10 +100,10 @@ def latest_day_only(spark, sf_dir):
     return e.join(F.broadcast(e.agg(F.max("day").alias("day"))), "day").groupBy("event_type").agg(F.count("*").alias("n"))  # one row
 
 
-@query("""WITH v AS (SELECT l_orderkey, l_linenumber, unnest(['q','d','t']) AS name, unnest([l_quantity / 50, -l_discount * 10, l_tax * 10]) AS value FROM (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0)), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, name ORDER BY value) AS dup, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(value) DESC, name) AS k FROM v)
-SELECT l_orderkey, l_linenumber, name, value FROM r WHERE k <= 2 AND (SELECT count(*) FROM lineitem x WHERE x.l_orderkey = r.l_orderkey AND x.l_linenumber = r.l_linenumber) = 1""")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, unnest(['q','d','t']) AS name, unnest([l_quantity / 50, -l_discount * 10, l_tax * 10]) AS value FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY abs(value) DESC, name) AS k FROM v)
+SELECT l_orderkey, l_linenumber, name, value FROM r WHERE k <= 2""")
 def top_drivers_per_row(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     once = F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber")) == 1
     values = F.array(F.col("l_quantity") / 50, -F.col("l_discount") * 10, F.col("l_tax") * 10)
     named = lines.withColumn("once", once).filter("once").select("l_orderkey", "l_linenumber", F.array(F.lit("q"), F.lit("d"), F.lit("t")).alias("names"), values.alias("values"))

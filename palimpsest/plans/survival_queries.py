@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cif_from_hazards, logit, signed_log, wilson
 from ..operators import cohort, survival
-from .registry import RULES, VERSIONS_SQL, cohort_sql, query, table, versions
+from ..operators.ranks import sum_before
+from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
 
 FULL = f"WITH {VERSIONS_SQL}, {cohort_sql()}"
 ROWS = f"""{FULL}, r0 AS (SELECT trial_id, landmark_index, stratum, event, datediff('day', landmark_date, event_date) AS "time", ((trial_id * 37 + landmark_index * 11) % 100) / 100.0 AS score FROM landmarks WHERE excluded IS NULL)"""
@@ -14,7 +15,7 @@ HORIZON = 365
 
 
 def evaluation_rows(spark, sf_dir):
-    rows = cohort.landmarks(versions(spark, sf_dir), RULES).filter("excluded is null")
+    rows = cohort.landmarks(versions(spark, sf_dir), STUDY).filter("excluded is null")
     score = ((F.col("trial_id") * 37 + F.col("landmark_index") * 11) % 100) / 100.0
     return rows.select("trial_id", "landmark_index", "stratum", "event", F.datediff("event_date", "landmark_date").alias("time"), score.alias("score"))
 
@@ -89,9 +90,7 @@ def calibration_slope_intercept(spark, sf_dir):
 @query()
 def bootstrap_auc_interval(spark, sf_dir):
     """A resampling interval; tested for coverage of the point value."""
-    drawn = survival.bootstrap_weights(weighted_rows(spark, sf_dir), "trial_id", 50).withColumn("weight", F.col("weight") * F.col("times"))
-    aucs = survival.weighted_auc(drawn, ["replicate"], "score", "label", "weight")
-    return survival.interval(aucs, [], "auc")
+    return survival.interval(survival.bootstrap_auc(weighted_rows(spark, sf_dir), "score", "label", "weight", "trial_id"), [], "auc")
 
 
 @query("""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS same FROM c), e AS (SELECT sum(r.r * k.k) AS rc FROM (SELECT a, sum(n) AS r FROM c GROUP BY a) r JOIN (SELECT b, sum(n) AS k FROM c GROUP BY b) k ON a = b)
@@ -135,15 +134,12 @@ def least_squares_slope(spark, sf_dir):
 @query("""WITH r AS (SELECT p_partkey, avg(a) OVER (PARTITION BY p_size) AS x, avg(b) OVER (PARTITION BY p_retailprice) AS y FROM (SELECT *, row_number() OVER (ORDER BY p_size, p_partkey) AS a, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS b FROM part))
 SELECT corr(x, y) AS rho FROM r""")
 def rank_correlation(spark, sf_dir):
-    """Spearman's rho: ranks come from counts per distinct value, so no window holds all rows."""
-    from pyspark.sql import Window
-
+    """Spearman's rho: the mean rank of each distinct value, by running counts over ranges of values."""
     parts = table(spark, sf_dir, "part")
 
     def ranks(column, name):
-        counts = parts.groupBy(column).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(column, (before + (F.col("n") + 1) / 2).alias(name))
+        counts = sum_before(parts.groupBy(column).agg(F.count("*").alias("n")), [], [column], F.col("n"), "before")
+        return counts.select(column, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
 
     both = parts.join(ranks("p_size", "x"), "p_size").join(ranks("p_retailprice", "y"), "p_retailprice")
     return both.agg(F.corr("x", "y").alias("rho"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +19,21 @@ def session(app: str = "palimpsest", master: str | None = None, **settings: str)
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it; checkpoints go there too.
+
+    Where the setting is missing, a session on one machine gets a folder of its own; a cluster has no such place, and
+    RuntimeError is raised.
+    """
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="palimpsest-")
+    if not held.isDefined():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")

@@ -24,12 +24,23 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace(spark: SparkSession, staged: str, path: str) -> None:
-    """Renames a finished folder over the previous one."""
+    """Puts a finished folder in the place of the previous one, which is moved aside first and comes back on failure."""
     fs, at = _fs(spark, path)
-    if fs.exists(at(path)):
-        fs.delete(at(path), True)
+    aside = f"{path}.previous"
+    if fs.exists(at(aside)):  # an earlier run stopped half-way
+        if fs.exists(at(path)):
+            fs.delete(at(aside), True)
+        elif not fs.rename(at(aside), at(path)):
+            raise OSError(f"cannot restore {path}")
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(aside)):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(at(staged), at(path)):
+        if had:
+            fs.rename(at(aside), at(path))
         raise OSError(f"cannot rename {staged}")
+    if had:
+        fs.delete(at(aside), True)
 
 
 def write_table(rows: DataFrame, path: str, order: Sequence[str | Column], block_bytes: int | None = None) -> dict:
@@ -55,16 +66,23 @@ def write_manifest(spark: SparkSession, path: str, tables: Mapping[str, dict]) -
 
 
 def retain(spark: SparkSession, path: str, old: Column, archive: str) -> dict:
-    """Moves rows for which `old` holds to an archive: exported, read back, compared, and only then dropped here."""
+    """Moves rows for which `old` holds to an archive: exported, read back, compared, and only then dropped here.
+
+    Each run adds a folder batch=<checksum of its rows> to the archive, so earlier runs stay, and a run that is repeated
+    after it stopped half-way writes the same folder again.
+    """
     rows = spark.read.parquet(path)
     leaving, staying = rows.filter(old), rows.filter(~F.coalesce(old, F.lit(False)))
-    leaving.write.mode("overwrite").parquet(archive)
-    want, got = checksum(leaving).first(), checksum(spark.read.parquet(archive)).first()
-    if want != got:
+    want = checksum(leaving).first()
+    if not want["n_rows"]:
+        return {"archived": 0, "checksum": str(want["checksum"])}
+    batch = f"{archive}/batch={want['checksum']}"
+    leaving.write.mode("overwrite").parquet(batch)
+    if want != checksum(spark.read.schema(rows.schema).parquet(batch)).first():
         raise OSError("the archive differs from the rows to drop")
     staying.write.mode("overwrite").parquet(f"{path}.building")
     replace(spark, f"{path}.building", path)
-    return {"archived": got["n_rows"], "checksum": str(got["checksum"])}
+    return {"archived": want["n_rows"], "checksum": str(want["checksum"])}
 
 
 def write_month(rows: DataFrame, path: str, month: str) -> None:

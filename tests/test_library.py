@@ -35,12 +35,25 @@ def test_dates(spark):
 
 def test_texts(spark):
     assert one(spark, text.canonical_enum(F.lit("\u00a0 early stop "), {"EARLY STOP": "STOPPED"})) == "STOPPED" and one(spark, text.canonical_enum(F.lit(" "))) is None
-    assert [one(spark, text.age_in_years(F.lit(t))) for t in ("6 Months", "18 Years", "1 Year", "many", None)] == [0.5, 18.0, 1.0, None, None]
-    titles = {"Phase II study": "PHASE2", "A phase 1/2 trial": "PHASE1_PHASE2", "PHASE IIIb": "PHASE3", "phase": None, "phases 2 and 3": "PHASE2_PHASE3", "phase 12": None, None: None}
+    assert [one(spark, text.age_in_years(F.lit(t))) for t in ("6 Months", "18 Years", "1 Year", "1.5 years", "many", None)] == [0.5, 18.0, 1.0, 1.5, None, None]
+    titles = {
+        "Phase II study": "PHASE2", "A phase 1/2 trial": "PHASE1_PHASE2", "PHASE IIIb": "PHASE3", "phase": "NONE", "phases 2 and 3": "NONE", "phase 12": "NONE", None: "NONE", "": "NONE",
+        "Phase 2 to phase 3": "PHASE2_PHASE3", "phase-4": "PHASE4", "Phase 0, first in man": "EARLY_PHASE1", "Phase I-II": "PHASE1_PHASE2", "phase 2, then phase 4": "OTHER", "monophasic 2": "NONE",
+    }
     assert {t: one(spark, text.title_phase(F.lit(t).cast("string"))) for t in titles} == titles
+    assert [one(spark, text.resolved_phase(F.lit(a).cast("string"), F.lit(b))) for a, b in ((None, "phase 3"), ("a study", "phase 3"), ("phase 2", "phase 3"))] == ["PHASE3", "PHASE3", "PHASE2"]
     assert text.normalized("<p>a &amp;amp; b</p><p>x@y.org</p>") == "a & b\n[email removed]"
-    assert text.normalized("one\ntwo\n\n* item\n1. first\n2. not new\n<!-- c -->\n\\*end") == "one two\n* item\n1. first 2. not new\n*end"
+    assert text.normalized("one\ntwo\n\n* item\n1. first\n2. second\n<!-- c -->\n\\*end") == "one two\nitem\nfirst\nsecond\n*end"
+    assert text.normalized("text\n3. goes on\n1. opens\n4. next\n\n   inside\n7. still\n\nplain\n8. joins") == "text 3. goes on\nopens\nnext\ninside\nstill\nplain 8. joins"
+    assert text.normalized("a &lt; b and c \\> d") == "a < b and c > d" and text.normalized("age <5 or >60") == "age <5 or >60"
     assert text.normalized(" \n") is None and text.normalized(None) is None
+    people = {("Jo Roe", "Indiv"): True, ("Jo Roe, MD", None): True, ("Roe Hospital, MD", None): False, ("Jo Roe MDs", None): False, ("Univ.-Prof. Jo Roe", "OTHER"): True, ("Dr. Roe Universitätsspital", None): False, ("ASST Milano", None): False, (None, "OTHER"): False}
+    assert {p: one(spark, text.is_individual(*(F.lit(x).cast("string") for x in p))) for p in people} == people
+    assert [one(spark, text.sponsor_key(F.lit(x).cast("string"))) for x in ("ＡＣＭＥ  Co.", "a_b", "--", None)] == ["acme co", "a_b", None, None]
+    assert [one(spark, text.has_identity(F.lit(k).cast("string"), F.lit(i).cast("boolean"))) for k, i in (("acme", None), ("acme", True), ("redacted", False), ("dr roe", False), (None, False), ("", False))] == [True, False, False, False, False, False]
+    stats = lambda t: [one(spark, c) for c in text.criteria_statistics(F.lit(t).cast("string")).values()]
+    criteria = "Inclusion Criteria:\nage at least 18\n\nno exclusion so far\n Main exclusion criteria \nunder 5\nexclusion criteria may change"
+    assert stats(criteria) == [2, 2, len(criteria), 2] and stats("weight ≥ 5 >=3\n:") == [2, 0, 16, 2] and stats(None)[2:] == [None, None]
     import hashlib
     import hmac
 
@@ -126,7 +139,7 @@ def test_curves_and_metrics_against_numpy(spark):
     pairs = want[p][:, None] * want[q][None] * ((score[p][:, None] > score[q][None]) + 0.5 * (score[p][:, None] == score[q][None]))
     auc = survival.weighted_auc(weighted, [], "score", "label", "weight").first()["auc"]
     assert abs(auc - pairs.sum() / (want[p].sum() * want[q].sum())) < 1e-12
-    low, high = survival.interval(survival.weighted_auc(survival.bootstrap_weights(weighted, "id", 40).withColumn("weight", F.col("weight") * F.col("times")), ["replicate"], "score", "label", "weight"), [], "auc").first()
+    low, high = survival.interval(survival.bootstrap_auc(weighted, "score", "label", "weight", "id", 200), [], "auc").first()
     assert low < auc < high
     intercept, slope = survival.calibration_slope(weighted.filter("score > 0 and score < 1"), "score", "label", "weight")
     inside = (score > 0) & (score < 1)
@@ -231,12 +244,36 @@ def test_writers(spark, tmp_path):
     assert writers.write_manifest(spark, manifest, {"t": first}) == {"t": "new"}
     assert writers.write_manifest(spark, manifest, {"t": writers.write_table(rows.orderBy(F.desc("id")), path, ["id"])}) == {"t": "identical"}
     assert writers.retain(spark, path, F.col("id") < 30, f"{tmp_path}/archive")["archived"] == 30 and spark.read.parquet(path).count() == 70
+    assert writers.retain(spark, path, F.col("id") < 50, f"{tmp_path}/archive")["archived"] == 20 and spark.read.parquet(path).count() == 50
+    assert writers.retain(spark, path, F.col("id") < 50, f"{tmp_path}/archive")["archived"] == 0 and spark.read.parquet(f"{tmp_path}/archive").count() == 50
     writers.compact(spark, path)
     saved = writers.backup(spark, str(tmp_path), ["t"], f"{tmp_path}/saved")
     writers.restore(spark, f"{tmp_path}/saved", saved, f"{tmp_path}/back")
-    assert spark.read.parquet(f"{tmp_path}/back/t").count() == 70
+    assert spark.read.parquet(f"{tmp_path}/back/t").count() == 50
     with pytest.raises(OSError):
         writers.restore(spark, f"{tmp_path}/saved", {"t": saved["t"] | {"rows": 1}}, f"{tmp_path}/back")
     writers.write_month(rows, f"{tmp_path}/m", "month")
     writers.write_month(rows.filter("month = 'm2'").limit(3), f"{tmp_path}/m", "month")
     assert spark.read.parquet(f"{tmp_path}/m").count() == 53
+
+
+def test_text_components_against_a_dense_decomposition(spark):
+    from palimpsest.operators.text_svd import fit_components, weighted, word_counts
+    from palimpsest.session import shared_folder
+
+    shared_folder(spark)
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"word{int(x)}" for x in r.zipf(1.6, 40) % 60)) for i in range(50)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    model = fit_components(docs, "id", "text", k=4, features=512)
+    got = {x.id: x.components for x in model.transform(docs, "id", "text").collect()}
+    dense = np.zeros((50, 512))
+    for x in weighted(word_counts(docs, "id", "text", 512), model.document_counts, model.n_texts).collect():
+        dense[x.key, x.terms] = x.weights
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
+    values = np.linalg.svd(dense, compute_uv=False)
+    found = np.array([got[i] for i in range(50)])
+    assert np.allclose(found, dense @ model.basis, atol=1e-5) and np.allclose(model.basis.T @ model.basis, np.eye(4), atol=1e-8)
+    energy = (found**2).sum(axis=0)
+    assert abs(energy[0] / values[0] ** 2 - 1) < 1e-6 and energy.sum() > 0.99 * (values[:4] ** 2).sum() and list(energy) == sorted(energy, reverse=True)
+    assert got[90] == got[91] == [0.0] * 4
