@@ -38,3 +38,9 @@ def true_index(start: Column, day: Column, spacing: int) -> Column:
     """The largest k with start + k * spacing months on or before day; -1 before start."""
     k = F.floor(months_between(day, start) / spacing).cast("int")
     return F.when(day < start, -1).when(F.add_months(start, k * spacing) > day, k - 1).otherwise(k)
+
+
+def weekly_dates(start: Column, end: Column, weekday: int = 4) -> Column:
+    """Every such weekday (Monday is 0) from start through end, as an array; empty if there is none."""
+    first = F.date_add(start, F.pmod(F.lit(weekday) - F.weekday(start), F.lit(7)).cast("int"))
+    return F.when(first <= end, F.sequence(first, end, F.expr("INTERVAL 7 DAYS"))).otherwise(F.array().cast("array<date>"))

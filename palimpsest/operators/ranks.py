@@ -50,9 +50,9 @@ def positions(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     return held.join(sizes, same).drop(*[f"__by{i}" for i in range(len(by))])
 
 
-def percentiles(rows: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
-    """(by, p0, p1, ...): exact percentiles with linear interpolation, of values counted once each; nulls don't count."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], times: Column | None = None) -> DataFrame:
+    """(by, p0, p1, ...): exact percentiles with linear interpolation, each row counted once or `times`; nulls don't count."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.count("*") if times is None else F.sum(times)).alias("__n"))
     held = sum_before(counts, by, [value], F.col("__n"), "__before")
     total = held.groupBy(*by).agg(F.sum("__n").alias("__all"))
     held = held.join(total, list(by)) if by else held.crossJoin(total)  # one row
