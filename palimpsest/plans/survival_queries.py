@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import cif_from_hazards, logit, signed_log, wilson
 from ..operators import cohort, survival
 from ..operators.ranks import sum_before
+from ..operators.recalibration import paired_difference
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
 
 FULL = f"WITH {VERSIONS_SQL}, {cohort_sql()}"
@@ -93,6 +94,13 @@ def bootstrap_auc_interval(spark, sf_dir):
     return survival.interval(survival.bootstrap_auc(weighted_rows(spark, sf_dir), "score", "label", "weight", "trial_id"), [], "auc")
 
 
+@query()
+def paired_auc_difference(spark, sf_dir):
+    """Two scores on the same draws; tested for its sign and for equal scores."""
+    rows = weighted_rows(spark, sf_dir).withColumn("other", F.pmod(F.xxhash64("trial_id"), F.lit(100)) / 100)
+    return paired_difference(rows, "score", "other", "label", "weight", "trial_id")
+
+
 @query("""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS same FROM c), e AS (SELECT sum(r.r * k.k) AS rc FROM (SELECT a, sum(n) AS r FROM c GROUP BY a) r JOIN (SELECT b, sum(n) AS k FROM c GROUP BY b) k ON a = b)
 SELECT CAST(n AS BIGINT) AS n, same / n AS accuracy, (same / n - rc / (n * n)) / (1 - rc / (n * n)) AS kappa FROM t, e""")
 def label_agreement(spark, sf_dir):

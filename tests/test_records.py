@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from palimpsest.config import study
 from palimpsest.functions import dates, text
-from palimpsest.operators import drift, population, records
+from palimpsest.operators import drift, population, recalibration, records
 from palimpsest.operators.ranks import percentiles, positions, sum_before
 from pyspark.sql import functions as F
 
@@ -94,3 +94,33 @@ def test_displayed_values(spark):
     assert one(spark, text.area_codes(F.array(F.lit("x"), F.lit("y"), F.lit("x")), {"x": 2, "y": 1})) == [1, 2]
     assert one(spark, dates.weekly_dates(F.lit(D("2024-01-01")), F.lit(D("2024-01-12")))) == [D("2024-01-05"), D("2024-01-12")]
     assert one(spark, dates.weekly_dates(F.lit(D("2024-01-01")), F.lit(D("2024-01-03")))) == []
+
+
+def test_recalibration_finds_the_truth(spark):
+    r = np.random.default_rng(8)
+    n = 6_000
+    index, p1, p2 = r.integers(0, 3, n), r.uniform(0.05, 0.4, n), r.uniform(0.05, 0.4, n)
+    x, z = np.log(p1 / (1 - p1 - p2)), np.log(p2 / (1 - p1 - p2))
+    u, v = np.array([0.5, -0.3, 0.0])[index] + 0.7 * x, np.array([-0.2, 0.1, 0.4])[index] + 1.3 * z
+    weights = np.stack([np.ones(n), np.exp(u), np.exp(v)])
+    y = (r.uniform(size=n)[None] > np.cumsum(weights / weights.sum(axis=0), axis=0)).sum(axis=0)
+    rows = spark.createDataFrame([(i, int(index[i]), float(p1[i]), float(p2[i]), float(1 - p1[i] - p2[i]), int(y[i])) for i in range(n)], "id int, k int, p_stop double, p_complete double, p_continue double, y int")
+    fitted = recalibration.fit_recalibration(rows, "k", "y")
+    assert abs(fitted.stop_slope - 0.7) < 0.15 and abs(fitted.complete_slope - 1.3) < 0.15 and abs(fitted.stop[0] - 0.5) < 0.3
+    q = np.array([[t.p_continue, t.p_stop, t.p_complete, t.k, t.y] for t in recalibration.recalibrated(rows, fitted, "k").orderBy("id").collect()])
+    assert np.allclose(q[:, :3].sum(axis=1), 1)
+    for c in (1, 2):  # the gradient is zero: chances add up to outcomes for each index and along the log-odds
+        off = q[:, c] - (q[:, 4] == c)
+        assert all(abs(off[q[:, 3] == k].sum()) < 1e-3 for k in range(3)) and abs((off * (x if c == 1 else z)).sum()) < 1e-3
+
+
+def test_paired_difference(spark):
+    r = np.random.default_rng(9)
+    y = r.integers(0, 2, 400)
+    rows = spark.createDataFrame([(i, int(v), float(v + r.normal()), float(r.normal()), 1.0) for i, v in enumerate(y)], "id int, label int, good double, noise double, weight double")
+    found = recalibration.paired_difference(rows, "good", "noise", "label", "weight", "id", 200).first()
+    assert 0 < found.low < found.difference < found.high and found.valid == 200
+    same = recalibration.paired_difference(rows, "good", "good", "label", "weight", "id", 200).first()
+    assert (same.low, same.difference, same.high) == (0, 0, 0)
+    none = recalibration.paired_difference(rows.filter("label = 1"), "good", "noise", "label", "weight", "id", 50).first()
+    assert none.valid == 0 and none.low is None
