@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 2_000_000
+from ..session import shared_folder
+
+CHUNK_CHARS, BATCH_BYTES = 2_000_000, 8 << 20
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +23,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of spark.checkpoint.dir; deleted when the driver ends.
-
-    Only where the setting is missing, as in tests, a folder of this machine is taken.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        held = sc._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="palimpsest-")
-        if not held.isDefined():
-            sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    """A new folder below the shared one; deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
 
@@ -52,6 +45,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(frame: DataFrame, run: Mapper, schema: str) -> DataFrame:
+    """frame.mapInArrow(run, schema), with the session's Arrow batches bounded in bytes, as whole texts can be long; what
+    a task's batches took is given back when it ends."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return frame.mapInArrow(task, schema)
+
+
 def in_batches(columns: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     """Python columns of at most about CHUNK_CHARS characters of text at a time; one long text may exceed it alone."""
     for batch in batches:
@@ -74,6 +79,3 @@ def to_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
-
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
