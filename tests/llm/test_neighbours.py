@@ -24,22 +24,40 @@ def brute(vectors, k=5):
     return out
 
 
-def test_exact_when_all_are_reranked(vectors, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 300)
-    rows = neighbours.nearest(vectors, lambda i: i % 50 == 0, share=1.0).collect()
-    want = brute(vectors)
+def as_lists(rows):
     got = {}
-    for r in sorted(rows, key=lambda r: r["rank"]):
-        got.setdefault(r.query_id, []).append((round(-r.score, 9), r.vec_id))
-    assert {q: sorted(v) for q, v in got.items()} == want
-    assert all([r["rank"] for r in rows if r.query_id == q] is not None for q in want)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        assert r["rank"] == len(got.setdefault(r.query_id, [])) + 1
+        got[r.query_id].append((round(-r.score, 9), r.vec_id))
+    return got
+
+
+def test_exact_when_all_are_reranked(vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    clashing = vectors.withColumns({"class": F.lit("c"), "ids": F.lit(1), "cell": F.lit(2), "score": F.lit(3), "n": F.lit(4)})
+    assert as_lists(neighbours.nearest(clashing, lambda i: i % 50 == 0, recall=1.0).collect()) == brute(vectors)
 
 
 def test_recall(vectors):
-    rows = neighbours.nearest(vectors, lambda i: i % 50 == 0).collect()
-    want = brute(vectors)
-    hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in rows)
-    assert hits / sum(map(len, want.values())) >= 0.9
+    want, got = brute(vectors), as_lists(neighbours.nearest(vectors, lambda i: i % 50 == 0).collect())
+    assert sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want) / sum(map(len, want.values())) >= 0.95
+    assert all(v == sorted(v) for v in got.values())
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(0, x), *[(i, y) for i in (9, 3, 7)], *[(i, z) for i in (8, 2, 4)], (5, x), (5, x)]
+    got = as_lists(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect())
+    assert got == {0: [(-1.0, 5), (0.0, 2), (0.0, 3), (0.0, 4), (0.0, 7)]}
+
+
+def test_the_index_prunes():
+    r = np.random.default_rng(3)
+    data = np.repeat(r.normal(size=(40, 24)), 60, axis=0) + 0.2 * r.normal(size=(2_400, 24))
+    probes, near = neighbours.calibrate(data, data[r.choice(2_400, 256, replace=False)], 5, 0.98)
+    held = neighbours.weights(neighbours.units(data), neighbours.units(data[:256]))
+    assert probes <= neighbours.CELLS // 4 and near > 0 and (neighbours.nearness(held, held[:50]) >= near).mean() < 0.2
 
 
 def test_few_and_none(spark, vectors):
