@@ -6,11 +6,14 @@ posts a fingerprint of each distinct text under those trigrams that some rule as
 `candidates` intersects the postings; the scan then verifies a rule only on its candidates. A rule
 without a mandatory trigram is tried on every text. A clash of fingerprints only adds a candidate.
 
-Null text is the empty text. Rows with equal or null ids are scanned one by one.
+Null text is the empty text. Rows with equal or null ids are scanned one by one, repeated rows too. Spans that begin
+together are ordered as the rules are. A column secret_spans of the input is replaced; others may have any names but
+__key and __kinds. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,26 +53,20 @@ def trigrams(literal: str) -> list[str]:
     return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
 
 
-def any_trigram(asked: list[str]) -> str:
-    """A regular expression that finds, at each place, the trigram that starts there if it is asked for."""
-    quoted = lambda x: "".join(f"\\{c}" if not c.isalnum() else c for c in x)
-    by_first = {c: [t[1:] for t in asked if t[0] == c] for c in sorted({t[0] for t in asked})}
-    return "(?=(" + "|".join(f"{quoted(c)}(?:{'|'.join(map(quoted, rest))})" for c, rest in by_first.items()) + "))"
-
-
 def trigram_postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The inverted index (trigram, text_key) over lower-cased texts, of the trigrams that rules ask for."""
     asked = sorted({t for r in rules for literal in r.literals for t in trigrams(literal)})
-    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_trigram(asked)), F.lit(1)))
-    return texts.select(F.xxhash64("text").alias("text_key"), held.alias("held")).filter(F.size("held") > 0).distinct().select(F.explode("held").alias("trigram"), "text_key")
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked]))
+    lowered = texts.select(F.xxhash64("text").alias("text_key"), F.lower("text").alias("low"))
+    return lowered.select("text_key", held.alias("held")).filter(F.size("held") > 0).distinct().select(F.explode("held").alias("trigram"), "text_key")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(text_key, kinds): the rules whose Boolean query a text meets, by intersecting postings."""
     clauses = [(r.kind, n, t) for r in rules for n, literal in enumerate(r.literals) for t in trigrams(literal)]
-    needs = [(kind, n, sum(c[:2] == (kind, n) for c in clauses)) for kind, n in sorted({c[:2] for c in clauses})]
-    spark = postings.sparkSession
-    wanted = spark.createDataFrame([(k, n, t, dict((x[:2], x[2]) for x in needs)[k, n]) for k, n, t in clauses], "kind string, clause int, trigram string, needs int")
+    needs = Counter(c[:2] for c in clauses)
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("clause"), F.lit(t).alias("trigram"), F.lit(needs[k, n]).alias("needs")) for k, n, t in clauses]
+    wanted = postings.sparkSession.range(1).select(F.inline(F.array(*rows)))  # as many rows as rules have trigrams
     met = (
         postings.join(F.broadcast(wanted), "trigram")
         .groupBy("text_key", "kind", "clause", "needs")
