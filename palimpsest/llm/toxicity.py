@@ -12,7 +12,8 @@ toxic than in clean rows, which copies of one text cannot fake, beside SEEDS. Le
 about SAMPLE labelled rows of each label, whole texts; every row is scored.
 
 Null and empty texts have no clause and get the score of a text without matches. Several labels of
-one id count as toxic if any does. Rows with equal or null ids are scored one by one.
+one id count as toxic if any does. Rows with equal or null ids are scored one by one, equal texts alike. A column named
+score is replaced; others stay, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_batches, read, stored
+from .common import fold_of, in_batches, mapped, read, stored
 
-SAMPLE, MOST_WORDS = 8_000, 5_000
+SAMPLE = 8_000
 SUPPORT, ODDS = 8, 9.0
 SEEDS = "idiot moron stupid loser scum trash pathetic disgusting worthless clown".split()
 SYMBOLS = {
@@ -179,10 +180,9 @@ def learn_words(sample: DataFrame) -> dict[bytes, float]:
         words = [w for w in rows[0].keys() | rows[1].keys()]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([rows[1][w] for w in words], pa.int64()), pa.array([rows[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
 
-    counted = sample.select("toxic", "text").mapInArrow(count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = mapped(sample.select("toxic", "text"), count, "word binary, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     telling = lambda frame: frame.filter((F.col("bad") >= support) & (F.col("bad") * rate >= ODDS * (F.col("good") + 0.5)))
-    likely = telling(counted).orderBy(F.desc(F.col("bad") / (F.col("good") + 0.5)), "word").limit(4 * MOST_WORDS)
-    wanted = {bytes(r["word"]) for r in likely.select("word").collect()}
+    wanted = {bytes(r["word"]) for r in telling(counted).select("word").collect()}  # words of the bounded sample
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, texts in in_batches(2, 1, batches):
@@ -194,9 +194,9 @@ def learn_words(sample: DataFrame) -> dict[bytes, float]:
             out = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], ["word", "context", "toxic"])
 
-    seen = sample.select("toxic", "text").mapInArrow(contexts, "word binary, context binary, toxic int").distinct()
+    seen = mapped(sample.select("toxic", "text"), contexts, "word binary, context binary, toxic int").distinct()
     counted = seen.groupBy("word").agg(F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    kept = telling(counted).orderBy(F.desc(F.col("bad") / (F.col("good") + 0.5)), "word").limit(MOST_WORDS).collect()
+    kept = telling(counted).orderBy("word").collect()
     return seeds | {bytes(r["word"]): math.log((r["bad"] + 0.5) * rate / (r["good"] + 0.5)) for r in kept}
 
 
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
         for toxic, share, texts in in_batches(3, 2, batches):
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(share, pa.float64()), pa.array([scorer.features(t) for t in texts], pa.list_(pa.float64()))], ["toxic", "share", "x"])
 
-    rows = sample.mapInArrow(measure, "toxic int, share double, x array<double>").collect()
+    rows = mapped(sample, measure, "toxic int, share double, x array<double>").collect()
     if not rows:
         return Model(weights, np.array([-2.0, *[1.0] * width]))
     y = np.array([r["toxic"] for r in rows], float)
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
             scores = [s for (texts,) in in_batches(1, 0, [batch.select([at])]) for s in shared.value.scores(texts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], [*[batch.schema.names[i] for i in kept], "score"])
 
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return mapped(docs, run, f"{fields}, score double")
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> Model:
