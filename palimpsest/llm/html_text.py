@@ -7,13 +7,14 @@ one task. Tokens with one vector are an equivalence class; valid are those on at
 host's pages that hold an element. The class that occurs once on every page is the template's
 skeleton. Text blocks in valid classes are fixed text, all others are slots, wherever they nest. Every slot
 is extracted but those in asides: under tags such as nav, or under a form or an element whose class, id or
-role says menu, advert, comments and so on. Such a name does not count on html, body, main and article, nor
-on an element that holds more than half of the slots' text: on the host's pages that hold it, if these are
+role says menu, advert, comments and so on, with no word beside it that means something else. Such a name does not
+count on html, body, main and article, on paragraphs and the like inside an article, nor on an element that holds more than half of the slots' text: on the host's pages that hold it, if these are
 half of the host's pages at least, else on the page itself.
 
 A null page is the empty page and gives the empty text. A null or odd url is a host of its own name.
 A host with fewer than MIN_PAGES pages, or only equal ones, has no fixed text. Repeated rows are
-extracted one by one. Unclosed, crossing and cut-off markup is read as far as it goes.
+extracted one by one. Unclosed, crossing and cut-off markup is read as far as it goes; a tag with an odd quote ends at
+its first bracket. Only page_id, url and html are read, so further columns may have any names. No pages give no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, read, stored
+from .common import in_batches, mapped, read, stored
 
-MIN_PAGES, HOSTS_SENT = 5, 100_000
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S)
+MIN_PAGES = 5
+#: Most bytes, as JSON, of a table of hosts that is sent to every executor; a larger one is joined by a shuffle.
+SENT_BYTES = 64 << 20
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style noscript template textarea title iframe object svg math select".split())
@@ -43,10 +46,25 @@ ASIDE = RAW | set("nav footer aside button menu dialog head".split())
 #: Elements whose class, id or role never makes them asides.
 WHOLE = set("html body main article".split())
 ASIDE_WORDS = set("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation footer comment comments disqus cookie cookies notice promo share sharing social related newsletter subscribe signup breadcrumb breadcrumbs pagination popup modal sponsor sponsored complementary contentinfo search login".split())
+#: Words that may stand beside those in a name: comment-list is an aside, comment-analysis is not.
+ASIDE_PARTS = ASIDE_WORDS | set("area bar block body bottom box button buttons column container content form group header inner item items left link links list main module outer page panel right section site slot top unit widget wrap wrapper".split())
+#: Elements of running text, which names do not make asides inside an article.
+RUNNING = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BREAKS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+def names_in(attribute: str) -> list[str]:
+    """The names in a class, id or role, in lower case with hyphens between their words."""
+    return ["-".join(re.findall(r"[a-z]+|[0-9]+|[^\W\d_a-z]+", n)) for n in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attribute).lower().split()]
+
+
+def says(name: str, words: set[str]) -> bool:
+    """Whether a name holds one of the words, and no word that makes it mean something else."""
+    parts = [p for p in name.split("-") if not p.isdigit()]
+    return not words.isdisjoint(parts) and ASIDE_PARTS.issuperset(parts)
+
+
 class Page:
     """elements: how often each path occurs; blocks: (path, text)."""
 
@@ -105,7 +123,7 @@ class Page:
                         break
                     if stack[i][0] not in INLINE:
                         break
-            words = {w for m in NAMES.finditer(found[3]) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())} - {""} if found[3] else set()
+            words = {w for m in NAMES.finditer(found[3]) for w in names_in(m[1] or m[2] or m[3] or "")} if found[3] else set()
             path = f"{stack[-1][1]}/{tag}" + "".join(f".{w}" for w in sorted(words))
             self.elements[path] += 1
             if tag not in VOID and not found[3].rstrip().endswith("/"):
@@ -123,7 +141,8 @@ def asides(path: str) -> tuple[bool, tuple[str, ...]]:
         at = f"{at}/{part}"
         if tag in ASIDE or (tag == "header" and not inside):
             return True, ()
-        if tag not in WHOLE and (tag == "form" or not ASIDE_WORDS.isdisjoint(words) or ("header" in words and not inside)):
+        by_name = any(says(w, ASIDE_WORDS) or (not inside and says(w, {"header"})) for w in words) and not (inside and tag in RUNNING)
+        if tag not in WHOLE and (tag == "form" or by_name):
             named.append(at)
         inside = inside or tag in ("article", "main")
     return False, tuple(named)
@@ -167,7 +186,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "token", "path", "n", "page", "body"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "host long, token long, path string, n long, page long, body long")
+    return mapped(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "host long, token long, path string, n long, page long, body long")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -178,17 +197,17 @@ def templates(pages: DataFrame) -> DataFrame:
         F.first("path").alias("path"), F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "body", "n")).alias("vector"), (F.min("body") < F.max("body")).alias("differ"),
     )
     counted = stored(counted)
-    totals = counted.filter("token = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("every"), F.col("differ").alias("unlike"))
-    tokens = counted.filter("token <> 0").join(totals, "host")
+    totals = stored(counted.filter("token = 0").select("host", F.col("support").alias("pages"), F.col("vector").alias("every"), F.col("differ").alias("unlike")))
+    tokens = counted.filter("token <> 0").join(sent(totals), "host")
     classes = tokens.groupBy("host", "vector").agg(F.count("path").alias("elements"))
     fixed = tokens.filter(F.col("path").isNull() & (2 * F.col("support") >= F.col("pages")) & (F.col("pages") >= MIN_PAGES) & F.col("unlike") & F.col("differ"))
     fixed = fixed.join(classes.filter("elements > 0"), ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list("token").alias("fixed"))
     once = F.col("path").isNotNull() & (F.col("vector") == F.col("every"))
-    shape = tokens.filter(F.col("path").isNotNull()).groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.when(once, F.col("path")))).alias("skeleton"))
-    shape = stored(totals.select("host", "pages").join(shape.drop("pages"), "host", "left").join(fixed, "host", "left"))
+    skeleton = tokens.filter(once).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("skeleton"))
+    shape = stored(totals.select("host", "pages").join(skeleton, "host", "left").join(fixed, "host", "left"))
 
     keyed = with_host(pages).join(sent(shape.select("host", "fixed")), "host").select("host", "html", "fixed")
-    sums = keyed.mapInArrow(_held, "host long, path string, named boolean, n long, held long, total long").groupBy("host", "path", "named").agg(*[F.sum(c).alias(c) for c in ("n", "held", "total")])
+    sums = mapped(keyed, _held, "host long, path string, named boolean, n long, held long, total long").groupBy("host", "path", "named").agg(*[F.sum(c).alias(c) for c in ("n", "held", "total")])
     sums = stored(sums)
     whole = sums.filter("path = ''").select("host", F.col("held").alias("main"))
     near = sums.filter("path <> ''").join(sent(shape.select("host", "pages", "skeleton").join(whole, "host", "left")), "host")
@@ -201,19 +220,20 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def sent(hosts: DataFrame) -> DataFrame:
-    """A stored table of hosts, to be broadcast if it is small enough."""
-    return F.broadcast(hosts) if hosts.count() <= HOSTS_SENT else hosts
+    """A stored table of hosts, to be broadcast if it is small enough with its lists."""
+    size = hosts.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(hosts) if size <= SENT_BYTES else hosts
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_with_host, "host long, page_id long, url string, html string")
+    return mapped(pages.select(F.col("page_id").cast("long"), "url", "html"), _with_host, "host long, page_id long, url string, html string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row of pages (page_id, url, html)."""
     found = stored(templates(pages).select("host", "fixed", "kept", "left_out"))
     keyed = with_host(pages).join(sent(found), "host", "left")
-    return keyed.select("page_id", "url", "html", "fixed", "kept", "left_out").mapInArrow(_extract, "page_id long, url string, text string")
+    return mapped(keyed.select("page_id", "url", "html", "fixed", "kept", "left_out"), _extract, "page_id long, url string, text string")
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

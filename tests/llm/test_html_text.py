@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from palimpsest.llm.html_text import Page, extract, host_of, templates
+from pyspark.sql import functions as F
 
 SHELL = "<html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><a href='/x'>menu</a></nav>{notice}<article><header><h1>{title}</h1></header>{body}</article><div class='comments'><p>a reader</p></div><footer>&copy; us</footer></body></html>"
 
@@ -15,6 +16,9 @@ CASES = [
     ("<article><h1>T</h1><p><b>one<br><p>two<p>three</article><footer>f</footer>", "T\n\none\n\ntwo\n\nthree"),
     ("<article><p>a<!-- <p>no --> b<script>if (a</script>x</p><form><p>send</p></form><aside>side</aside>", "a bx"),
     ("<body><div class='cookie-notice'>ok?</div><div id=sidebar>s</div><header>h</header><p>text &lt;i&gt; &#233;", "text <i> é"),
+    ('<div class="a>Hello</div><p>next "quoted" text</p>', 'Hello\n\nnext "quoted" text'), ('<p title="a > b">kept</p>', "kept"),
+    ("<article><section id='comment-analysis'><p>one</p></section><div class='related-story'><p>two</p></div><div class='social-science'>three</div><p class='lead notice'>four</p><div class='comment-list'><p>reader</p></div></article>", "one\n\ntwo\n\nthree\n\nfour"),
+    ("<p>text that goes on for a while</p><div class='adBanner'>buy</div><div id='sidebar-2'>side</div><div class='site-header'>top</div>", "text that goes on for a while"),
     ("plain text\nonly", "plain text only"), ("<p>cut <a href='x", "cut"), (None, ""), ("", ""), ("<nav>only</nav>", ""), ("<p>" + "w " * 50_000 + "</p>", ("w " * 50_000).strip()),
 ]
 
@@ -30,7 +34,8 @@ def test_fixed_text_of_a_host_is_left_out(spark):
     rows += [(i, "http://b.example/", page("Same", "same body")) for i in range(20, 26)]
     rows += [(30, "http://c.example", page("Once", "only page"))] * 2
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = sorted((r.page_id, r.text) for r in extract(frame.withColumnRenamed("x", "x")).collect())
+    clashing = frame.withColumns({"text": F.lit("t"), "host": F.lit(1), "fixed": F.lit(2), "kept": F.lit(3), "n_chars": F.lit(4)})
+    got = sorted((r.page_id, r.text) for r in extract(clashing).collect())
     want = [(i, "\n\n".join([f"Title {i}", f"body {i} goes on " + "and on " * 20 + "."] + ["shared tail"] * (i % 2))) for i in range(8)]
     want += [(i, "Same\n\nsame body") for i in range(20, 26)] + [(30, "Once\n\nonly page")] * 2
     assert got == want
