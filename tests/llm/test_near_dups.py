@@ -1,6 +1,8 @@
 import itertools
+import random
 
 import corpus_pipeline
+from palimpsest.llm import components as components_module
 from palimpsest.llm.components import components
 from palimpsest.llm.near_dups import drop_near_duplicates, matches, near_duplicates
 
@@ -80,3 +82,19 @@ def test_the_stage_links_at_80_percent_and_op2_at_85(spark):
 
 def test_matches_of_each_bound():
     assert (matches(85), matches(80)) == (14, 11)
+
+
+def test_hubs_have_the_components_of_all_edges(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "HUB", 2)
+    r = random.Random(3)
+    edges = [(0, i) for i in range(1, 30)] + [(100 + i, 101 + i) for i in range(12)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {row.id: row.root for row in components_module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}

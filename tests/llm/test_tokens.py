@@ -1,3 +1,4 @@
+import glob
 import struct
 import zlib
 
@@ -6,10 +7,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from palimpsest.llm import encoding
+from palimpsest.llm import encoding, token_ids
 from palimpsest.llm.encoding import encoder
 from palimpsest.llm.packing import binary_lengths, pack
 from palimpsest.llm.token_ids import read_token_ids, token_checksums, write_token_ids
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -67,6 +69,40 @@ def test_orc_prunes_by_id(spark, docs, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan
 
 
+def test_orc_files_hold_indexes_and_prune(spark, tmp_path, monkeypatch):
+    """Row indexes and Bloom filters on doc_id are in every stripe, and a lookup reads no more than one stride of one file."""
+    rows = spark.range(0, 9_000, 3).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    monkeypatch.setattr(token_ids, "STRIDE", 1_000)
+    write_token_ids(rows, f"{tmp_path}/t", BYTES)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = sorted(glob.glob(f"{tmp_path}/t/*.orc"))
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        held = reader.rows()
+        for stripe in reader.getStripes():
+            streams = [s for s in held.readStripeFooter(stripe).getStreamsList()]
+            assert [s for s in streams if s.getKind().toString() == "BLOOM_FILTER_UTF8" and s.getColumn() == 1]
+            assert [s for s in streams if s.getKind().toString() == "ROW_INDEX" and s.getColumn() == 1]
+        assert reader.getRowIndexStride() == 1_000
+    found = spark.read.schema(token_ids.STORED).orc(f"{tmp_path}/t").filter("doc_id = 4500")
+    assert [r.doc_id for r in found.collect()] == [4_500] and found.select("doc_id").distinct().count() == 1
+    absent = spark.read.schema(token_ids.STORED).orc(f"{tmp_path}/t").filter("doc_id = 4501")
+    assert absent.count() == 0
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_clashing_columns_and_long_texts(spark, tmp_path, wide):
+    long = "über " * 60_000 + "x" * 50_000
+    docs = spark.createDataFrame([(2, long), (1, None), (1, None), (None, "")], "doc_id long, text string")
+    if wide:
+        docs = docs.withColumns({"tokens": F.lit(1), "range": F.lit("r"), "start": F.lit(2), "n_tokens": F.lit(3), "length": F.lit(4), "split": F.lit(5)})
+    write_token_ids(docs, f"{tmp_path}/t", BYTES)
+    t = Tokenizer.from_file(BYTES)
+    assert sorted(r.n_tokens for r in read_token_ids(spark, f"{tmp_path}/t").collect()) == [1, 1, 1, len(t.encode(long, add_special_tokens=False).ids) + 1]
+    packed = pack(docs, WORDS, with_tokens=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {None: 1, 1: 2, 2: len(Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids) + 1}
+
+
 @given(st.integers(1, 10**6))
 def test_lengths_add_up(n):
     found = binary_lengths(n, 4096)
