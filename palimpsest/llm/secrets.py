@@ -58,7 +58,7 @@ def trigram_postings(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     asked = sorted({t for r in rules for literal in r.literals for t in trigrams(literal)})
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in asked]))
     lowered = texts.select(F.xxhash64("text").alias("text_key"), F.lower("text").alias("low"))
-    return lowered.select("text_key", held.alias("held")).filter(F.size("held") > 0).distinct().select(F.explode("held").alias("trigram"), "text_key")
+    return lowered.select(F.explode(held).alias("trigram"), "text_key").distinct()
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
