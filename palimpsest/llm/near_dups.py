@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, read, stored, to_batch
+from .common import in_batches, mapped, read, stored, to_batch
 from .components import components
 
 WIDTH, PERCENT = 5, 85
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     known[t] = (len(found), xxhash.xxh128_digest(found.tobytes()), signature(found)) if len(found) else (0, None, None)
             yield to_batch(schema, [ids, *[[known[t][i] for t in texts] for i in range(3)]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_key binary, sig array<int>")
 
 
 def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -208,7 +208,7 @@ def alike(posted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
     """Edges (a, b) whose components are those of all pairs that agree in matches(percent) coordinates."""
     cells = in_blocks(posted, ["coordinate", "value"], LIST_BLOCK).select("cell", "left", "right", "rep", "n")
     signed = cells.join(classes.select("rep", "sig"), "rep").select("cell", "left", "right", "rep", "n", "sig")
-    return signed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_signature, percent), "a long, b long").distinct()
+    return mapped(signed.repartition("cell").sortWithinPartitions("cell"), _edges(_by_signature, percent), "a long, b long").distinct()
 
 
 def linked(families: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,10 +223,10 @@ def linked(families: DataFrame, docs: DataFrame, members: DataFrame, percent: in
             yield to_batch(schema, [ids, [xxhash.xxh128_digest(f) for f in found], found])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent(families.select("rep")), "rep", "left_semi")
-    held = texts.mapInArrow(sets, "rep long, set_key binary, hashes binary")
+    held = mapped(texts, sets, "rep long, set_key binary, hashes binary")
     held = held.join(sent(members.join(families, "rep", "left_semi")), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
     rows = in_blocks(families, ["family"], SET_BLOCK).select("cell", "left", "right", "rep").join(held.select("rep", "hashes"), "rep")
-    return rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(_by_sets, percent), "a long, b long")
+    return mapped(rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell"), _edges(_by_sets, percent), "a long, b long")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], *key: str) -> Iterator[pa.Table]:
