@@ -6,11 +6,12 @@ A task indexes its documents shard by shard: only words that some phrase holds c
 occurrence, so a shard's text is its runs of such words at least as long as the shortest phrase.
 Phrases are searched backwards, occurrences located, and their word spans merged per document.
 
-Phrases reach the tasks in blocks of at most BLOCK_CHARS characters of items (one longer item makes
-its own block); one pass follows another in the same stage, without a shuffle, however many there are.
+Items are dealt by hash into blocks of about BLOCK_CHARS characters, which reach the tasks by broadcast; one pass
+over the texts follows another in the same stage, without a shuffle, however many blocks there are.
 
 A null text, document or item, has no words; an item without an id takes part, but has no id to
-report. Rows with equal ids are judged one by one. Columns named like a result are replaced.
+report. Rows with equal ids are judged one by one, repeated rows too. Columns named like a result are replaced. A table without
+documents gives no rows, one without items no spans.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, read
+from .common import CHUNK_CHARS, mapped, read
 from .fm_index import FMIndex
 
 WIDTH, BLOCK_CHARS = 10, 8_000_000
@@ -159,7 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, kee
         last = k == blocks - 1
         drop = [] if keep_text or not last else [text_at]
         schema = ", ".join([f for i, f in enumerate(fields) if i not in drop] + [RESULT])
-        docs = docs.mapInArrow(_pass(phrases, text_at, len(fields) + 1 if k else None, drop), schema)
+        docs = mapped(docs, _pass(phrases, text_at, len(fields) + 1 if k else None, drop), schema)
     return docs
 
 

@@ -7,7 +7,7 @@ are joined, so the result equals encoding the whole text. Cutting, looking up an
 columnar: pieces are Arrow strings and their ids slices of one pool. New pieces are encoded many at
 a time. Words of letters alone are told apart by the tokens that only begin, or only end, a word;
 other pieces by a bar between them, whose id no piece without a bar gives.
-Up to KEPT pieces are held; then the half that was used longest ago is forgotten.
+Up to KEPT pieces are held; then the half that was used longest ago is forgotten, and when a task ends all but AT_REST.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 UNEVEN = f"^$|^{SPACE}|{SPACE}{SPACE}|{SPACE}$"
 #: Western letters and the marks after them, that never belong to one pre-token.
 ENDED = r"^(?P<word>\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-/:-@\[-`{-~]{1,3})$"
-KEPT, AT_ONCE, CHUNK_BYTES = 500_000, 8_000, 4_000_000
+KEPT, AT_REST, AT_ONCE, CHUNK_BYTES = 400_000, 100_000, 8_000, 2_000_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -58,7 +58,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.marked[i] = token.endswith(last) if last else token.startswith("Ġ")
         self.pieces = pa.array([], pa.string())
-        self.pool, self.begins, self.sizes, self.used = (np.zeros(0, kind) for kind in ("<u4", np.int64, np.int64, np.int32))
+        self.pool, self.begins, self.sizes, self.used = (np.zeros(0, kind) for kind in ("<u4", np.int32, np.int32, np.int32))
         self.now = 0
 
     def _encode(self, text: str) -> bytes:
@@ -100,11 +100,12 @@ class Encoder:
             learned[p] = self._encode(p[1:]) if p[0] == "\t" else self.line_end + self._encode(p[1:]) if p[0] == "\n" else self._encode(" " + p)
         return learned
 
-    def _forget(self) -> None:
-        order = np.sort(np.argsort(self.used, kind="stable")[-(KEPT // 2) :])
+    def _forget(self, kept: int) -> None:
+        """Holds on to the pieces that were used last."""
+        order = np.sort(np.argsort(self.used, kind="stable")[-kept:])
         sizes = self.sizes[order]
         self.pool = self.pool[_slices(self.begins[order], sizes)]
-        self.pieces, self.used, self.sizes, self.begins = self.pieces.take(pa.array(order)), self.used[order], sizes, np.cumsum(sizes) - sizes
+        self.pieces, self.used, self.sizes, self.begins = self.pieces.take(pa.array(order)), self.used[order], sizes, (np.cumsum(sizes) - sizes).astype(np.int32)
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where the ids of distinct pieces are held; new ones are learned first."""
@@ -112,7 +113,7 @@ class Encoder:
         at = pc.index_in(pieces, self.pieces)
         if at.null_count and len(self.pieces) + at.null_count > KEPT:
             self.used[at.drop_null().to_numpy()] = self.now
-            self._forget()
+            self._forget(KEPT // 2)
             at = pc.index_in(pieces, self.pieces)
         missing = at.is_null()
         new = missing.to_numpy(zero_copy_only=False)
@@ -120,8 +121,8 @@ class Encoder:
         if at.null_count:
             learned = pieces.filter(missing)
             ids = list(self._learn(learned.to_pylist()).values())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+            self.begins = np.concatenate([self.begins, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes])
             self.used = np.concatenate([self.used, np.full(len(sizes), self.now, np.int32)])
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
@@ -138,7 +139,7 @@ class Encoder:
         parts = pc.extract_regex(coded.dictionary, ENDED)
         whole = pc.coalesce(pc.struct_field(parts, "word"), coded.dictionary).dictionary_encode()
         tails = pc.struct_field(parts, "tail").dictionary_encode()
-        n, at = len(whole.dictionary), np.full((len(coded.dictionary), 2), -1)
+        n, at = len(whole.dictionary), np.full((len(coded.dictionary), 2), -1, np.int32)
         at[:, 0] = whole.indices
         at[:, 1] = pc.fill_null(pc.add(tails.indices, n), -1)
         held = self._places(pa.concat_arrays([whole.dictionary, pc.binary_join_element_wise("\t", tails.dictionary, "")]))
@@ -155,6 +156,13 @@ class Encoder:
             return ids, offsets
         return np.insert(ids, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
 
+    def encoded(self, batches: Iterator[pa.RecordBatch], text_at: int, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Slices of a task's batches with their ids and offsets; what the next task is unlikely to need goes at the end."""
+        for batch in text_chunks(batches, text_at):
+            yield batch, *self.encode(batch.column(text_at), end_id)
+        if len(self.pieces) > AT_REST:
+            self._forget(AT_REST)
+
 
 def _slices(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions begin .. begin + size - 1 of each slice, one slice after another."""

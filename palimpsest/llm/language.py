@@ -8,7 +8,8 @@ about SAMPLE rows of each language, whole texts; a fifth of them is kept apart t
 that calibrates the probabilities. The score is the calibrated probability of the predicted language.
 
 A null text or one without a letter is `und` with score 1; where nothing could be learned, every text
-is `und` with score 0. Ties go to the language that sorts first.
+is `und` with score 0. Ties go to the language that sorts first. Repeated rows are predicted one by one. Only doc_id and
+text are read, and lang for learning, so further columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, in_batches, read, stored
+from .common import fold_of, in_batches, mapped, read, stored
 
 FEATURES, SAMPLE, EPOCHS = 1 << 15, 3_000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
@@ -57,7 +58,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int32()), pa.array([*total[held], n], pa.int64())], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     total = {r["bucket"]: r["n"] for r in rows}
     n = total.pop(-1, 0)
     out = np.zeros(FEATURES)
@@ -155,7 +156,7 @@ def train(docs: DataFrame, learn: Column) -> Model:
             out = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float64()))], ["lang", "at", "x"])
 
-    sample = known.filter(draw < share * 1_000_000).select("text", "lang").mapInArrow(vectors, "lang string, at array<int>, x array<double>")
+    sample = mapped(known.filter(draw < share * 1_000_000).select("text", "lang"), vectors, "lang string, at array<int>, x array<double>")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.lexsort([[hash_of(x) for x in pdf["x"]], pdf["lang"]])]
@@ -193,7 +194,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

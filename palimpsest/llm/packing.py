@@ -5,7 +5,8 @@ piece first, so every piece's length is a power of two and no sequence holds two
 of equal length are one bucket: their sequences are numbered one after another, so a batch can be
 read from one bucket without padding.
 
-Null text is the empty text: its end id alone. Rows with equal or null ids are packed one by one.
+Null text is the empty text: its end id alone. Rows with equal or null ids are packed one by one, repeated rows too.
+Only doc_id and text are read, so further columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
-from .encoding import encoder, text_chunks
+from .common import mapped, read, stored
+from .encoding import encoder
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("split", pa.int32()), ("nth", pa.int64())]
 PIECE_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, split int, nth long"
@@ -44,10 +45,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
     names = [name for name, _ in PIECE] + ["tokens"] * with_tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, here, counts = encoder(tokenizer), TaskContext.get().partitionId(), dict[int, int]()
-        for batch in text_chunks(batches, 1):
+        here, counts = TaskContext.get().partitionId(), dict[int, int]()
+        for batch, ids, offsets in encoder(tokenizer).encoded(batches, 1, end_id):
             out: list[list] = [[] for _ in PIECE]
-            ids, offsets = held.encode(batch.column(1), end_id)
             raw = memoryview(ids).cast("B")
             for doc_id, begin, n in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), np.diff(offsets).tolist()):
                 start = 0
@@ -62,7 +62,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(out[2])]), pa.int32()), pa.array(ids.view("<i4"))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SQL + ", tokens array<int>" * with_tokens))
+    pieces = stored(mapped(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECE_SQL + ", tokens array<int>" * with_tokens))
     counts = pieces.groupBy("length", "split").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.desc("length"), "split").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

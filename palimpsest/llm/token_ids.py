@@ -4,7 +4,8 @@
 ORC file per range, so files, stripes and rows ascend by document id. A reader prunes stripes by
 the statistics of doc_id, skips rows by row index and Bloom filter, and reads stripes in parallel.
 
-Null text is the empty text: the end id alone. Null ids sort first; equal ids are ordered by text.
+Null text is the empty text: the end id alone. Null ids sort first; equal ids are ordered by text, repeated rows are
+each written. Only doc_id and text are read, so further columns may have any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, to_batch, work_folder
-from .encoding import encoder, text_chunks
+from .common import mapped, read, to_batch, work_folder
+from .encoding import encoder
 
 STORED = "doc_id long, range int, begins long, n_tokens long, tokens array<int>"
 STRIPE_BYTES, STRIDE = 64 << 20, 1_000
@@ -34,9 +35,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
     schema = pa.schema([("doc_id", pa.int64()), ("range", pa.int32()), ("begins", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, here = encoder(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in text_chunks(batches, 1):
-            ids, offsets = held.encode(batch.column(1), end_id)
+        at, here = 0, TaskContext.get().partitionId()
+        for batch, ids, offsets in encoder(tokenizer).encoded(batches, 1, end_id):
             sizes = np.diff(offsets)
             tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
             yield to_batch(schema, [batch.column(0), np.full(len(sizes), here, np.int32), at + offsets[:-1], sizes, tokens])
@@ -44,7 +44,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2)
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ranged.mapInArrow(encode, STORED)
+        mapped(ranged, encode, STORED)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", STRIDE)
@@ -80,7 +80,7 @@ def token_checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], crc], [*batch.schema.names[:-1], "ids_crc32"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", ids_crc32 long"
-    return rows.select(*[f.name for f in kept], "tokens").mapInArrow(sums, schema)
+    return mapped(rows.select(*[f.name for f in kept], "tokens"), sums, schema)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
