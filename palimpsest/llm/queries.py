@@ -15,6 +15,7 @@ from .neighbours import op10_neighbours
 from .oracles import ORACLES
 from .packing import op7_packing
 from .secrets import op4_secrets
+from .simhash import op13_simhash
 from .token_ids import op3_token_ids
 from .toxicity import op9_toxicity
 
@@ -22,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours, op13_simhash]
     return {f.__name__: f for f in found}
 
 
