@@ -45,4 +45,15 @@ c AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILT
   string_agg(span, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN c USING (doc_id)"""
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op2_near_duplicates": NEAR_DUPLICATES, "op4_secrets": SECRETS}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LEXICAL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '{TERM}') AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t FROM d WHERE len(t) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER.format('text')}, '{TERM}')) AS term FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES = {"op1_decontamination": DECONTAMINATION, "op2_near_duplicates": NEAR_DUPLICATES, "op4_secrets": SECRETS, "op12_lexical": LEXICAL}

@@ -10,6 +10,7 @@ from .chaining import op8_substring_dups
 from .decontaminate import op1_decontamination
 from .html_text import op6_html_text
 from .language import op5_language
+from .lexical import op12_lexical
 from .near_dups import op2_near_duplicates
 from .neighbours import op10_neighbours
 from .oracles import ORACLES
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours, op13_simhash]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours, op12_lexical, op13_simhash]
     return {f.__name__: f for f in found}
 
 
