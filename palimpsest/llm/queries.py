@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chaining import op8_substring_dups
 from .decontaminate import op1_decontamination
+from .hard_negatives import op11_hard_negatives
 from .html_text import op6_html_text
 from .language import op5_language
 from .lexical import op12_lexical
@@ -24,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours, op12_lexical, op13_simhash]
+    found = [op1_decontamination, op2_near_duplicates, op3_token_ids, op4_secrets, op5_language, op6_html_text, op7_packing, op8_substring_dups, op9_toxicity, op10_neighbours, op11_hard_negatives, op12_lexical, op13_simhash]
     return {f.__name__: f for f in found}
 
 
