@@ -4,16 +4,17 @@ A text's words (lower-cased ASCII, between ASCII white space) give three-word sh
 one shingle. A fingerprint bit is 1 if more than half of the shingles' XXH64 values have it. Texts without words, and
 nulls, have fingerprint zero, which is linked like any other.
 
-Distinct fingerprints are sorted by Gray rank, where neighbours share most of their bits, cut into leaves of LEAF and
-numbered. A node keeps the bits that all that lies below it has and those that some has: where the two are equal, its
-pattern is fixed. FAN nodes have a parent, up to a top of at most FAN. Pairs of nodes go down the tree together: the number
-of bits that are fixed in both and differ is a lower bound of every difference below, so a pair over `distance` is pruned
-with all that it holds. Pairs of leaves that are left are compared in full.
-
-Before that, fingerprints are linked within leaves of this order and of the orders of turned fingerprints (TURNS), in linear
-passes, and their components are taken. A node that lies in one component carries it, and nodes of the same one need not
-meet: a family of near copies, however large, is not compared in all its pairs. Each comparison returns a forest of its links, so
-no link between components is lost.
+Fingerprints of at most `distance` differing bits agree in one of distance + 1 blocks of bits at least. For each block,
+distinct fingerprints are turned so that it leads and sorted by Gray rank, where neighbours share most of their bits; the pattern of
+the leading block is a top node, and what lies below it is cut into leaves of LEAF, numbered in order. A node keeps the
+bits that all that lies below it has and those that some has: where the two are equal, its pattern is fixed. Runs of FAN nodes
+have a parent. Below each top node, pairs of nodes go down the tree together: the number of bits that are fixed in both and
+differ is a lower bound of every difference below, so a pair over `distance` is pruned with all that it holds. Pairs of
+leaves that are left are compared in full.
+
+Before that, fingerprints are linked within leaves, in a linear pass, and their components are taken. A node that lies in one component
+carries it, and nodes of the same one need not meet: a family of near copies, however large, is not compared in all its
+pairs. Each comparison returns a forest of its links, so no link between components is lost.
 
 Every row follows its own text. A row without an id has a fingerprint and no component. Repeated rows and equal texts share
 a component. Only doc_id and text are read, so further columns may have any names; texts are read whole, of any length. An
@@ -23,6 +24,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from .near_dups import forest
 WIDTH, SEED, DISTANCE = 3, 42, 3
 #: Fingerprints of a leaf, children of a node, and shingles whose bits are counted at once.
 LEAF, FAN, AT_ONCE = 64, 16, 16_384
-#: Bits by which fingerprints are turned for a first, linear linking within leaves.
-TURNS = (0, 32)
 _LANES = 8 * np.arange(8, dtype=np.uint64)
 
 
@@ -88,27 +88,32 @@ def gray_rank(bits: Column) -> Column:
     return rank.bitwiseXOR(F.lit(-(2**63)))
 
 
-def leaves(classes: DataFrame, turn: int = 0) -> DataFrame:
-    """(prints): runs of LEAF distinct fingerprints in Gray order of the turned bits, 8 bytes each. Ranges of the order are dealt to tasks."""
+def leaves(classes: DataFrame, block: int, distance: int) -> DataFrame:
+    """(space, prints): runs of at most LEAF distinct fingerprints in Gray order, turned so that one of the distance + 1
+    blocks leads, of 8 bytes each. A space is a block and its pattern. Ranges of the order are dealt to tasks."""
+    begin, end = 64 * block // (distance + 1), 64 * (block + 1) // (distance + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64)
+        held = np.zeros((2, 0), np.int64)
         for batch in batches:
-            held = np.concatenate([held, batch.column(0).to_numpy()])
-            cut = len(held) - len(held) % LEAF
-            yield _runs(held[:cut])
-            held = held[cut:]
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            whole = np.flatnonzero(held[0] == held[0, -1])[0] if held.shape[1] else 0
+            whole += (held.shape[1] - whole) // LEAF * LEAF
+            yield _runs(held[:, :whole])
+            held = held[:, whole:]
         yield _runs(held)
 
     bits = F.col("bits")
-    turned = F.shiftleft(bits, turn).bitwiseOR(F.shiftrightunsigned(bits, 64 - turn)) if turn else bits
-    ranked = classes.select("bits", gray_rank(turned).alias("rank"))
-    return mapped(ranked.repartitionByRange("rank").sortWithinPartitions("rank").select("bits"), run, "prints binary")
+    turned = F.shiftleft(bits, begin).bitwiseOR(F.shiftrightunsigned(bits, 64 - begin)) if begin else bits
+    top = F.shiftrightunsigned(turned, 64 - (end - begin)) if end - begin < 64 else F.lit(0)
+    ranked = classes.select((F.lit(block).cast("long") + top * (distance + 1)).alias("space"), "bits", gray_rank(turned).alias("rank"))
+    return mapped(ranked.repartitionByRange("rank").sortWithinPartitions("rank").select("space", "bits"), run, "space long, prints binary")
 
 
 def _runs(held: np.ndarray) -> pa.RecordBatch:
-    prints = [held[i : i + LEAF].tobytes() for i in range(0, len(held), LEAF)]
-    return pa.RecordBatch.from_arrays([pa.array(prints, pa.binary())], ["prints"])
+    cuts = [0, *(np.flatnonzero(held[0, 1:] != held[0, :-1]) + 1).tolist(), held.shape[1]] if held.shape[1] else [0]
+    spans = [(i, min(i + LEAF, end)) for begin, end in zip(cuts, cuts[1:]) for i in range(begin, end, LEAF)]
+    return pa.RecordBatch.from_arrays([pa.array([int(held[0, i]) for i, _ in spans], pa.int64()), pa.array([held[1, i:j].tobytes() for i, j in spans], pa.binary())], ["space", "prints"])
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -162,57 +167,61 @@ def linked_between(pairs: DataFrame, held: DataFrame, distance: int) -> DataFram
 
 
 def nodes(rows: DataFrame, key: Column) -> DataFrame:
-    """(node, all, some, least, most) from rows with such columns below the node `key`; least and most are of the components."""
+    """(space, node, all, some, least, most) from rows with such columns below the node `key`; least and most are of the components."""
     parts = [F.bit_and("all").alias("all"), F.bit_or("some").alias("some"), F.min("least").alias("least"), F.max("most").alias("most")]
-    return rows.groupBy(key.alias("node")).agg(*parts)
+    return rows.groupBy("space", key.alias("node")).agg(*parts)
 
 
 def leaf_nodes(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of leaves (leaf, prints), given the components (id, root) of their fingerprints."""
+    """Nodes of leaves (space, leaf, prints), given the components (id, root) of their fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [as_prints(p).view(np.int64) for p in batch.column(1)]
-            leaf = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prints])
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *prints]))], ["leaf", "id"])
+            prints = [as_prints(p).view(np.int64) for p in batch.column(2)]
+            space, leaf = (np.repeat(batch.column(i).to_numpy(), [len(p) for p in prints]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(space, pa.int64()), pa.array(leaf, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *prints]))], ["space", "leaf", "id"])
 
-    each = mapped(held.select("leaf", "prints"), run, "leaf long, id long").join(roots, "id", "left")
+    each = mapped(held.select("space", "leaf", "prints"), run, "space long, leaf long, id long").join(roots, "id", "left")
     root = F.coalesce("root", "id")
-    return nodes(each.select("leaf", F.col("id").alias("all"), F.col("id").alias("some"), root.alias("least"), root.alias("most")), F.col("leaf"))
+    return nodes(each.select("space", "leaf", F.col("id").alias("all"), F.col("id").alias("some"), root.alias("least"), root.alias("most")), F.col("leaf"))
 
 
-def pruned(pairs: DataFrame, level: DataFrame, distance: int) -> DataFrame:
-    """Pairs (x, y), x <= y, of the nodes of a level that lie below the pairs of their parents and may hold a link."""
+def pruned(pairs: DataFrame, level: DataFrame, parent: Column, distance: int) -> DataFrame:
+    """Pairs (space, x, y), x <= y, of the nodes of a level that lie below the pairs of their parents and may hold a link."""
     entry = F.struct("node", "all", "some", "least", "most")
-    below = level.groupBy(F.floor(F.col("node") / FAN).alias("parent")).agg(F.collect_list(entry).alias("nodes"))  # FAN nodes at most
-    side = lambda name, nodes: below.select(F.col("parent").alias(name), F.col("nodes").alias(nodes))
-    met = pairs.join(side("x", "left"), "x").join(side("y", "right"), "y").select(F.explode("left").alias("l"), "right").select("l", F.explode("right").alias("r"))
+    below = level.groupBy("space", parent.alias("parent")).agg(F.collect_list(entry).alias("nodes"))  # FAN nodes at most
+    side = lambda name, nodes: below.select("space", F.col("parent").alias(name), F.col("nodes").alias(nodes))
+    met = pairs.join(side("x", "left"), ["space", "x"]).join(side("y", "right"), ["space", "y"])
+    met = met.select("space", F.explode("left").alias("l"), "right").select("space", "l", F.explode("right").alias("r"))
     free = F.expr("(l.all ^ l.some) | (r.all ^ r.some)")
     near = F.bit_count(F.expr("l.all ^ r.all").bitwiseAND(F.bitwise_not(free))) <= distance
     joined = F.expr("l.least = l.most AND r.least = r.most AND l.least = r.least")
-    return met.filter(F.expr("l.node <= r.node") & near & ~joined).select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
+    return met.filter(F.expr("l.node <= r.node") & near & ~joined).select("space", F.col("l.node").alias("x"), F.col("r.node").alias("y"))
 
 
 def near_leaves(held: DataFrame, roots: DataFrame, distance: int) -> DataFrame:
-    """Pairs (x, y), x < y, of leaves that may hold a link between components (id, root)."""
-    tree = [stored(leaf_nodes(held, roots))]
-    size = tree[0].count()
-    while size > FAN:
-        tree.append(stored(nodes(tree[-1], F.floor(F.col("node") / FAN))))
-        size = -(-size // FAN)
-    pairs = held.sparkSession.createDataFrame([(0, 0)], "x long, y long")
-    for level in reversed(tree):
-        pairs = stored(pruned(pairs, level, distance))
+    """Pairs (x, y), x < y, of leaves of one space that may hold a link between components (id, root)."""
+    several = held.groupBy("space").agg(F.count("*").alias("n")).filter("n > 1").select("space")
+    tree, parent = [stored(leaf_nodes(held.join(several, "space", "left_semi"), roots))], F.floor(F.col("node") / FAN)
+    while (tree[-1].groupBy("space").count().agg(F.max("count")).first()[0] or 0) > FAN:
+        tree.append(stored(nodes(tree[-1], parent)))
+    zero = F.lit(0).cast("long")
+    pairs = tree[-1].select("space", zero.alias("x"), zero.alias("y")).distinct()
+    for i, level in enumerate(reversed(tree)):
+        pairs = stored(pruned(pairs, level, parent if i else zero, distance))
     return pairs.filter("x < y")
 
 
+def leaf_table(classes: DataFrame, distance: int) -> DataFrame:
+    """(space, leaf, prints) of all blocks' orders."""
+    found = [leaves(classes, block, distance) for block in range(distance + 1)]
+    return stored(numbered(reduce(DataFrame.unionByName, found), "leaf"))
+
+
 def near_fingerprints(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(id, root) of distinct fingerprints (bits), but of the roots: links are at most `distance` differing bits."""
-    held = stored(numbered(leaves(classes), "leaf"))
-    links = linked_within(held, distance)
-    for turn in TURNS:
-        links = links.unionByName(linked_within(leaves(classes, turn), distance)) if turn else links
-    links = stored(links)
+    held = leaf_table(classes, distance)
+    links = stored(linked_within(held, distance))
     between = linked_between(near_leaves(held, components(links), distance), held, distance)
     return components(links.unionByName(between))
 

@@ -86,15 +86,25 @@ def test_gray_order_neighbours_differ_in_one_bit(spark):
 
 
 def test_pairs_of_nodes_are_pruned(spark):
-    """Of random prints about half of the pairs of leaves are compared at this size, and of a family of near copies few."""
+    """Below a shared top node about half of the pairs of leaves are compared at this size; of a family of near copies few."""
     r = random.Random(5)
-    prints = np.array([r.getrandbits(64) for _ in range(30_000)], np.uint64).view(np.int64).tolist()
-    held = m.stored(m.numbered(m.leaves(spark.createDataFrame([(b,) for b in prints], "bits long")), "leaf"))
-    n, met = held.count(), m.near_leaves(held, spark.createDataFrame([], "id long, root long"), 3).count()
-    assert met < 0.5 * n * n / 2
+    top = r.getrandbits(16) << 48
+    prints = np.array([top | r.getrandbits(48) for _ in range(30_000)], np.uint64).view(np.int64).tolist()
+    held = m.leaf_table(spark.createDataFrame([(b,) for b in prints], "bits long"), 3)
+    n, met = held.join(held.groupBy("space").count().filter("count > 100"), "space").count(), m.near_leaves(held, spark.createDataFrame([], "id long, root long"), 3).count()
+    assert n > 400 and 0 < met < 0.5 * n * n / 2
     base = r.getrandbits(64)
     family = {base ^ 1 << a ^ 1 << b for a in range(64) for b in range(64)} | {base ^ 1 << a for a in range(64)} | {base}
-    near = spark.createDataFrame([(b,) for b in np.array(sorted(family), np.uint64).view(np.int64).tolist()], "bits long")
-    held = m.stored(m.numbered(m.leaves(near), "leaf"))
-    links = m.linked_within(held, 3).unionByName(m.linked_within(m.leaves(near, 32), 3))
-    assert m.near_leaves(held, m.components(links), 3).count() < 0.2 * held.count() ** 2 / 2
+    held = m.leaf_table(spark.createDataFrame([(b,) for b in np.array(sorted(family), np.uint64).view(np.int64).tolist()], "bits long"), 3)
+    n = held.join(held.groupBy("space").count().filter("count > 1"), "space").count()
+    assert m.near_leaves(held, m.components(m.linked_within(held, 3)), 3).count() < 0.2 * n * n / 2
+
+
+def test_other_distances(spark):
+    r = random.Random(9)
+    prints = {r.getrandbits(64) for _ in range(200)}
+    prints = sorted(prints | {x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 6))) for x in prints})
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    for distance in (0, 1, 4, 6):
+        roots = {row.id: row.root for row in m.near_fingerprints(spark.createDataFrame([(b,) for b in signed], "bits long"), distance).collect()}
+        assert [roots.get(b, b) for b in signed] == classes(signed, prints, distance)
