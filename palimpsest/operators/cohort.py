@@ -82,8 +82,9 @@ def outcomes(versions: DataFrame, rules: Study, before: date | None = None, unkn
     )
 
 
-def landmarks(versions: DataFrame, rules: Study, before: date | None = None) -> DataFrame:
-    """Candidate rows t0 + k * spacing with `excluded`: the first rule that a row fails, or null for a kept one."""
+def landmarks(versions: DataFrame, rules: Study, before: date | None = None, *more: str) -> DataFrame:
+    """Candidate rows t0 + k * spacing with `excluded`: the first rule that a row fails, or null for a kept one; more:
+    further columns to return, such as t0."""
     of = outcomes(versions, rules, before).filter("in_window and in_population and not reversal and t0 is not null")
     grid = of.select("trial_id", "t0", "event", "event_date", F.explode(F.sequence(F.lit(0), F.lit(rules.landmarks.count))).alias("landmark_index"))
     keys = grid.withColumn("landmark_date", F.add_months("t0", F.col("landmark_index") * rules.landmarks.months))
@@ -97,7 +98,7 @@ def landmarks(versions: DataFrame, rules: Study, before: date | None = None) ->
         .when(~F.coalesce(F.col("status").isin(*rules.status.open), F.lit(False)), "not_open")
         .when(F.col("lapse_from") <= F.col("landmark_date"), "lapsed")
     )
-    return met.select("trial_id", "landmark_index", "landmark_date", "event", "event_date", F.coalesce("stratum", F.lit("MISSING")).alias("stratum"), excluded.alias("excluded"))
+    return met.select("trial_id", "landmark_index", "landmark_date", "event", "event_date", F.coalesce("stratum", F.lit("MISSING")).alias("stratum"), excluded.alias("excluded"), *more)
 
 
 def person_periods(rows: DataFrame, rules: Study, before: date | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.text import EXCLUSIONS, HEADING, THRESHOLD, criteria_statistics
 from ..operators import cohort, features, sponsors
 from ..operators.asof import asof_join
 from ..operators.versions import changes, latest_per, open_counts, out_of_order, repeats, running_history
+from ..session import stored
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
 from .sponsor_queries import COUNTS, sponsor_states
 
@@ -108,22 +109,25 @@ def open_count_sweep(spark, sf_dir):
 
 
 def feature_rows(held, keys):
-    """All inputs of the features at keys: state and history, title and text, and what the other tables say that day."""
+    """All inputs of the features at keys (with window_start): state and history, title and text, and what the other
+    tables say that day. The states at the keys are stored, as three of the inputs are looked up for them."""
     states = features.history(held, STUDY)
     stats = {f"eligibility_{name}": c for name, c in criteria_statistics(F.col("criteria")).items()}
-    states = states.withColumns({"title_phase": resolved_phase(F.col("official_title"), F.col("brief_title")), **stats})
     spans = held.groupBy("trial_id").agg(F.min("effective_date").alias("opened"), F.max("effective_date").alias("closed"))
-    met = features.competition(features.at_landmarks(keys, states), spans).withColumnRenamed("open_trials", "open_interventional_trials")
+    met = stored(features.at_landmarks(keys, states))
+    met = met.withColumns({"title_phase": resolved_phase(F.col("official_title"), F.col("brief_title")), **stats})
+    rows = features.competition(met, spans).withColumnRenamed("open_trials", "open_interventional_trials")
     asked = met.filter(has_identity(F.col("sponsor_key"), F.lit(False))).select("trial_id", "landmark_index", "landmark_date", "sponsor_key")
-    record = sponsors.strict_counts(sponsors.sponsor_events(sponsor_states(held), asked))
-    return sponsors.with_record(met, record, has_identity(F.col("sponsor_key"), F.lit(False)))
+    record = sponsors.track_records(sponsors.sponsor_events(sponsor_states(held), asked))
+    return sponsors.with_record(rows, record, has_identity(F.col("sponsor_key"), F.lit(False)))
 
 
 FEATURES = """, hist AS (SELECT *, row_number() OVER w AS n_versions, first_value(first_post_date) OVER w AS f_post, first_value(start_date) OVER w AS f_start, first_value(completion_date) OVER w AS f_comp, first_value(primary_completion_date) OVER w AS f_prim,
     first_value(enrollment_count) OVER w AS f_count, first_value(enrollment_type) OVER w AS f_type, coalesce(bool_or(status = 'SUSPENDED') OVER w, false) AS ever_suspended
   FROM versions WINDOW w AS (PARTITION BY trial_id ORDER BY effective_date, version ROWS UNBOUNDED PRECEDING)),
 hst AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY trial_id, effective_date ORDER BY version DESC) = 1),
-keys AS (SELECT trial_id, landmark_index, landmark_date, CAST(landmark_date - INTERVAL 6 MONTH AS DATE) AS window_start FROM landmarks WHERE excluded IS NULL),
+keys AS (SELECT l.trial_id, landmark_index, landmark_date, CAST(CASE WHEN 6 * landmark_index - 6 >= 0 AND t0 IS NOT NULL THEN t0 + to_months(CAST(6 * landmark_index - 6 AS INTEGER)) ELSE landmark_date - INTERVAL 6 MONTH END AS DATE) AS window_start
+  FROM landmarks l JOIN outcomes USING (trial_id) WHERE excluded IS NULL),
 bef AS (SELECT k.trial_id, k.landmark_index, h.n_versions AS then_n FROM keys k ASOF LEFT JOIN hst h ON k.trial_id = h.trial_id AND k.window_start >= h.effective_date),
 cur AS (SELECT k.landmark_index, k.landmark_date, h.* FROM keys k ASOF LEFT JOIN hst h ON k.trial_id = h.trial_id AND k.landmark_date >= h.effective_date)"""
 MI = lambda d: f"(year({d}) * 12 + month({d}))"
@@ -154,9 +158,8 @@ SELECT c.trial_id, c.landmark_index, c.landmark_date, allocation, intervention_m
 FROM opn c JOIN bef b ON c.trial_id = b.trial_id AND c.landmark_index = b.landmark_index LEFT JOIN cnt ON cnt.trial_id = c.trial_id AND cnt.landmark_index = c.landmark_index""")
 def features_at_landmark(spark, sf_dir):
     """All features of every kept landmark row."""
-    held = versions(spark, sf_dir)
-    keys = cohort.landmarks(held, STUDY).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
-    return features.select_features(feature_rows(held, keys))
+    held = stored(versions(spark, sf_dir))
+    return features.select_features(feature_rows(held, features.landmark_keys(held, STUDY)))
 
 
 @query(f"""{FULL}, spans AS (SELECT min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +39,21 @@ def shared_folder(spark: SparkSession) -> str:
     if not held.isDefined():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet below the shared folder and read again: several steps read it without planning it
+    anew, and it survives executors. The files go when the driver ends."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may have gone before
+        pass

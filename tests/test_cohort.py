@@ -74,7 +74,7 @@ def test_later_versions_never_matter(log):
     forged = forged.unionByName(log.withColumn("version", F.col("version") + 90).withColumn("effective_date", F.lit(origin) + 5))
     for f in (cohort.outcomes, cohort.landmarks, cohort.states):
         assert sorted(map(str, f(log, RULES, before=origin).collect())) == sorted(map(str, f(forged, RULES, before=origin).collect()))
-    keys = cohort.landmarks(log, RULES, before=origin).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
+    keys = features.landmark_keys(log, RULES, before=origin)
     a, b = (features.select_features(features.at_landmarks(keys, features.history(x, RULES))) for x in (log, forged))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 3
 
@@ -86,13 +86,23 @@ def test_label_changes(log):
 
 
 def test_features_by_hand(log):
-    keys = cohort.landmarks(log, RULES).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
+    keys = features.landmark_keys(log, RULES)
     rows = {(r.trial_id, r.landmark_index): r for r in features.select_features(features.at_landmarks(keys, features.history(log, RULES))).collect()}
     r = rows[1, 1]
     assert (r.status, r.n_versions, r.n_versions_recent, r.ever_suspended, r.currently_suspended, r.months_since_last_update, r.registration_year) == ("SUSPENDED", 2, 1, True, True, 1, 2000)
     assert rows[1, 0].registration_year is None and rows[3, 0].planned_duration_months is None and rows[4, 0].start_overdue is False and rows[4, 1].start_overdue is True and rows[4, 1].enrollment_target_ratio == 1.0
 
 
+def test_recent_window_follows_the_landmarks(spark):
+    """First posted on 31 August: the landmark of 28 February has a window that begins on 31 August, not on the 28th."""
+    rows = [version(1, n, day, "RECRUITING", first_post_date=D("2000-08-31"), status_verified_date=D("2004-12-01")) for n, day in enumerate(["2000-08-29", "2000-08-30", "2000-08-31", "2001-01-01"])]
+    keys = features.landmark_keys(frame(spark, rows), RULES)
+    found = features.select_features(features.at_landmarks(keys, features.history(frame(spark, rows), RULES)))
+    assert [(r.landmark_date, r.n_versions, r.n_versions_recent) for r in found.orderBy("landmark_index").head(3)] == [(D("2000-08-31"), 3, 3), (D("2001-02-28"), 4, 1), (D("2001-08-31"), 4, 0)]
+    starts = [r.window_start for r in keys.orderBy("landmark_index").head(3)]
+    assert starts == [D("2000-02-29"), D("2000-08-31"), D("2001-02-28")]
+
+
 def test_features_of_the_design(spark):
     rows = [
         version(1, 0, "2000-01-31", "RECRUITING", primary_completion_date=D("2001-02-15"), primary_completion_date_type="ESTIMATED", allocation="RANDOMIZED", minimum_age_years=18.0, maximum_age_years=65.0, intervention_types=["DRUG", "DRUG", "DEVICE"]),
@@ -100,7 +110,7 @@ def test_features_of_the_design(spark):
         version(1, 2, "2001-01-15", "RECRUITING", primary_completion_date=D("2000-12-15"), primary_completion_date_type="ACTUAL", status_verified_date=D("2004-12-01")),
     ]
     log = frame(spark, rows)
-    keys = cohort.landmarks(log, RULES).filter("excluded is null").select("trial_id", "landmark_index", "landmark_date")
+    keys = features.landmark_keys(log, RULES)
     found = features.select_features(features.at_landmarks(keys, features.history(log, RULES)))
     assert len(found.columns) == 3 + 57
     a, b, c = (r for r in found.filter("landmark_index < 3").orderBy("landmark_index").collect())
