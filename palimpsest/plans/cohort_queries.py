@@ -138,10 +138,7 @@ TEXTS = f"""SELECT *, list_filter(CASE WHEN o_first > 0 THEN ls[1:o_first - 1] E
   FROM (SELECT *, {LINES} AS ls, list_position(list_transform({LINES}, lambda x: regexp_matches(x, '{EXCLUSIONS}')), true) AS o_first FROM cur)"""
 
 
-@query(f"""{COUNTS}{FEATURES}, spans AS (SELECT min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id),
-ch AS (SELECT opened AS day, 1 AS c FROM spans UNION ALL SELECT closed, -1 FROM spans), tl AS (SELECT day, sum(sum(c)) OVER (ORDER BY day) AS n_open FROM ch GROUP BY day),
-txt AS ({TEXTS}), opn AS (SELECT txt.*, coalesce(n_open, 0) AS n_open FROM txt ASOF LEFT JOIN tl ON txt.landmark_date >= tl.day)
-SELECT c.trial_id, c.landmark_index, c.landmark_date, allocation, intervention_model, primary_purpose, masking, healthy_volunteers, sex, minimum_age_years, maximum_age_years,
+FEATURE_COLUMNS = f"""SELECT c.trial_id, c.landmark_index, c.landmark_date, allocation, intervention_model, primary_purpose, masking, healthy_volunteers, sex, minimum_age_years, maximum_age_years,
   CAST(enrollment_count AS DOUBLE) AS enrollment_count, {MI('primary_completion_date')} - {MI('start_date')} AS planned_duration_months,
   {MI('start_date')} > {MI('c.landmark_date')} AS start_anticipated, {MI('start_date')} < {MI('first_post_date')} AS registered_after_start, {MI('first_post_date')} - {MI('start_date')} AS registration_lag_months,
   year(first_post_date) AS registration_year, status, n_versions, n_versions - coalesce(then_n, 0) AS n_versions_recent, {MI('c.landmark_date')} - {MI('effective_date')} AS months_since_last_update,
@@ -154,7 +151,13 @@ SELECT c.trial_id, c.landmark_index, c.landmark_date, allocation, intervention_m
   {MI('c.landmark_date')} - {MI('status_verified_date')} AS months_since_status_verified, coalesce(stratum, 'MISSING') AS sponsor_class, organization_class, maximum_age_years - minimum_age_years AS eligibility_age_span_years,
   {MI('c.landmark_date')} - {MI('first_post_date')} AS months_since_t0, title_phase, coalesce(len(intervention_types), 0) AS n_interventions, coalesce(len(list_distinct(intervention_types)), 0) AS n_intervention_types, {FLAGS},
   c.sponsor_key IS NOT NULL AS sponsor_has_identity, registrations AS sponsor_prior_registrations, ended AS sponsor_prior_ended, stopped AS sponsor_prior_stopped, n_open AS open_interventional_trials,
-  CASE WHEN criteria IS NOT NULL THEN len(inc) END AS eligibility_n_inclusion, CASE WHEN criteria IS NOT NULL THEN len(exc) END AS eligibility_n_exclusion, length(criteria) AS eligibility_length, len(regexp_extract_all(criteria, '{THRESHOLD}')) AS eligibility_n_thresholds
+  CASE WHEN criteria IS NOT NULL THEN len(inc) END AS eligibility_n_inclusion, CASE WHEN criteria IS NOT NULL THEN len(exc) END AS eligibility_n_exclusion, length(criteria) AS eligibility_length, len(regexp_extract_all(criteria, '{THRESHOLD}')) AS eligibility_n_thresholds"""
+
+
+@query(f"""{COUNTS}{FEATURES}, spans AS (SELECT min(effective_date) AS opened, max(effective_date) AS closed FROM versions GROUP BY trial_id),
+ch AS (SELECT opened AS day, 1 AS c FROM spans UNION ALL SELECT closed, -1 FROM spans), tl AS (SELECT day, sum(sum(c)) OVER (ORDER BY day) AS n_open FROM ch GROUP BY day),
+txt AS ({TEXTS}), opn AS (SELECT txt.*, coalesce(n_open, 0) AS n_open FROM txt ASOF LEFT JOIN tl ON txt.landmark_date >= tl.day)
+{FEATURE_COLUMNS}
 FROM opn c JOIN bef b ON c.trial_id = b.trial_id AND c.landmark_index = b.landmark_index LEFT JOIN cnt ON cnt.trial_id = c.trial_id AND cnt.landmark_index = c.landmark_index""")
 def features_at_landmark(spark, sf_dir):
     """All features of every kept landmark row."""
