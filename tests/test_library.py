@@ -39,14 +39,16 @@ def test_texts(spark):
     titles = {
         "Phase II study": "PHASE2", "A phase 1/2 trial": "PHASE1_PHASE2", "PHASE IIIb": "PHASE3", "phase": "NONE", "phases 2 and 3": "NONE", "phase 12": "NONE", None: "NONE", "": "NONE",
         "Phase 2 to phase 3": "PHASE2_PHASE3", "phase-4": "PHASE4", "Phase 0, first in man": "EARLY_PHASE1", "Phase I-II": "PHASE1_PHASE2", "phase 2, then phase 4": "OTHER", "monophasic 2": "NONE",
+        "phase2b/phase 3": "PHASE2_PHASE3", "phase - 1 , and 2": "PHASE1", "Phase I/IIa or III": "OTHER", "phase 1 2": "PHASE1", "phase phase 3": "PHASE3", "PHASE_1": "NONE", "phase 1b & phase-2": "PHASE1_PHASE2",
     }
     assert {t: one(spark, text.title_phase(F.lit(t).cast("string"))) for t in titles} == titles
     assert [one(spark, text.resolved_phase(F.lit(a).cast("string"), F.lit(b))) for a, b in ((None, "phase 3"), ("a study", "phase 3"), ("phase 2", "phase 3"))] == ["PHASE3", "PHASE3", "PHASE2"]
-    assert text.normalized("<p>a &amp;amp; b</p><p>x@y.org</p>") == "a & b\n[email removed]"
-    assert text.normalized("one\ntwo\n\n* item\n1. first\n2. second\n<!-- c -->\n\\*end") == "one two\nitem\nfirst\nsecond\n*end"
-    assert text.normalized("text\n3. goes on\n1. opens\n4. next\n\n   inside\n7. still\n\nplain\n8. joins") == "text 3. goes on\nopens\nnext\ninside\nstill\nplain 8. joins"
-    assert text.normalized("a &lt; b and c \\> d") == "a < b and c > d" and text.normalized("age <5 or >60") == "age <5 or >60"
-    assert text.normalized(" \n") is None and text.normalized(None) is None
+    normal = lambda t: one(spark, text.normalize_text(F.lit(t).cast("string")))
+    assert normal("<p>a &amp;amp; b</p><p>x@y.org</p>") == "a & b\n[email removed]"
+    assert normal("one\ntwo\n\n* item\n1. first\n2. second\n<!-- c -->\n\\*end") == "one two\nitem\nfirst\nsecond\n*end"
+    assert normal("text\n3. goes on\n1. opens\n4. next\n\n   inside\n7. still\n\nplain\n8. joins") == "text 3. goes on\nopens\nnext\ninside\nstill\nplain 8. joins"
+    assert normal("a &lt; b and c \\> d") == "a < b and c > d" and normal("age <5 or >60") == "age <5 or >60"
+    assert normal(" \n") is None and normal(None) is None
     people = {("Jo Roe", "Indiv"): True, ("Jo Roe, MD", None): True, ("Roe Hospital, MD", None): False, ("Jo Roe MDs", None): False, ("Univ.-Prof. Jo Roe", "OTHER"): True, ("Dr. Roe Universitätsspital", None): False, ("ASST Milano", None): False, (None, "OTHER"): False}
     assert {p: one(spark, text.is_individual(*(F.lit(x).cast("string") for x in p))) for p in people} == people
     assert [one(spark, text.sponsor_key(F.lit(x).cast("string"))) for x in ("ＡＣＭＥ  Co.", "a_b", "--", None)] == ["acme co", "a_b", None, None]

@@ -89,7 +89,6 @@ def test_displayed_values(spark):
     assert [one(spark, text.shown(F.lit(v), k)) for v, k in ((True, "flag"), (0.2, "flag"), ("X", "category"), (None, "category"))] == ["yes", "no", "X", "not given"]
     assert one(spark, text.reason_text(F.lit(" “No\n  funds” (2019). "))) == "no funds” (2019"
     assert [one(spark, text.rendered(F.lit(v).cast(k), k)) for v, k in ((18.0, "double"), (12345678.5, "double"), (True, "boolean"), (None, "int"))] == ["18.0", "12345678.5", "true", ""]
-    assert text.any_case("aZ é.") == "[aA][zZ]\\ é\\."
     assert one(spark, text.marker_names(F.lit(5), ["a", "b", "c"])) == ["a", "c"] and one(spark, text.marker_names(F.lit(0), ["a"])) == ["record"]
     assert one(spark, text.area_codes(F.array(F.lit("x"), F.lit("y"), F.lit("x")), {"x": 2, "y": 1})) == [1, 2]
     assert one(spark, dates.weekly_dates(F.lit(D("2024-01-01")), F.lit(D("2024-01-12")))) == [D("2024-01-05"), D("2024-01-12")]
