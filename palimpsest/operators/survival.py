@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_join
@@ -54,23 +54,36 @@ def censoring_group(rows: DataFrame, stratum: str, least: int, name: str = "cens
     return rows.join(sizes, stratum, "left").withColumn(name, F.when(F.col("__n") >= least, F.col(stratum)).otherwise(F.lit("POOLED"))).drop("__n")
 
 
-def ipcw(rows: DataFrame, group: str, time: str, event: str, horizon: int) -> DataFrame:
-    """rows with label (event 1 by the horizon) and weight: 1/G before the event or at the horizon; 0 if censored earlier.
+def weighted(rows: DataFrame, by: Sequence[str], time: str, event: str, horizon: Column, name: str = "weight") -> DataFrame:
+    """rows with label (event 1 by their horizon) and a weight: 1/G before the event or at the horizon; 0 if censored
+    earlier. G is the censoring curve of the rows that share `by`; horizons may differ by row.
 
-    The curve is looked up once for each distinct time of a group; rows get the answer by equality.
+    The curves of all groups are taken together and looked up once for each distinct time of a group; rows get the answer
+    by equality.
     """
-    grouped = rows.select(F.col(group).alias("__group"), time, event)
-    curve = censoring_survival(grouped, ["__group"], time, event).select(F.col("__group").alias(group), F.col("t").alias("__t"), F.col("g").alias("__g"))
-    ended = (F.col(time) <= horizon) & (F.col(event) > 0)
-    keyed = rows.withColumn("__ended", F.coalesce(ended, F.lit(False))).withColumn("__at", F.when(ended, F.col(time)).otherwise(F.lit(horizon)))
-    asked = keyed.select(group, "__ended", "__at").distinct()
-    before = asof_join(asked.filter("__ended"), curve, [group], "__at", "__t", strict=True)
-    after = asof_join(asked.filter("not __ended"), curve, [group], "__at", "__t")
-    answers = before.unionByName(after).select(F.col(group).alias("__of"), F.col("__ended").alias("__e"), F.col("__at").alias("__a"), F.coalesce("__g", F.lit(1.0)).alias("__g"))
-    met = keyed.join(answers, keyed[group].eqNullSafe(F.col("__of")) & (F.col("__ended") == F.col("__e")) & (F.col("__at") == F.col("__a")), "left")
-    weight = F.when(~F.col("__ended") & (F.col(time) <= horizon), 0.0).when(F.col("__g") > 0, 1 / F.col("__g"))
-    label = F.when((F.col(time) <= horizon) & (F.col(event) == 1), 1).otherwise(0)
-    return met.withColumn("weight", weight).withColumn("label", label).drop("__at", "__ended", "__of", "__e", "__a", "__g")
+    group = [f"__by{i}" for i in range(len(by))]
+    renamed = [F.col(c).alias(g) for c, g in zip(by, group)]
+    curve = censoring_survival(rows.select(*renamed, time, event), group, time, event).select(*group, F.col("t").alias("__t"), F.col("g").alias("__g"))
+    keyed = rows.withColumn("__horizon", horizon)
+    ended = F.coalesce((F.col(time) <= F.col("__horizon")) & (F.col(event) > 0), F.lit(False))
+    keyed = keyed.withColumn("__ended", ended).withColumn("__at", F.when(ended, F.col(time)).otherwise(F.col("__horizon")))
+    asked = keyed.select(*renamed, "__ended", "__at").distinct()
+    before = asof_join(asked.filter("__ended"), curve, group, "__at", "__t", strict=True)
+    after = asof_join(asked.filter("not __ended"), curve, group, "__at", "__t")
+    answers = before.unionByName(after).select(*group, F.col("__ended").alias("__e"), F.col("__at").alias("__a"), F.coalesce("__g", F.lit(1.0)).alias("__g"))
+    same = (F.col("__ended") == F.col("__e")) & (F.col("__at") == F.col("__a"))
+    for c, g in zip(by, group):
+        same = same & keyed[c].eqNullSafe(F.col(g))
+    met = keyed.join(answers, same, "left")
+    inside = F.col(time) <= F.col("__horizon")
+    weight = F.when(~F.col("__ended") & inside, 0.0).when(F.col("__g") > 0, 1 / F.col("__g"))
+    label = F.when(inside & (F.col(event) == 1), 1).otherwise(0)
+    return met.withColumn(name, weight).withColumn("label", label).drop("__horizon", "__at", "__ended", "__e", "__a", "__g", *group)
+
+
+def ipcw(rows: DataFrame, group: str, time: str, event: str, horizon: int) -> DataFrame:
+    """rows with label and weight at one horizon, by the curves of one column's groups."""
+    return weighted(rows, [group], time, event, F.lit(horizon))
 
 
 def weighted_auc(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str) -> DataFrame:
@@ -92,10 +105,10 @@ def top_fraction(rows: DataFrame, by: Sequence[str], score: str, ties: Sequence[
 
 
 def lift(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str, ties: Sequence[str], fraction: float = 0.1) -> DataFrame:
-    """(by, lift): the event rate among the top fraction over that of all."""
-    rate = F.sum(F.col(weight) * F.col(label)) / F.sum(weight)
+    """(by, lift): the event rate among the top fraction over that of all; null where either has no weight or no event."""
+    rate = F.sum(F.col(weight) * F.col(label)) / F.nullif(F.sum(weight), F.lit(0.0))
     top = top_fraction(rows, by, score, ties, fraction).groupBy(*by).agg(rate.alias("top"))
-    return top.join(rows.groupBy(*by).agg(rate.alias("all")), list(by)).select(*by, (F.col("top") / F.col("all")).alias("lift"))
+    return top.join(rows.groupBy(*by).agg(rate.alias("all")), list(by)).select(*by, (F.col("top") / F.nullif(F.col("all"), F.lit(0.0))).alias("lift"))
 
 
 def equal_bins(rows: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], bins: int) -> DataFrame:
@@ -109,7 +122,7 @@ def equal_bins(rows: DataFrame, by: Sequence[str], score: str, ties: Sequence[st
 
 def calibration(rows: DataFrame, by: Sequence[str], score: str, label: str, weight: str) -> DataFrame:
     """(by, n, predicted, observed): mean score and weighted event rate."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(score).alias("predicted"), (F.sum(F.col(weight) * F.col(label)) / F.sum(weight)).alias("observed"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(score).alias("predicted"), (F.sum(F.col(weight) * F.col(label)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("observed"))
 
 
 def calibration_slope(rows: DataFrame, score: str, label: str, weight: str, steps: int = 25) -> tuple[float, float]:

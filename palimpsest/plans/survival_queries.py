@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cif_from_hazards, logit, signed_log, wilson
 from ..operators import cohort, survival
 from ..operators.ranks import sum_before
 from ..operators.recalibration import paired_difference
+from ..operators.sponsors import class_priors, shrunk_rates
+from ..operators.walkforward import run
+from ..session import stored
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
 
 FULL = f"WITH {VERSIONS_SQL}, {cohort_sql()}"
@@ -101,6 +106,62 @@ def paired_auc_difference(spark, sf_dir):
     return paired_difference(rows, "score", "other", "label", "weight", "trial_id")
 
 
+ORIGINS, MONTHS, GROUPED = (date(1998, 1, 1), date(1999, 1, 1)), (12, 24), 75
+PRIORS = ", ".join(
+    f"""f{i} AS (SELECT trial_id, arg_min(event, landmark_index) AS event, arg_min(stratum, landmark_index) AS stratum FROM o{i}_landmarks WHERE excluded IS NULL AND landmark_date < DATE '{day}' GROUP BY 1),
+s{i} AS (SELECT stratum, count(*) FILTER (WHERE event <> 0) AS e, count(*) FILTER (WHERE event = 1) AS s FROM f{i} GROUP BY 1), t{i} AS (SELECT CASE WHEN sum(e) > 0 THEN CAST(sum(s) AS DOUBLE) / sum(e) ELSE 0 END AS overall FROM s{i}),
+p{i} AS (SELECT DATE '{day}' AS origin, stratum, (s + 10 * overall) / (e + 10) AS prior FROM s{i}, t{i})"""
+    for i, day in enumerate(ORIGINS)
+)
+
+
+def sql_weights(name: str, curve: str, of: str) -> str:
+    """A CTE `name` of the rows of `laid` with their weights by curves of rows that share the columns `of`."""
+    cols = [c.strip() for c in of.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in cols)
+    return f"""{curve}n AS (SELECT {of}, "time" AS t, count(*) FILTER (WHERE months = 12) AS n, count(*) FILTER (WHERE months = 12 AND event = 0) AS d0, count(*) FILTER (WHERE months = 12 AND event > 0) AS de FROM laid GROUP BY ALL),
+{curve}r AS (SELECT *, sum(n) OVER (PARTITION BY {of} ORDER BY t DESC) - de AS risk FROM {curve}n), {curve} AS (SELECT {of}, t, product(1 - CASE WHEN risk > 0 THEN d0 / risk ELSE 0 END) OVER (PARTITION BY {of} ORDER BY t) AS g FROM {curve}r),
+{name} AS (SELECT x.*, 1 / coalesce(g, 1) AS weight FROM (SELECT * FROM laid WHERE "time" <= horizon AND event > 0) x ASOF LEFT JOIN {curve} c ON {on('x', 'c')} AND x."time" > c.t
+  UNION ALL SELECT x.*, CASE WHEN x."time" <= horizon THEN 0 ELSE 1 / coalesce(g, 1) END FROM (SELECT * FROM laid WHERE NOT ("time" <= horizon AND event > 0)) x ASOF LEFT JOIN {curve} c ON {on('x', 'c')} AND x.horizon >= c.t)"""
+
+
+def sql_metrics(name: str, rows: str) -> str:
+    return f"""{name}s AS (SELECT *, CASE WHEN "time" <= horizon AND event = 1 THEN 1 ELSE 0 END AS label FROM {rows}),
+{name}g AS (SELECT origin, months, slice, score, sum(weight * label) AS p, sum(weight * (1 - label)) AS n FROM {name}s GROUP BY ALL),
+{name}b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY origin, months, slice ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {name}g),
+{name}a AS (SELECT origin, months, slice, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM {name}b GROUP BY ALL),
+{name}k AS (SELECT *, row_number() OVER (PARTITION BY origin, months, slice ORDER BY score DESC, trial_id, landmark_index) AS k, count(*) OVER (PARTITION BY origin, months, slice) AS n FROM {name}s),
+{name} AS (SELECT origin, months, slice, count(*) AS n_rows, count(DISTINCT trial_id) AS n_trials, any_value(auc) AS auc, sum(weight * (label - score) * (label - score)) / count(*) AS brier,
+  (sum(weight * label) FILTER (WHERE k <= greatest(1, ceil(n * 0.1))) / nullif(sum(weight) FILTER (WHERE k <= greatest(1, ceil(n * 0.1))), 0)) / nullif(sum(weight * label) / nullif(sum(weight), 0), 0) AS lift FROM {name}k JOIN {name}a USING (origin, months, slice) GROUP BY ALL)"""
+
+
+@query(f"""{FULL}, {', '.join(cohort_sql(str(day), str(day), f'o{i}_') for i, day in enumerate(ORIGINS))}, {PRIORS},
+ev AS (SELECT l.*, o.origin, datediff('day', landmark_date, event_date) AS "time", count(*) OVER (PARTITION BY o.origin, stratum) AS size FROM (SELECT * FROM landmarks WHERE excluded IS NULL) l
+  JOIN (SELECT DATE '{ORIGINS[0]}' AS origin UNION ALL SELECT DATE '{ORIGINS[1]}') o ON landmark_date >= origin AND landmark_date < origin + INTERVAL 12 MONTH),
+sc AS (SELECT ev.*, CASE WHEN size >= {GROUPED} THEN ev.stratum ELSE 'POOLED' END AS cg, coalesce(prior, CASE WHEN ev.origin = DATE '{ORIGINS[0]}' THEN (SELECT overall FROM t0) ELSE (SELECT overall FROM t1) END) AS prior FROM ev LEFT JOIN (SELECT * FROM p0 UNION ALL SELECT * FROM p1) p ON ev.origin = p.origin AND ev.stratum = p.stratum),
+laid AS (SELECT origin, trial_id, landmark_index, event, "time", cg, months, prior * months / 24 * (1 + landmark_index / 10) AS score, datediff('day', landmark_date, CAST(landmark_date + to_months(months) AS DATE)) AS horizon, slice
+  FROM sc, (SELECT CAST(unnest([12, 24]) AS INTEGER) AS months), LATERAL (SELECT CAST(unnest([-1, landmark_index]) AS INTEGER) AS slice)),
+{sql_weights('w', 'c', 'origin, slice, cg')}, {sql_weights('w1', 'c1', 'origin, slice')}, {sql_metrics('m', 'w')}, {sql_metrics('o', 'w1')}
+SELECT origin, months, CASE WHEN slice >= 0 THEN slice END AS slice, m.n_rows, m.n_trials, m.auc, m.brier, m.lift, o.auc AS single_auc, o.brier AS single_brier, o.lift AS single_lift FROM m JOIN o USING (origin, months, slice)""")
+def walk_forward(spark, sf_dir):
+    """What early-stop rates of classes, as known at two origins, are worth in the year after: two horizons, pooled and by index."""
+    held = stored(versions(spark, sf_dir))
+
+    def fit(origin):
+        known = cohort.landmarks(held, STUDY, before=origin).filter("excluded is null").filter(F.col("landmark_date") < F.lit(origin))
+        priors = stored(class_priors(known, origin))
+
+        def predict(rows):
+            rated = shrunk_rates(rows.withColumns({"sponsor_prior_ended": F.lit(0), "sponsor_prior_stopped": F.lit(0)}), priors)
+            risk = F.col("rate") * (1 + F.col("landmark_index") / 10)
+            return rated.withColumns({f"score_{m}": risk * m / 24 for m in MONTHS}).drop("rate", "sponsor_prior_ended", "sponsor_prior_stopped")
+
+        return predict
+
+    rows = cohort.landmarks(held, STUDY).filter("excluded is null").drop("excluded")
+    return run(rows, ORIGINS, MONTHS, fit, least=GROUPED)
+
+
 @query("""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE a = b) AS same FROM c), e AS (SELECT sum(r.r * k.k) AS rc FROM (SELECT a, sum(n) AS r FROM c GROUP BY a) r JOIN (SELECT b, sum(n) AS k FROM c GROUP BY b) k ON a = b)
 SELECT CAST(n AS BIGINT) AS n, same / n AS accuracy, (same / n - rc / (n * n)) / (1 - rc / (n * n)) AS kappa FROM t, e""")
 def label_agreement(spark, sf_dir):
