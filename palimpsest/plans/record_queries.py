@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..functions.nested import flattened
 from ..operators import cohort, drift, population, records
-from ..operators.versions import quarantine
+from ..operators.census import census, differences, hidden_versions, judged, next_pull
+from ..operators.versions import latest_per, quarantine
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
 
 WITH = f"WITH {VERSIONS_SQL}"
@@ -227,3 +229,55 @@ def renames_by_cause(spark, sf_dir):
     ends = held.groupBy("trial_id").agg(cohort.arg_min(F.col("sponsor_key"), F.col("version")).alias("a"), F.max_by("sponsor_key", F.when(F.col("sponsor_key").isNotNull(), F.col("version"))).alias("b"), F.countDistinct("sponsor_key").alias("n"))
     cause = F.when(F.col("a").isNull(), "never named").when(F.col("n") == 1, "same").when(F.col("a") == F.col("b"), "back again").otherwise("renamed")
     return ends.groupBy(cause.alias("cause")).agg(F.count("*").alias("trials"))
+
+
+RELEASE = date(1998, 1, 1)
+FIELDS = ("status", "enrollment_count", "completion_date", "sponsor_key", "allocation")
+
+
+@query(f"""{WITH}, o AS (SELECT * FROM versions WHERE effective_date <= DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY version DESC) = 1),
+n AS (SELECT * FROM versions WHERE effective_date <= DATE '1998-06-15' QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY effective_date DESC, version DESC) = 1),
+f AS (SELECT trial_id, min(effective_date) AS began FROM versions GROUP BY 1),
+j AS (SELECT coalesce(o.trial_id, n.trial_id) AS trial_id, o.trial_id AS oid, n.trial_id AS nid, o.effective_date AS od, n.effective_date AS nd, {', '.join(f'o.{c} AS o_{c}, n.{c} AS n_{c}' for c in FIELDS)} FROM o FULL JOIN n ON o.trial_id = n.trial_id),
+d AS (SELECT '(row)' AS "column", CASE WHEN began > DATE '1998-01-01' THEN 'registered later' ELSE 'unexplained' END AS cause FROM j JOIN f USING (trial_id) WHERE oid IS NULL
+  UNION ALL SELECT '(row)', 'unexplained' FROM j WHERE nid IS NULL
+  {' '.join(f"UNION ALL SELECT '{c}', CASE WHEN nd > DATE '1998-01-01' THEN 'posted later' WHEN od < nd THEN 'numbered out of order' WHEN o_{c} IS NULL THEN 'filled in' ELSE 'unexplained' END FROM j WHERE oid IS NOT NULL AND nid IS NOT NULL AND o_{c} IS DISTINCT FROM n_{c}" for c in FIELDS)}),
+t AS (SELECT "column", cause, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT count(*) AS size FROM n)
+SELECT "column", cause, n, n / size AS share, CASE WHEN "column" = 'status' AND cause = 'numbered out of order' THEN 0.01 WHEN cause = 'unexplained' THEN 0 ELSE 1 END AS most, n / size <= CASE WHEN "column" = 'status' AND cause = 'numbered out of order' THEN 0.01 WHEN cause = 'unexplained' THEN 0 ELSE 1 END AS accepted FROM t, p""")
+def census_by_cause(spark, sf_dir):
+    """The last numbered version of each trial in a release against its state half a year later, each difference with its cause."""
+    held = versions(spark, sf_dir).withColumn("status", cohort.submitted_status(STUDY))
+    known = ["trial_id", "effective_date", *FIELDS]
+    old = latest_per(held.filter(F.col("effective_date") <= F.lit(RELEASE)), ["trial_id"], "version").select(known)
+    began = F.min("effective_date").over(Window.partitionBy("trial_id"))
+    day = F.col("effective_date") <= F.lit(DAY)
+    last = F.row_number().over(Window.partitionBy("trial_id").orderBy(day.desc(), F.desc("effective_date"), F.desc("version")))
+    new = held.withColumns({"began": began, "__n": last}).filter(day & (F.col("__n") == 1)).select(*known, "began")
+    causes = lambda c: [("posted later", F.col("new.effective_date") > F.lit(RELEASE)), ("numbered out of order", F.col("old.effective_date") < F.col("new.effective_date")), ("filled in", F.col(f"old.{c}").isNull())]
+    found = differences(old, new, "trial_id", {c: causes(c) for c in FIELDS}, added=[("registered later", F.col("new.began") > F.lit(RELEASE))])
+    return judged(census(found), new.count(), {("status", "numbered out of order"): 0.01})
+
+
+@query(f"""{WITH}, v AS (SELECT trial_id, version, effective_date, lead(effective_date) OVER (PARTITION BY trial_id ORDER BY effective_date, version) AS nxt,
+  CASE WHEN effective_date <= DATE '1996-01-05' THEN DATE '1996-01-05' ELSE DATE '1996-01-05' + CAST(ceil((effective_date - DATE '1996-01-05') / 28) * 28 AS INTEGER) END AS pull FROM versions)
+SELECT trial_id, version, effective_date, CASE WHEN nxt = effective_date THEN 'same day' ELSE 'between pulls' END AS cause FROM v WHERE nxt <= pull""")
+def versions_hidden_from_pulls(spark, sf_dir):
+    """Versions that a feed pulled every four weeks never showed."""
+    return hidden_versions(versions(spark, sf_dir), "trial_id", "version", "effective_date", next_pull(F.col("effective_date"), date(1996, 1, 5), 28))
+
+
+@query("""WITH l AS (SELECT l_orderkey, list({'n': l_linenumber, 'mode': 'm' || (l_suppkey % 7), 'flag': CASE WHEN l_returnflag <> 'N' THEN l_returnflag END} ORDER BY l_linenumber, l_suppkey % 7) AS ls FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, o_orderstatus AS status, array_to_string(list_transform(ls, lambda x: x.mode), '|') AS modes, array_to_string(list_sort(list_distinct(list_filter(list_transform(ls, lambda x: x.flag), lambda x: x IS NOT NULL))), '|') AS flags,
+  coalesce(len(ls), 0) AS n_lines, len(list_distinct(list_transform(ls, lambda x: x.mode))) AS n_modes, coalesce(2 * len(list_filter(ls, lambda x: x.flag IS NOT NULL)), 0) AS n_marks FROM orders JOIN l ON l_orderkey = o_orderkey""")
+def flattened_records(spark, sf_dir):
+    """Orders as nested records, flattened by paths."""
+    flag = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))
+    line = F.struct(F.col("l_linenumber").alias("n"), F.struct(F.concat(F.lit("m"), (F.col("l_suppkey") % 7).cast("string")).alias("mode"), F.array(F.struct(flag.alias("flag")), F.struct(flag.alias("flag"))).alias("marks")).alias("how"), flag.alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))  # of one order
+    o = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    records = o.select(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderstatus").alias("status"), "items").alias("body")).alias("study"))
+    flat = flattened(
+        records, {"id": "study.id", "status": "study.body.status"}, {"modes": "study.body.items.how.mode"}, {"flags": "study.body.items.flag"},
+        {"n_lines": "study.body.items.n", "n_marks": "study.body.items.how.marks.flag"}, {"n_modes": "study.body.items.how.mode"},
+    )
+    return flat.withColumns({c: F.array_join(c, "|") for c in ("modes", "flags")})
