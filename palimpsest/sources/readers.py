@@ -73,19 +73,23 @@ def without_keys(record, names: frozenset[str]):
 
 
 def fetch_json(url: str, params: Mapping[str, str], attempts: int = 4, wait: float = 1.0) -> dict:
+    """A reply, asked for again after `wait` seconds, doubled each time, or as long as the server says, while it is busy
+    or out of reach; an error that asking again can't mend is raised at once."""
     for n in range(attempts):
         try:
             with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=60) as reply:
                 return json.load(reply)
-        except OSError:
-            if n == attempts - 1:
+        except OSError as error:
+            code, pause = getattr(error, "code", None), wait * 2**n
+            if n == attempts - 1 or (code is not None and code < 500 and code not in (408, 429)):
                 raise
-            time.sleep(wait * 2**n)
+            told = (getattr(error, "headers", None) or {}).get("Retry-After", "")
+            time.sleep(max(pause, float(told)) if told.isdigit() else pause)
     raise AssertionError
 
 
-def pages(fetch: Callable[[Mapping[str, str]], dict], params: Mapping[str, str], items: str = "studies", cursor: str = "nextPageToken", total: str = "totalCount") -> Iterator[list[dict]]:
-    """Pages of a cursor interface; fails on none at all and on another number than the first page announces."""
+def pages(fetch: Callable[[Mapping[str, str]], dict], params: Mapping[str, str], items: str = "studies", cursor: str = "nextPageToken", total: str = "totalCount", least: int = 1) -> Iterator[list[dict]]:
+    """Pages of a cursor interface; fails on fewer than `least` records and on another number than the first page announces."""
     expected, seen, token = None, 0, None
     while True:
         reply = fetch({**params, **({"pageToken": token} if token else {})})
@@ -95,5 +99,5 @@ def pages(fetch: Callable[[Mapping[str, str]], dict], params: Mapping[str, str],
         token = reply.get(cursor)
         if not token:
             break
-    if not seen or (expected is not None and seen != expected):
+    if seen < least or (expected is not None and seen != expected):
         raise ValueError(f"{seen} records, {expected} announced")
