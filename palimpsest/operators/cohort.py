@@ -55,13 +55,14 @@ def states(versions: DataFrame, rules: Study, before: date | None = None) -> Dat
 
 
 def outcomes(versions: DataFrame, rules: Study, before: date | None = None, unknown_as_stop: bool = False) -> DataFrame:
-    """One row per trial: t0, event (0 censored, 1 early stop, 2 completion), event_date, censor_reason, reversal, lapse_date."""
+    """One row per trial: t0, event (0 censored, 1 early stop, 2 completion), event_date, censor_reason, reversal, lapse_date,
+    the status and date of the first ending version, and whether the registry shows the last version as unknown."""
     known = known_versions(versions, rules, before)
     terminal = F.col("status").isin(*rules.status.ended)
     ends = F.min_by(F.struct("version", "status", "effective_date"), F.when(terminal, F.col("version")))
     last_open = F.max(F.when(F.col("status").isin(*rules.status.open, *rules.status.unknown), F.col("version")))
     per = known.groupBy("trial_id").agg(
-        arg_min(F.col("first_post_date"), F.col("version")).alias("t0"), ends.alias("end"), F.count_if(terminal).alias("n_terminal"), last_open.alias("last_open"), F.bool_or(F.col("study_type") == "INTERVENTIONAL").alias("in_population")
+        arg_min(F.col("first_post_date"), F.col("version")).alias("t0"), ends.alias("end"), F.count_if(terminal).alias("n_terminal"), last_open.alias("last_open"), F.bool_or(F.col("study_type") == "INTERVENTIONAL").alias("in_population"), F.max_by("overall_status", "version").isin(*rules.status.unknown).alias("registry_unknown")
     )
     per = per.withColumn("end", F.when(F.col("n_terminal") > 0, F.col("end"))).drop("n_terminal")
     last = states(versions, rules, before).filter("next_effective is null").select("trial_id", "lapse_from", "status_verified_date", "effective_date")
@@ -79,6 +80,10 @@ def outcomes(versions: DataFrame, rules: Study, before: date | None = None, unkn
         F.when(F.col("end").isNull() & ~stop, F.when(lapsed, F.lit("unknown")).otherwise(F.lit("cutoff"))).alias("censor_reason"),
         F.coalesce(F.col("last_open") > F.col("end.version"), F.lit(False)).alias("reversal"),
         F.when(lapsed, F.col("lapse_from")).alias("lapse_date"),
+        F.year("t0").alias("first_post_year"),
+        F.col("end.status").alias("terminal_status"),
+        F.col("end.effective_date").alias("terminal_date"),
+        "registry_unknown",
     )
 
 

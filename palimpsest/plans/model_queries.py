@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, cohort, models, recalibration
+from ..operators import boosting, cohort, cox, models, recalibration
 from ..operators.features import landmark_keys, select_features
 from ..operators.text_svd import fit_components
 from ..session import shared_folder, stored
@@ -62,3 +62,17 @@ def boosted_hazards(spark, sf_dir):
     flagged = rows.withColumn("check", F.pmod(F.xxhash64("trial_id"), F.lit(5)) == 0)
     model = boosting.fit(flagged, NUMBERS, "outcome", 3, validation="check", rounds=12, depth=3)
     return boosting.explained(rows, model, 1, ["trial_id", "landmark_index", "interval"])
+
+
+@query()
+def proportional_hazards(spark, sf_dir):
+    """Cause-specific hazards of a stop and of a completion by landmark and class, with the test of proportionality;
+    tested against a dense fit."""
+    rows = cohort.landmarks(versions(spark, sf_dir), STUDY).filter("excluded is null")
+    rows = stored(rows.select("event", F.datediff("event_date", "landmark_date").alias("time"), "landmark_index", F.year("landmark_date").alias("year"), "stratum"))
+    parts = []
+    for cause, kind in ((1, "stop"), (2, "completion")):
+        model = cox.fit(rows, "time", F.col("event") == cause, ["landmark_index", "year"], ["stratum"])
+        fitted = spark.createDataFrame([(f, float(b), float(v) ** 0.5) for f, b, v in zip(model.features, model.beta, model.covariance.diagonal())], "feature string, beta double, error double")
+        parts.append(fitted.join(cox.proportionality(rows, model, "time", F.col("event") == cause, ["stratum"]), "feature").withColumn("cause", F.lit(kind)))
+    return parts[0].unionByName(parts[1])

@@ -121,7 +121,7 @@ def cohort_sql(cutoff: str = "2001-08-01", before: str | None = None, prefix: st
 {p}states AS (SELECT *, CASE WHEN status = 'UNKNOWN' THEN effective_date
     WHEN status IN ('NOT_YET_RECRUITING','RECRUITING','ENROLLING_BY_INVITATION','ACTIVE_NOT_RECRUITING') THEN greatest(effective_date, coalesce(done, effective_date), silent) END AS lapse_from FROM {p}refs),
 {p}per AS (SELECT trial_id, arg_min(first_post_date, version) AS t0, min(version) FILTER (WHERE status IN ('TERMINATED','WITHDRAWN','COMPLETED')) AS end_version,
-    max(version) FILTER (WHERE status IN ('RECRUITING','SUSPENDED','UNKNOWN')) AS last_open, bool_or(study_type = 'INTERVENTIONAL') AS in_population FROM {p}known GROUP BY trial_id),
+    max(version) FILTER (WHERE status IN ('RECRUITING','SUSPENDED','UNKNOWN')) AS last_open, bool_or(study_type = 'INTERVENTIONAL') AS in_population, arg_max(overall_status, version) = 'UNKNOWN' AS registry_unknown FROM {p}known GROUP BY trial_id),
 {p}ended AS (SELECT p.*, k.status AS end_status, k.effective_date AS end_date, s.lapse_from, coalesce(s.status_verified_date, s.effective_date) AS quiet,
     coalesce(p.end_version IS NULL AND s.lapse_from <= DATE '{cutoff}', false) AS lapsed
   FROM {p}per p LEFT JOIN {p}known k ON p.end_version = k.version JOIN {p}states s ON p.trial_id = s.trial_id AND s.next_effective IS NULL),
@@ -129,7 +129,7 @@ def cohort_sql(cutoff: str = "2001-08-01", before: str | None = None, prefix: st
     CASE WHEN end_status IN ('TERMINATED','WITHDRAWN') THEN 1 WHEN end_version IS NOT NULL THEN 2 ELSE 0 END AS event,
     CASE WHEN end_version IS NOT NULL THEN end_date WHEN lapsed THEN least(quiet, DATE '{cutoff}') ELSE DATE '{cutoff}' END AS event_date,
     CASE WHEN end_version IS NULL THEN CASE WHEN lapsed THEN 'unknown' ELSE 'cutoff' END END AS censor_reason,
-    coalesce(last_open > end_version, false) AS reversal, CASE WHEN lapsed THEN lapse_from END AS lapse_date FROM {p}ended),
+    coalesce(last_open > end_version, false) AS reversal, CASE WHEN lapsed THEN lapse_from END AS lapse_date, CAST(year(t0) AS INTEGER) AS first_post_year, end_status AS terminal_status, end_date AS terminal_date, registry_unknown FROM {p}ended),
 {p}grid AS (SELECT trial_id, t0, event, event_date, CAST(k AS INTEGER) AS landmark_index, CAST(t0 + to_months(CAST(6 * k AS INTEGER)) AS DATE) AS landmark_date
   FROM {p}outcomes, range(7) r(k) WHERE in_window AND in_population AND NOT reversal AND t0 IS NOT NULL),
 {p}landmarks AS (SELECT g.trial_id, landmark_index, landmark_date, event, event_date, coalesce(stratum, 'MISSING') AS stratum,
