@@ -77,3 +77,11 @@ def alerts(data_date, last_post, quarantined: int, rows: int, drifted: int, feat
         ("auc", auc is not None and auc < floor),
     ]
     return [name for name, raised in found if raised]
+
+
+def replay_outcomes(scored: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """scored rows (trial_id, day, ...) with the event, event_date and time in days that followed: trials without an outcome,
+    ended by the day, or opened again after their end are left out."""
+    known = outcomes.filter("not reversal").select("trial_id", "event", "event_date")
+    met = scored.join(known, "trial_id").filter(F.col("event_date") > F.col("day"))
+    return met.withColumn("time", F.datediff("event_date", "day"))

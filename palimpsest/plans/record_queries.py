@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.nested import flattened
-from ..operators import cohort, drift, population, records
+from ..operators import cohort, drift, monitoring, population, records
 from ..operators.census import census, differences, hidden_versions, judged, next_pull
 from ..operators.versions import latest_per, quarantine
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
@@ -32,12 +32,15 @@ def population_on_a_day(spark, sf_dir):
     return population.served_rows(population.open_on(versions(spark, sf_dir), STUDY, DAY), STUDY, DAY, BANDS, 13)
 
 
-@query(f"""{FULL}, days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1997-07-04', DATE '1998-06-26', INTERVAL 7 DAY) s(d)),
+FRIDAYS = f"""{FULL}, days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1997-07-04', DATE '1998-06-26', INTERVAL 7 DAY) s(d)),
 tr AS (SELECT day, trial_id, arg_min(first_post_date, version) AS t0, min(version) FILTER (WHERE status IN ('COMPLETED','TERMINATED','WITHDRAWN')) AS fin, max(version) FILTER (WHERE status IN ('RECRUITING','SUSPENDED','UNKNOWN')) AS op
   FROM days JOIN versions ON effective_date <= day GROUP BY ALL),
 n AS (SELECT day, trial_id, t0, coalesce(op > fin, false) AS reversal FROM tr WHERE t0 BETWEEN DATE '1995-01-01' AND day),
 p AS (SELECT n.day, n.trial_id, n.t0, reversal, coalesce(stratum, 'MISSING') AS stratum FROM n ASOF JOIN states s ON s.trial_id = n.trial_id AND n.day >= s.effective_date WHERE study_type = 'INTERVENTIONAL' AND status IN ('RECRUITING','SUSPENDED') AND NOT coalesce(lapse_from <= n.day, false)),
-k AS (SELECT *, (SELECT max(i) FROM range(0, 30) r(i) WHERE CAST(t0 + to_months(CAST(6 * i AS INTEGER)) AS DATE) <= day) AS true_index FROM p)
+k AS (SELECT *, (SELECT max(i) FROM range(0, 30) r(i) WHERE CAST(t0 + to_months(CAST(6 * i AS INTEGER)) AS DATE) <= day) AS true_index FROM p)"""
+
+
+@query(f"""{FRIDAYS}
 SELECT day, trial_id, t0, reversal, stratum, true_index, least(true_index, 6) AS k_star, true_index BETWEEN 7 AND 9 AS flagged, CASE WHEN reversal THEN 'reversal' WHEN true_index >= 13 THEN 'oldest' WHEN true_index BETWEEN 10 AND 12 THEN 'band' END AS reason FROM k""")
 def population_on_fridays(spark, sf_dir):
     """Who is open on each Friday of a year, and how the row of that day is served."""
@@ -46,6 +49,15 @@ def population_on_fridays(spark, sf_dir):
     return rows.select("day", "trial_id", "t0", "reversal", "stratum", "true_index", "k_star", "flagged", "reason")
 
 
+@query(f"""{FRIDAYS} SELECT k.day, k.trial_id, true_index, o.event, o.event_date, date_diff('day', k.day, o.event_date) AS "time" FROM k JOIN outcomes o USING (trial_id) WHERE NOT o.reversal AND o.event_date > k.day AND NOT k.reversal AND true_index < 10""")
+def outcomes_after_fridays(spark, sf_dir):
+    """What became of the trials that were scored on each Friday of a year."""
+    held = versions(spark, sf_dir)
+    people = population.open_weekly(held, STUDY, date(1997, 7, 1), date(1998, 6, 30))
+    scored = population.served_rows(people, STUDY, F.col("day"), BANDS, 13).filter("reason is null").select("trial_id", "day", "true_index")
+    return monitoring.replay_outcomes(scored, cohort.outcomes(held, STUDY)).select("day", "trial_id", "true_index", "event", "event_date", "time")
+
+
 @query(f"""{FULL}, {cohort_sql('2000-01-01', '2000-01-01', 'a_')}
 SELECT 'training' AS part, trial_id, landmark_index, event, date_diff('day', landmark_date, event_date) AS "time" FROM a_landmarks WHERE excluded IS NULL AND landmark_date < DATE '2000-01-01'
 UNION ALL SELECT 'evaluation', trial_id, landmark_index, event, date_diff('day', landmark_date, event_date) FROM landmarks WHERE excluded IS NULL AND landmark_date >= DATE '2000-01-01' AND landmark_date < DATE '2001-01-01'""")

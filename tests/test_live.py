@@ -101,3 +101,13 @@ def test_a_repeated_stream_changes_nothing(spark, streamed):
     before = plain(spark.read.parquet(f"{folder}/changes"))
     live.run(spark, f"{folder}/source", f"{folder}/changes", f"{folder}/checkpoint", RULES, files_per_batch=1)
     assert plain(spark.read.parquet(f"{folder}/changes")) == before
+
+
+def test_lapses_are_events_of_silence(spark, log):
+    held = live.seeded(live.records(log, RULES), RULES, DAY)
+    states = cohort.states(log.filter(F.col("effective_date") <= F.lit(DAY)), RULES).filter("next_effective is null")
+    since, until = D("2001-01-01"), D("2004-01-01")
+    want = states.filter((F.col("lapse_from") > F.lit(since)) & (F.col("lapse_from") <= F.lit(until)))
+    got = live.lapse_events(held, RULES, since, until)
+    assert sorted((r.trial_id, r.day, r.from_status) for r in got.collect()) == sorted((r.trial_id, r.lapse_from, r.status) for r in want.collect())
+    assert 3 < got.count() < 40
