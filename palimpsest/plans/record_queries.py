@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions.nested import flattened
 from ..operators import cohort, drift, monitoring, population, records
+from ..operators.canonical import Layout, canonical, contract, split_valid
 from ..operators.census import census, differences, hidden_versions, judged, next_pull
 from ..operators.versions import latest_per, quarantine
 from .registry import STUDY, VERSIONS_SQL, cohort_sql, query, table, versions
@@ -293,3 +294,55 @@ def flattened_records(spark, sf_dir):
         {"n_lines": "study.body.items.n", "n_marks": "study.body.items.how.marks.flag"}, {"n_modes": "study.body.items.how.mode"},
     )
     return flat.withColumns({c: F.array_join(c, "|") for c in ("modes", "flags")})
+
+
+RAW = Layout(dates=("first_post_date",), precise=("start_date",), enums=("overall_status", "last_known_status", "allocation"), ages={"minimum_age": "minimum_age_years"}, interventions="interventions", aliases={"overall_status": {"SUSPENDED.": "SUSPENDED"}})
+STATES = ("RECRUITING", "SUSPENDED", "UNKNOWN")
+
+
+def raw_versions(spark, sf_dir):
+    """Orders as raw text of versions, some of them against the contract."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    pair = lambda name, kind: F.struct(F.lit(name).cast("string").alias("name"), F.lit(kind).cast("string").alias("type"))
+    return table(spark, sf_dir, "orders").select(
+        c.alias("trial_id"),
+        F.when(k % 101 != 0, F.when(k % 103 == 0, F.lit(-1)).otherwise(k)).alias("version"),
+        F.lit("history").alias("source"),
+        F.when(k % 11 != 0, day).alias("first_post_date"),
+        F.when(k % 3 == 0, F.substr(day, F.lit(1), F.lit(7))).when(k % 3 == 1, F.substr(day, F.lit(1), F.lit(4))).when(k % 7 != 0, day).otherwise("soon").alias("start_date"),
+        F.when(k % 2 == 0, " estimated").otherwise("Actual ").alias("start_date_type"),
+        F.when(k % 5 == 0, "Unknown").when(k % 5 == 1, " suspended. ").when(k % 59 == 0, "Closed").otherwise("recruiting").alias("overall_status"),
+        F.when((k % 5 == 0) | (k % 107 == 0), "Recruiting").alias("last_known_status"),
+        F.when(k % 4 != 0, "Randomized").otherwise("").alias("allocation"),
+        F.when(k % 6 == 0, "18 Years").when(k % 6 == 1, "6 months").when(k % 6 == 2, "N/A").alias("minimum_age"),
+        F.when(k % 9 == 0, "Dr. Jane Roe").when(k % 9 == 1, "Jane Roe, MD").when(k % 9 == 2, " ").otherwise(F.concat(F.lit("Clinic No. "), (c % 40).cast("string"))).alias("lead_sponsor_name"),
+        F.when(k % 2 == 0, "Industry").otherwise("other").alias("lead_sponsor_class"),
+        F.when(k % 8 != 0, F.array(pair("a", "Drug"), pair("a", " drug"), pair("b", "Drug"), pair("c", "device"), pair("", "Other"), pair("d", None))).alias("interventions"),
+    )
+
+
+RAW_SQL = """WITH r AS (SELECT o_custkey AS trial_id, o_orderkey AS k, CASE WHEN o_orderkey % 101 <> 0 THEN CASE WHEN o_orderkey % 103 = 0 THEN -1 ELSE o_orderkey END END AS version, CAST(o_orderdate AS DATE) AS d FROM orders),
+c AS (SELECT trial_id, version, 'history' AS source, CASE WHEN k % 11 <> 0 THEN d END AS first_post_date,
+  CASE WHEN k % 3 = 0 THEN CAST(date_trunc('month', d) AS DATE) WHEN k % 3 = 1 THEN CAST(date_trunc('year', d) AS DATE) WHEN k % 7 <> 0 THEN d END AS start_date, CASE WHEN k % 3 = 0 THEN 'month' WHEN k % 3 = 1 THEN 'year' WHEN k % 7 <> 0 THEN 'day' END AS start_date_precision,
+  CASE WHEN k % 3 < 2 OR k % 7 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'ESTIMATED' ELSE 'ACTUAL' END END AS start_date_type, CASE WHEN k % 5 = 0 THEN 'UNKNOWN' WHEN k % 5 = 1 THEN 'SUSPENDED' WHEN k % 59 = 0 THEN 'CLOSED' ELSE 'RECRUITING' END AS overall_status,
+  CASE WHEN k % 5 = 0 OR k % 107 = 0 THEN 'RECRUITING' END AS last_known_status, CASE WHEN k % 4 <> 0 THEN 'RANDOMIZED' END AS allocation, CASE WHEN k % 2 = 0 THEN 'INDUSTRY' ELSE 'OTHER' END AS lead_sponsor_class,
+  CASE WHEN k % 6 = 0 THEN 18.0 WHEN k % 6 = 1 THEN 0.5 END AS minimum_age_years, CASE WHEN k % 9 > 2 THEN 'Clinic No. ' || (trial_id % 40) END AS lead_sponsor_name, CASE WHEN k % 9 > 2 THEN 'clinic no ' || (trial_id % 40) END AS sponsor_key,
+  k % 9 IN (0, 1) AS sponsor_is_individual, CASE WHEN k % 8 <> 0 THEN 'DEVICE|DRUG|DRUG' ELSE '' END AS intervention_types, count(*) OVER (PARTITION BY trial_id, version) AS copies FROM r),
+j AS (SELECT *, list_sort(list_filter([CASE WHEN overall_status = 'CLOSED' THEN 'overall_status: allowed' END, CASE WHEN version IS NULL THEN 'row: history has a version' END, CASE WHEN copies > 1 THEN 'row: version is unique' END,
+  CASE WHEN last_known_status IS NOT NULL AND overall_status <> 'UNKNOWN' THEN 'row: last known status only behind an unknown one' END], lambda x: x IS NOT NULL)) AS reasons FROM c)"""
+
+
+@query(f"{RAW_SQL} SELECT * EXCLUDE (copies, reasons) FROM j WHERE len(reasons) = 0")
+def canonical_versions(spark, sf_dir):
+    """Raw versions in canonical form, those that keep the contract."""
+    rows = canonical(raw_versions(spark, sf_dir), RAW)
+    valid, _ = split_valid(rows, contract(RAW, {"overall_status": STATES}, STUDY.status.unknown))
+    return valid.drop("content_hash").withColumn("intervention_types", F.array_join("intervention_types", "|"))
+
+
+@query(f"{RAW_SQL} SELECT trial_id, version, array_to_string(reasons, '; ') AS reasons FROM j WHERE len(reasons) > 0")
+def contract_failures(spark, sf_dir):
+    """Canonical rows that break the contract, with their reasons."""
+    rows = canonical(raw_versions(spark, sf_dir), RAW)
+    return split_valid(rows, contract(RAW, {"overall_status": STATES}, STUDY.status.unknown))[1].select("trial_id", "version", "reasons")

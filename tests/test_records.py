@@ -1,5 +1,6 @@
 """Checked joins, guards, populations, drift references and displayed values."""
 
+import hashlib
 from datetime import date
 
 import numpy as np
@@ -123,3 +124,24 @@ def test_paired_difference(spark):
     assert (same.low, same.difference, same.high) == (0, 0, 0)
     none = recalibration.paired_difference(rows.filter("label = 1"), "good", "noise", "label", "weight", "id", 50).first()
     assert none.valid == 0 and none.low is None
+
+
+def test_canonical_rows_and_their_contract(spark):
+    from palimpsest.operators.canonical import Layout, canonical, contract, split_valid
+
+    layout = Layout(dates=("posted",), precise=("start",), enums=("overall_status", "last_known_status"), ages={"age": "years"}, texts=("title",), interventions="given")
+    schema = "trial_id long, version int, source string, posted string, start string, start_type string, overall_status string, last_known_status string, age string, title string, lead_sponsor_name string, lead_sponsor_class string, given array<struct<name: string, type: string>>"
+    base = dict(trial_id=1, version=0, source="history", posted="2020-01-02", start="2020-03", start_type="actual", overall_status=" recruiting", last_known_status=None, age="2 Years", title="A&amp;B", lead_sponsor_name="Acme Co.", lead_sponsor_class="industry", given=[("x", "drug"), ("x", "Drug"), ("y", "drug"), (None, "device")])
+    changed = [{}, dict(version=1, lead_sponsor_name="Jo Roe, MD", start="soon", title=" "), dict(version=2, overall_status="odd", last_known_status="Recruiting"), dict(version=3), dict(version=3), dict(version=None), dict(version=None, source="api", trial_id=2)]
+    rows = canonical(spark.createDataFrame([tuple((base | c).values()) for c in changed], schema), layout)
+    got = {r.version: r for r in rows.filter("version < 3").collect()}
+    r = got[0]
+    assert (str(r.posted), str(r.start), r.start_precision, r.start_type, r.overall_status, r.years, r.lead_sponsor_name, r.sponsor_key, r.intervention_types) == ("2020-01-02", "2020-03-01", "month", "ACTUAL", "RECRUITING", 2.0, "Acme Co.", "acme co", ["DRUG", "DRUG"])
+    assert r.title_hash == hashlib.sha256(b"A&B").hexdigest() and got[1].title_hash is None and len(r.content_hash) == 64 and r.content_hash != got[1].content_hash
+    assert (got[1].lead_sponsor_name, got[1].sponsor_key, got[1].sponsor_is_individual, got[1].start, got[1].start_type) == (None, None, True, None, None)
+    valid, failing = split_valid(rows, contract(layout, {"overall_status": ["RECRUITING"]}, ["UNKNOWN"]))
+    assert sorted((x.trial_id, x.version if x.version is not None else -1) for x in valid.collect()) == [(1, 0), (1, 1), (2, -1)]
+    reasons = {x.version: x.reasons for x in failing.collect()}
+    assert reasons == {2: "overall_status: allowed; row: last known status only behind an unknown one", 3: "row: version is unique", None: "row: history has a version"}
+    forged = rows.filter("version = 1").withColumns({"sponsor_key": F.lit("dr roe"), "start_type": F.lit("ACTUAL"), "years": F.lit(-1.0)})
+    assert split_valid(forged, contract(layout, {}, ["UNKNOWN"]))[1].first().reasons == "row: no key of a title; row: no name of a person; row: precision and type match the date; years: not negative"
