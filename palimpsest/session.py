@@ -41,12 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The frame written as Parquet below the shared folder and read again: several steps read it without planning it
     anew, and it survives executors. The files go when the driver ends."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    path = scratch_folder(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
