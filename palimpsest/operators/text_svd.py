@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, EXTRA, ROUNDS = 1 << 18, 8, 5
+FEATURES, EXTRA, ROUNDS, PART = 1 << 18, 8, 5, 1 << 14
 WORD = r"(?U)\b[^\W\d_][\w\-]+\b"
 
 
@@ -44,18 +44,53 @@ class TextComponents:
 
 
 def word_counts(docs: DataFrame, key: str, text: str, features: int) -> DataFrame:
-    """(key, term, n) of hashed words."""
+    """(key, terms, counts) of hashed words, a row per key that has any. Words are counted where their text lies; only
+    texts of a key that repeats are brought together."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    each = docs.select(F.col(key).alias("key"), F.explode(words).alias("word"))
-    return each.groupBy("key", F.pmod(F.xxhash64("word"), F.lit(features)).cast("int").alias("term")).agg(F.count("*").alias("n"))
+    hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
+    held = docs.select(F.col(key).alias("key"), hashed.alias("hashed")).filter(F.size("hashed") > 0)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            found = [np.unique(values[a:b], return_counts=True) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.list_(pa.int64()))], ["key", "terms", "counts"])
+
+    each = held.mapInArrow(run, f"key {kind}, terms array<int>, counts array<long>")
+    again = docs.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again").checkpoint()
+    if not again.limit(1).count():
+        return each
+    same = F.col("key").eqNullSafe(F.col("again"))
+    several = each.join(again, same, "left_semi").select("key", F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    several = several.groupBy("key", "t.terms").agg(F.sum("t.counts").alias("n")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("terms", "n"))).alias("t"))
+    return each.join(again, same, "left_anti").unionByName(several.select("key", F.col("t.terms").alias("terms"), F.col("t.n").alias("counts")))
 
 
 def weighted(counts: DataFrame, document_counts: DataFrame, n_texts: int) -> DataFrame:
-    """(key, terms, weights): (1 + log n) * (log((1 + texts) / (1 + df)) + 1), scaled to length 1; unseen terms drop out."""
-    idf = F.log((1.0 + n_texts) / (1.0 + F.col("df"))) + 1.0
-    each = counts.join(document_counts, "term").select("key", "term", ((1.0 + F.log("n")) * idf).alias("w"))
-    rows = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return rows.select("key", F.col("t.term").alias("terms"), F.transform("t.w", lambda w: w / F.col("length")).alias("weights"))
+    """(key, terms, weights): (1 + log n) * (log((1 + texts) / (1 + df)) + 1), scaled to length 1; unseen terms drop out.
+    Every task gets the document counts, one number per feature."""
+    df = document_counts.toArrow()
+    held = np.zeros(max(df.column("term").to_pylist(), default=-1) + 1)
+    held[df.column("term").to_numpy()] = np.log((1.0 + n_texts) / (1.0 + df.column("df").to_numpy())) + 1.0
+    shared = counts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            rows = []
+            for key, terms, n in zip(*(c for c in batch.columns)):
+                t, n = terms.values.to_numpy(), n.values.to_numpy()
+                seen = t < len(idf)
+                w = np.where(seen, idf[np.minimum(t, len(idf) - 1)], 0.0) * (1.0 + np.log(n)) if len(idf) else np.zeros(len(t))
+                t, w = t[w > 0], w[w > 0]
+                if len(t):
+                    rows.append((key, t, w / np.sqrt((w * w).sum())))
+            keys, terms, weights = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["key", "terms", "weights"])
+
+    return counts.mapInArrow(run, f"key {counts.schema['key'].dataType.simpleString()}, terms array<int>, weights array<double>")
 
 
 def flat(terms: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,9 +120,12 @@ def multiplied(rows: DataFrame, block: np.ndarray) -> np.ndarray:
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):  # terms are distinct within a row
                 total[t[a:b]] += w[a:b, None] * y[i]
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[used, i]) for i in range(width)]], ["term", *names])
+        for at in range(0, len(used), PART):
+            some = used[at : at + PART]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[some, i]) for i in range(width)]], ["term", *names])
 
-    parts = rows.select("terms", "weights").mapInArrow(run, "term int, " + ", ".join(f"{n} double" for n in names))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism  # each returns a block, so no more of them than run at once
+    parts = rows.select("terms", "weights").coalesce(tasks).mapInArrow(run, "term int, " + ", ".join(f"{n} double" for n in names))
     sums = parts.groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros_like(block)
     out[sums.column("term").to_numpy()] = np.column_stack([sums.column(n).to_numpy() for n in names])
@@ -98,7 +136,7 @@ def fit_components(docs: DataFrame, key: str, text: str, k: int = 32, features:
     """Fits on the texts of docs; needs checkpoints, as every round reads the weighted words again. Components that the
     texts cannot support are 0, and each has its largest entry positive."""
     counts = word_counts(docs, key, text, features).checkpoint()
-    document_counts = counts.groupBy("term").agg(F.count("*").alias("df")).checkpoint()
+    document_counts = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).checkpoint()
     n_texts = docs.count()
     rows = weighted(counts, document_counts, n_texts).checkpoint()
     block = np.random.default_rng(seed).normal(size=(features, k + EXTRA))

@@ -2,7 +2,10 @@
 
 from datetime import date
 
-from palimpsest.operators import sponsors
+import numpy as np
+from pyspark.sql import functions as F
+
+from palimpsest.operators import sponsors, survival, text_svd
 from palimpsest.plans import sponsor_queries
 
 D = date.fromisoformat
@@ -28,3 +31,12 @@ def test_renamed_sponsors_take_a_short_expression(spark):
     held = sponsor_queries.renamed(spark.createDataFrame(rows, "sponsor_key string, effective_date date").repartition(1))
     assert [r.sponsor_key for r in held.collect()] == ["sponsor 3", "sponsor 11", "sponsor 19", "sponsor 11", "sponsor 19", "sponsor 1", None]
     assert planned(held).count("CASE WHEN") <= 2 * len(sponsor_queries.RENAMED)
+
+
+def test_words_are_counted_where_their_text_lies(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "blue"), (3, None), (4, "--")], "id long, text string").repartition(2)
+    counts = text_svd.word_counts(docs, "id", "text", 512)
+    assert "Aggregate" not in planned(counts) and sorted((r.key, sorted(r.counts)) for r in counts.collect()) == [(1, [1, 2]), (2, [1])]
+    again = docs.unionByName(spark.createDataFrame([(2, "blue green"), (None, "red"), (None, "red")], "id long, text string"))
+    found = {r.key: sorted(r.counts) for r in text_svd.word_counts(again, "id", "text", 512).collect()}
+    assert found == {1: [1, 2], 2: [1, 2], None: [2]}
