@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +146,10 @@ def calibration_slope(rows: DataFrame, score: str, label: str, weight: str, step
     return float(beta[0]), float(beta[1])
 
 
+#: Rows for which a task makes draws at a time, 1,000 numbers or so for each.
+DRAWN = 1_024
+
+
 def poisson_draws(clusters: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     """Times that each cluster (a 64-bit hash) is drawn in each replicate: Poisson(1) by a hash of both."""
     x = clusters[:, None].view(np.uint64) + replicates[None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -168,27 +171,33 @@ def bootstrap_auc(rows: DataFrame, score: str, label: str, weight: str, cluster:
     lists = pa.list_(pa.float64())
 
     def per_score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Sums of all replicates for runs of whole scores, in order: range, positives and negatives by score."""
-        left: pa.Table | None = None
-        for batch in chain(batches, [None]):
-            table = left if batch is None else pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
-            if table is None or not table.num_rows:
-                continue
-            scores = table.column("score").to_numpy()
-            cut = len(scores) if batch is None else int(np.searchsorted(scores, scores[-1], "left"))
-            left = table.slice(cut)
-            starts = np.flatnonzero(np.concatenate([[True], scores[1:cut] != scores[: cut - 1]])) if cut else np.zeros(0, int)
-            for few in np.split(starts, range(2_000, len(starts), 2_000)) if cut else []:
-                end = starts[starts > few[-1]][0] if (starts > few[-1]).any() else cut
-                part = table.slice(few[0], end - few[0])
+        """Sums of all replicates for runs of whole scores, in order: range, positives and negatives by score. Draws are
+        made for DRAWN rows at a time; of a score that goes on only its sums are kept."""
+        of, last, open_sums = None, None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, DRAWN):
+                part = batch.slice(at, DRAWN)
+                scores = part.column("score").to_numpy()
+                starts = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]]))
                 times = poisson_draws(part.column("cluster").to_numpy(), drawn)
-                sums = [np.add.reduceat(part.column(c).to_numpy()[:, None] * times, few - few[0]) for c in ("p", "n")]
-                yield part.column("__range")[0].as_py(), *sums
+                sums = [np.add.reduceat(part.column(c).to_numpy()[:, None] * times, starts) for c in ("p", "n")]
+                if last is not None and scores[0] == last:
+                    for held, more in zip(sums, open_sums):
+                        held[:1] += more
+                elif last is not None:
+                    yield of, *open_sums
+                of, last, open_sums = part.column("__range")[0].as_py(), scores[-1], [held[-1:].copy() for held in sums]
+                if len(starts) > 1:
+                    yield of, *[held[:-1] for held in sums]
+        if last is not None:
+            yield of, *open_sums
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(r, n.sum(axis=0)) for r, _, n in per_score(batches)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([found[0][0]], pa.int32()), pa.array([sum(n for _, n in found)], lists)], ["range", "n"])
+        of, total = None, 0.0
+        for of, _, n in per_score(batches):
+            total = total + n.sum(axis=0)
+        if of is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([total], lists)], ["range", "n"])
 
     lower, so_far = {}, np.zeros(replicates)
     for r in sorted(held.mapInArrow(totals, "range int, n array<double>").collect()):

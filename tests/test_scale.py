@@ -40,3 +40,23 @@ def test_words_are_counted_where_their_text_lies(spark):
     again = docs.unionByName(spark.createDataFrame([(2, "blue green"), (None, "red"), (None, "red")], "id long, text string"))
     found = {r.key: sorted(r.counts) for r in text_svd.word_counts(again, "id", "text", 512).collect()}
     assert found == {1: [1, 2], 2: [1, 2], None: [2]}
+
+
+def test_draws_are_made_for_few_rows_of_a_score_at_a_time(spark, monkeypatch):
+    rows = spark.range(6_000).select("id", (F.col("id") % 2).alias("score"), (F.col("id") % 3 % 2).alias("label"), F.lit(1.0).alias("weight"))
+    draws, most = survival.poisson_draws, survival.DRAWN
+
+    def few(clusters, replicates):
+        assert len(clusters) <= most
+        return draws(clusters, replicates)
+
+    monkeypatch.setattr(survival, "poisson_draws", few)
+    got = {r.replicate: r.auc for r in survival.bootstrap_auc(rows, "score", "label", "weight", "id", 20).collect()}
+    held = rows.select("score", "label", F.xxhash64("id", F.lit(42)).alias("h")).toArrow()
+    score, label = (held.column(c).to_numpy() for c in ("score", "label"))
+    times = draws(held.column("h").to_numpy(), np.arange(1, 21))
+    p, n = ((times * (label == k)[:, None]) for k in (1, 0))
+    low = [x[score == 0].sum(axis=0) for x in (p, n)]
+    high = [x[score == 1].sum(axis=0) for x in (p, n)]
+    want = (low[0] * low[1] / 2 + high[0] * (low[1] + high[1] / 2)) / ((low[0] + high[0]) * (low[1] + high[1]))
+    assert np.allclose([got[i] for i in range(1, 21)], want)
