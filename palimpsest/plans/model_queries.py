@@ -11,6 +11,7 @@ from ..session import shared_folder, stored
 from ..streaming.state import batch_changes
 from .cohort_queries import feature_rows
 from .registry import STUDY, query, table, versions
+from .sponsor_queries import READ
 
 
 @query()
@@ -23,9 +24,10 @@ def text_component_features(spark, sf_dir):
 
 @query()
 def discrete_time_risks(spark, sf_dir):
-    held = versions(spark, sf_dir)
+    held = stored(versions(spark, sf_dir).select(*READ))
     rows = cohort.person_periods(cohort.landmarks(held, STUDY).filter("excluded is null"), STUDY)
-    rows = rows.withColumn("months", F.col("interval") * 6 + F.col("landmark_index"))
+    months = (F.col("interval") * 6 + F.col("landmark_index")).alias("months")
+    rows = stored(rows.select("trial_id", "landmark_index", "interval", "stratum", "outcome", months))  # every stage of the model reads them
     model = models.fit_hazards(rows, ["months"], ["stratum"])
     return models.risks(model, rows, ["months"], ["trial_id", "landmark_index"])
 

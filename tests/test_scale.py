@@ -5,7 +5,8 @@ from datetime import date
 import numpy as np
 from pyspark.sql import functions as F
 
-from palimpsest.operators import sponsors, survival, text_svd
+from palimpsest import plans
+from palimpsest.operators import features, sponsors, survival, text_svd
 from palimpsest.plans import sponsor_queries
 
 D = date.fromisoformat
@@ -60,3 +61,14 @@ def test_draws_are_made_for_few_rows_of_a_score_at_a_time(spark, monkeypatch):
     high = [x[score == 1].sum(axis=0) for x in (p, n)]
     want = (low[0] * low[1] / 2 + high[0] * (low[1] + high[1] / 2)) / ((low[0] + high[0]) * (low[1] + high[1]))
     assert np.allclose([got[i] for i in range(1, 21)], want)
+
+
+def test_hazards_read_stored_periods(spark):
+    assert "o_orderkey" not in planned(plans.QUERIES["discrete_time_risks"](spark, "/root/testdata/sf0.001"))
+
+
+def test_history_is_built_for_trials_with_rows(spark, monkeypatch):
+    seen, history = [], features.history
+    monkeypatch.setattr(features, "history", lambda held, rules: seen.append(planned(held)) or history(held, rules))
+    plans.QUERIES["features_at_landmark"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "LeftSemi" in seen[0]
