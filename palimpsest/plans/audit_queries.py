@@ -150,6 +150,7 @@ def scrubbed_emails(spark, sf_dir):
 @query()
 def normalized_texts(spark, sf_dir):
     """Line grouping reads lines in order; tested on written-out cases."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # pages differ in length
     return table(spark, sf_dir, "pages").select("page_id", text.normalize_text("html").alias("text"))
 
 

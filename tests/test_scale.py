@@ -72,3 +72,9 @@ def test_history_is_built_for_trials_with_rows(spark, monkeypatch):
     monkeypatch.setattr(features, "history", lambda held, rules: seen.append(planned(held)) or history(held, rules))
     plans.QUERIES["features_at_landmark"](spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and "LeftSemi" in seen[0]
+
+
+def test_pages_pass_to_python_in_batches_of_few_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    plans.QUERIES["normalized_texts"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
