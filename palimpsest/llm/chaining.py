@@ -3,11 +3,17 @@
 Words are ASCII-lower-cased runs of non-space. Equal word sequences are one text, represented by its
 least id. Seeds are a text's minimizers: of every WINDOW consecutive K-word windows the one of least
 hash, so any K + WINDOW - 1 equal words share a seed. All holders of a seed with at most SHARERS
-places are matched with each other; a seed of more places matches each of them with the least text
-that holds it. What that star could miss is found through whole windows: every window of `least`
-words all of whose seeds have more places is posted by its hash and matched with the least text that
-holds the same window. So any `least` equal words of two texts lead both of them to each other or to a
-third text with the same words, and rows grow with the input, whatever the size of a group.
+places are matched with each other; a commoner one matches them with the least text that holds it, and
+two more postings find what that leaves out. Every window of `least` words whose seeds are common is
+posted by its hash and matched with the least text that holds the same window. So any `least` equal
+words of two texts lead both of them to each other or to a third text with the same words.
+
+Edited passages of common seeds are found by spans: two seeds of a text at most SPAN words apart, one
+of them common. A holder of a span is represented by a lower one that has it in the same run of
+windows. Those that nobody represents are all matched with each other: at once if they are at most
+PAIRED, else first with the least text among them, and where no passage over the span comes of that,
+with all others, whatever their number, in cells. Only spans of less than `least` words that more than
+PAIRED hold stop at the least text, as an everyday line is no passage yet.
 
 The matches of one pair of texts are chained: the best sequence that ascends in both, by length less
 gap costs, through a Fenwick tree over positions in the second text. A chain of two matches or one
@@ -36,6 +42,8 @@ from .near_dups import _hash, mixed
 
 K, WINDOW, LEAST, SHARERS = 5, 10, 50, 4
 GAP, GAP_COST, REACH, STEP = 24, 0.05, 128, 64
+#: Most words from one seed of a span to the other; most holders that are all paired at once; and those of a cell.
+SPAN, PAIRED, CELL = 72, 16, 1_024
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 IDS_SENT = 1_000_000
 PASSAGE = "doc_id long, begin long, end long, other_id long, other_begin long, other_end long, n_matched long"
@@ -96,6 +104,35 @@ def windows_of(h: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarra
     return first_in_stretch(folded(h, begins, least), begins, STEP) if len(begins) else (np.zeros(0, np.uint64), begins)
 
 
+def spans_of(at: np.ndarray, seeds: np.ndarray, common: np.ndarray, runs: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """Key, both places (indexes) and owner of each span of two seeds, by ascending positions; of equal keys the first in each
+    stretch of STEP positions. The owner is the least text of which a run (begin, end, text) holds the span, or -1. With
+    WINDOW words of the run on both sides that text surely has the same seeds, and the span is left to it."""
+    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in range(1, len(at)):
+        wide = at[d:] - at[:-d]
+        if wide.min() > SPAN:
+            break
+        left = np.flatnonzero((wide <= SPAN) & (wide > 0) & (common[d:] | common[:-d]))
+        pairs.append((left, left + d))
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    owner = np.full(len(i), np.iinfo(np.int64).max)
+    mine = np.ones(len(i), bool)
+    for begin, end, text in runs:
+        inside = (begin <= at[i]) & (at[j] + K <= end)
+        owner[inside] = np.minimum(owner[inside], text)
+        mine &= ~((begin + WINDOW <= at[i]) & (at[j] + K + WINDOW <= end))
+    owner[owner == np.iinfo(np.int64).max] = -1
+    i, j, owner = i[mine], j[mine], owner[mine]
+    if not len(i):
+        return [np.zeros(0, np.uint64), i, j, owner]
+    keys = mixed(mixed(seeds[i]) + seeds[j])
+    order = np.lexsort((at[j], at[i], keys))
+    i, j, keys, owner = i[order], j[order], keys[order], owner[order]
+    kept = np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[i[1:]] // STEP > at[i[:-1]] // STEP)])
+    return [keys[kept], i[kept], j[kept], owner[kept]]
+
+
 def cyclic(h: np.ndarray, period: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of stretches of at least `least` words that repeat every `period` words: all such stretches of the same
     words hold one passage, though their plain seeds may lead to a text with a shorter stretch."""
@@ -224,9 +261,10 @@ def seeds(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "seed long, doc_id long, at int")
 
 
-def window_matches(docs: DataFrame, common: DataFrame, least: int) -> DataFrame:
-    """(a, b, a_at, b_at) of windows that two texts hold and whose seeds are common (doc_id, seeds): each text's with
-    the least text's, where a run of them along both texts begins and every STEP words of it."""
+def window_links(docs: DataFrame, common: DataFrame, least: int) -> DataFrame:
+    """(a, b, a_at, b_at, begins, run) of windows that two texts hold and whose seeds are common (doc_id, seeds): each text's
+    with the least text's; all holders have the same words, so that one stands for them and none is left out. Windows
+    that follow one another along both texts are a run, which begins with the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, bodies, seeds in in_batches(3, 1, batches):
@@ -241,12 +279,79 @@ def window_matches(docs: DataFrame, common: DataFrame, least: int) -> DataFrame:
     links = posted.join(first.select("window", "first"), "window").filter("doc_id <> first.doc_id")
     links = links.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.at").alias("a_at"), F.col("at").alias("b_at"))
     along = Window.partitionBy("a", "b", F.col("b_at") - F.col("a_at")).orderBy("b_at")
-    begins = F.coalesce(F.lag("b_at").over(along) < F.col("b_at") - 1, F.lit(True))
-    return links.withColumn("begins", begins).filter(F.col("begins") | (F.col("b_at") % STEP == 0)).drop("begins")
+    links = links.withColumn("begins", F.coalesce(F.lag("b_at").over(along) < F.col("b_at") - 1, F.lit(True)))
+    return stored(links.withColumn("run", F.sum(F.col("begins").cast("int")).over(along)))
 
 
-def matches(docs: DataFrame, least: int) -> DataFrame:
-    """(a, b, a_at, b_at, whole) of equal seeds, and of equal windows, which are whole."""
+def spans(places: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """(key, doc_id, at, to, owner, first_id, first_at, first_to) of the spans of places (doc_id, places): first_id,
+    first_at, first_to are the places that lead both seeds, if they lie in one text."""
+    runs = links.groupBy("a", "b", F.col("b_at") - F.col("a_at"), "run").agg(F.min("b_at").alias("begin"), (F.max("b_at") + least).alias("end"))
+    runs = runs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("begin", "end", "a")).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, bounds = batch.column(1), batch.column(1).offsets.to_numpy()
+            at, seed, common, first, first_at = (points.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            at, seed = at.astype(np.int64), seed.view(np.uint64)
+            found = [spans_of(at[u:v], seed[u:v], common[u:v], [(r["begin"], r["end"], r["a"]) for r in held or []]) for u, v, held in zip(bounds[:-1], bounds[1:], batch.column(2).to_pylist())]
+            if found:
+                keys, i, j, owners = (np.concatenate(c) for c in zip(*found))
+                sizes = [len(f[0]) for f in found]
+                i, j = (x + np.repeat(bounds[:-1], sizes) for x in (i, j))
+                columns = (keys.view(np.int64), np.repeat(batch.column(0).to_numpy(), sizes), at[i].astype(np.int32), at[j].astype(np.int32), owners, np.where(first[i] == first[j], first[i], np.iinfo(np.int64).min), first_at[i], first_at[j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc_id", "at", "to", "owner", "first_id", "first_at", "first_to"])
+
+    return stored(mapped(places.join(runs, "doc_id", "left").select("doc_id", "places", "runs"), run, "key long, doc_id long, at int, to int, owner long, first_id long, first_at int, first_to int"))
+
+
+def meeting(links: DataFrame) -> DataFrame:
+    """(a, b, a_at, b_at), a < b, of both ends of the spans that links (x, y: doc_id, at, to) bring together."""
+    low, high = F.when(F.col("x.doc_id") < F.col("y.doc_id"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.doc_id") < F.col("y.doc_id"), F.col("y")).otherwise(F.col("x"))
+    links = links.filter("x.doc_id <> y.doc_id").select(low.alias("low"), high.alias("high"))
+    ends = F.explode(F.array(*[F.struct(F.col(f"low.{k}").alias("a_at"), F.col(f"high.{k}").alias("b_at")) for k in ("at", "to")]))
+    return links.select(F.col("low.doc_id").alias("a"), F.col("high.doc_id").alias("b"), ends.alias("m")).select("a", "b", "m.a_at", "m.b_at")
+
+
+def span_matches(spans: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, a_at, b_at) of spans that two texts hold; and (key, me, centre) of the long ones whose holders were only
+    matched with the centre."""
+    me = F.struct("doc_id", "at", "to").alias("me")
+    sizes = spans.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high")
+    held = stored(spans.join(sizes.select("key", "n"), "key"))
+    few, many = held.filter(F.col("n") <= SHARERS).select("key", me), held.filter(F.col("n") > SHARERS)
+    own = many.join(many.select("key", F.col("doc_id").alias("owner")).distinct(), ["key", "owner"], "left_anti").select("key", me, F.struct(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"), F.col("first_to").alias("to")).alias("first"))
+    heads = own.groupBy("key").agg(F.count("*").alias("n"), F.min("me").alias("centre")).filter("n > 1")
+    own = stored(own.join(heads, "key"))
+    few = few.unionByName(own.filter(F.col("n") <= PAIRED).select("key", "me"))
+    pairs = few.toDF("key", "x").join(few.toDF("key", "y"), "key").filter("x.doc_id < y.doc_id")
+    broad = own.filter(F.col("n") > PAIRED)  # where the centre is the first place of both seeds, these have matched it
+    star = broad.filter(F.col("centre") != F.col("first")).select(F.col("centre").alias("x"), F.col("me").alias("y"))
+    return meeting(pairs.select("x", "y").unionByName(star)), broad.filter(F.col("me.to") - F.col("me.at") >= least - K).select("key", "me", "centre")
+
+
+def turned(passages: DataFrame) -> DataFrame:
+    return passages.select(F.col("other_id").alias("doc_id"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("begin").alias("other_begin"), F.col("end").alias("other_end"), "n_matched")
+
+
+def without(pairs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Pairs (x, y: doc_id, at, to) whose spans lie in no passage of both."""
+    cover = [F.col("p.doc_id") == F.col("x.doc_id"), F.col("p.other_id") == F.col("y.doc_id"), F.col("p.begin") <= F.col("x.at"), F.col("x.to") + K <= F.col("p.end"), F.col("p.other_begin") <= F.col("y.at"), F.col("y.to") + K <= F.col("p.other_end")]
+    return pairs.join(passages.unionByName(turned(passages)).alias("p"), cover, "left_anti")
+
+
+def apart(broad: DataFrame, passages: DataFrame) -> DataFrame:
+    """(x, y) of the holders of one span to compare yet: those without a passage over it with its centre, each with all others."""
+    others = broad.filter(F.col("me") != F.col("centre"))
+    alone = stored(without(others.select("key", F.col("centre").alias("x"), F.col("me").alias("y")), passages).select("key", F.col("y").alias("me")))
+    cells = alone.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    left = alone.join(cells, "key").select("key", F.pmod(F.xxhash64("me"), "cells").cast("int").alias("cell"), F.col("me").alias("x"))
+    right = others.join(cells, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("me").alias("y"))
+    return without(left.join(right, ["key", "cell"]).filter("x.doc_id <> y.doc_id").select("x", "y"), passages)
+
+
+def matches(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, a_at, b_at, whole) of equal seeds and spans, and of equal windows, which are whole; and the spans that span_matches leaves."""
     found = stored(seeds(docs, least))
     places = found.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first.doc_id < last")
     shared = stored(found.join(places.drop("last"), "seed"))
@@ -254,11 +359,16 @@ def matches(docs: DataFrame, least: int) -> DataFrame:
     left, right = few.toDF("seed", "a", "a_at"), few.toDF("seed", "b", "b_at")
     pairs = left.join(right, "seed").filter("a < b").select("a", "b", "a_at", "b_at")
     star = many.filter("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("first.at").alias("a_at"), F.col("at").alias("b_at"))
-    near = F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1), lambda later, at: later - at <= least - K)
-    common = many.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"), F.array_sort(F.collect_list("at")).alias("places"))
-    common = stored(common.filter(F.exists(near, lambda x: x)).select("doc_id", "seeds"))  # a window has two such places at least
-    whole = window_matches(docs, common, least)
-    return pairs.unionByName(star).withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
+    listed = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "seed", (F.col("n") > SHARERS).alias("common"), F.col("first.doc_id").alias("first_id"), F.col("first.at").alias("first_at")))).alias("places"))
+    near = F.zip_with(F.slice("places", 2, F.size("places")), F.slice("places", 1, F.size("places") - 1), lambda later, one: (later["at"] - one["at"] <= SPAN) & (later["common"] | one["common"]))
+    listed = stored(listed.filter(F.exists(near, lambda x: x)))
+    often = F.filter("places", lambda p: p["common"])
+    close = F.zip_with(F.slice("often", 2, F.size("often")), F.slice("often", 1, F.size("often") - 1), lambda later, one: later["at"] - one["at"] <= least - K)
+    common = listed.filter(F.exists("places", lambda p: p["common"])).select("doc_id", often.alias("often")).filter(F.exists(close, lambda x: x))  # a window has two such places at least
+    links = window_links(docs, common.select("doc_id", F.array_distinct(F.col("often.seed")).alias("seeds")), least)
+    spanned, broad = span_matches(spans(listed, links, least), least)
+    whole = links.filter(F.col("begins") | (F.col("b_at") % STEP == 0)).select("a", "b", "a_at", "b_at")
+    return pairs.unionByName(star).unionByName(spanned).withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True))), broad
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,20 +410,9 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Passages of at least `least` words that a text shares with another: doc_id, begin, end (words, end exclusive),
-    other_id, other_begin, other_end, n_matched. Both texts of a pair have rows; a copy has a row with its class's
-    least id, which stands for its other passages, and that one with the greatest."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    keyed = stored(texts(docs))
-    classes = stored(keyed.filter("n_words > 0").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_words").alias("n_words")))
-    copies = keyed.join(classes.filter((F.col("rep") < F.col("last")) & (F.col("n_words") >= least)).drop("n_words"), "text_key")
-    other = F.when(F.col("doc_id") == F.col("rep"), F.col("last")).otherwise(F.col("rep"))
-    whole = copies.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end"), other.alias("other_id"), F.lit(0).cast("long").alias("other_begin"), F.col("n_words").alias("other_end"), F.col("n_words").alias("n_matched"))
-
-    again = stored(keyed.join(classes.select("text_key", "rep"), "text_key").filter("doc_id <> rep").select("doc_id").distinct())
-    single = docs.join(sent(again), "doc_id", "left_anti")
-    grouped = matches(single, least).groupBy("a", "b").agg(F.collect_set(F.struct("a_at", "b_at", "whole")).alias("matches"))
+def aligned(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Passages of the pairs of texts with the matches found (a, b, a_at, b_at, whole)."""
+    grouped = found.groupBy("a", "b").agg(F.collect_set(F.struct("a_at", "b_at", "whole")).alias("matches"))
     several = (F.size("matches") > 1) | F.exists("matches", lambda m: m["whole"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes take long to chain
     linked = stored(mapped(grouped.filter(several).select("a", "b", "matches").repartition(parts), _chain, "a long, b long, a_at array<int>, b_at array<int>"))
@@ -331,9 +430,28 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return frame.join(held.withColumnRenamed("doc_id", side), side).withColumn(f"{side}_from", low).withColumn(f"{side}_words", part).drop("words")
 
     both = slices(slices(linked, "a"), "b").select("a", "b", "a_at", "b_at", "a_from", "b_from", "a_words", "b_words")
-    passages = stored(mapped(both.repartition(parts), _align(least), PASSAGE))
-    turned = passages.select(F.col("other_id").alias("doc_id"), F.col("other_begin").alias("begin"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("begin").alias("other_begin"), F.col("end").alias("other_end"), "n_matched")
-    return whole.unionByName(passages).unionByName(turned).distinct()
+    return stored(mapped(both.repartition(parts), _align(least), PASSAGE))
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Passages of at least `least` words that a text shares with another: doc_id, begin, end (words, end exclusive),
+    other_id, other_begin, other_end, n_matched. Both texts of a pair have rows; a copy has a row with its class's
+    least id, which stands for its other passages, and that one with the greatest."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    keyed = stored(texts(docs))
+    classes = stored(keyed.filter("n_words > 0").groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_words").alias("n_words")))
+    copies = keyed.join(classes.filter((F.col("rep") < F.col("last")) & (F.col("n_words") >= least)).drop("n_words"), "text_key")
+    other = F.when(F.col("doc_id") == F.col("rep"), F.col("last")).otherwise(F.col("rep"))
+    whole = copies.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end"), other.alias("other_id"), F.lit(0).cast("long").alias("other_begin"), F.col("n_words").alias("other_end"), F.col("n_words").alias("n_matched"))
+
+    again = stored(keyed.join(classes.select("text_key", "rep"), "text_key").filter("doc_id <> rep").select("doc_id").distinct())
+    single = docs.join(sent(again), "doc_id", "left_anti")
+    found, broad = matches(single, least)
+    passages = aligned(docs, found, least)
+    rest = stored(meeting(apart(broad, passages)))
+    if not rest.isEmpty():
+        passages = passages.unionByName(aligned(docs, rest.withColumn("whole", F.lit(False)), least))
+    return whole.unionByName(passages).unionByName(turned(passages)).distinct()
 
 
 def op8_substring_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,56 @@ def test_scattered_edits(spark, gap, least):
     assert len(found) >= least * 2 * pairs
 
 
+def edited(words, every, shift, name):
+    return " ".join(f"{name}x{i}" if i % every == shift % every else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize("every", [12, 20])
+def test_common_pieces_hide_no_edited_passage(spark, every):
+    """An edited pair of 120 words, whose pieces of 25 words are held by sixty lower ids: every seed is common, no 50 words are equal."""
+    passage = prose(120, 41).split()
+    rows = [(i, f"{prose(40, 10_000 + i)} {' '.join(passage[8 * (i % 12) : 8 * (i % 12) + 25])} {prose(40, 11_000 + i)}") for i in range(60)]
+    rows += [(100, f"{prose(30, 12_000)} {' '.join(passage)} {prose(30, 12_001)}"), (101, f"{prose(30, 12_002)} {edited(passage, every, 5, 'edit')} {prose(30, 12_003)}")]
+    assert {(r.doc_id, r.other_id) for r in repeated_passages(frame(spark, rows)).collect()} == {(100, 101), (101, 100)}
+
+
+def alone(x, y):
+    """Whether two texts by themselves, all of whose equal seeds are matched, share a passage."""
+    x, y = word_hashes(x), word_hashes(y)
+    (s, p), (t, q) = minimizers(x), minimizers(y)
+    i, j = np.nonzero(s[:, None] == t[None, :])
+    points = np.array(sorted(set(zip(p[i].tolist(), q[j].tolist()))), np.int64).reshape(-1, 2)
+    found = [c for c in chains(points[:, 0], points[:, 1]) if len(c) > 1] if len(points) else []
+    return any(n >= 50 for c in found for *_, n in align(x.tolist(), y.tolist(), c))
+
+
+@pytest.mark.parametrize(("length", "paired", "cell"), [(90, 16, 1_024), (140, 2, 3)])
+def test_edited_copies_are_linked_or_meet_at_one(spark, monkeypatch, length, paired, cell):
+    """Of twelve copies with a tenth of the words edited, all pairs are found that are found with no third text about; where
+    a group is above the number that is paired at once, directly or through one with whom both share a passage."""
+    monkeypatch.setattr("palimpsest.llm.chaining.PAIRED", paired, raising=False)
+    monkeypatch.setattr("palimpsest.llm.chaining.CELL", cell, raising=False)
+    passage, r = prose(length, 42).split(), random.Random(5)
+    texts = [" ".join([prose(30, 13_000 + i), *[f"e{i}x{k}" if r.random() < 0.1 else w for k, w in enumerate(passage)], prose(30, 14_000 + i)]) for i in range(12)]
+    found = {(r.doc_id, r.other_id) for r in repeated_passages(frame(spark, list(enumerate(texts)))).collect()}
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12) if alone(texts[a], texts[b])]
+    met = [(a, b) for a, b in pairs if (a, b) in found or paired < 12 and any({(a, c), (b, c)} <= found for c in range(12))]
+    assert len(pairs) > 25 and met == pairs
+
+
+def test_holders_apart_from_the_centre_are_compared(spark, monkeypatch):
+    """Texts alike only at both ends of a stretch of 60 words, and an edited pair among them whose middle is made of common pieces."""
+    monkeypatch.setattr("palimpsest.llm.chaining.PAIRED", 3, raising=False)
+    monkeypatch.setattr("palimpsest.llm.chaining.CELL", 4, raising=False)
+    head, tail, pool = prose(15, 51), prose(15, 52), [prose(14, 60 + i) for i in range(12)]
+    order = [4, 7, 1]
+    rows = [(i, f"{prose(40, 15_000 + i)} {head} {prose(42, 16_000 + i)} {tail} {prose(40, 17_000 + i)}") for i in range(12)]
+    rows += [(20 + i, f"{prose(40, 18_000 + i)} {pool[i % 12]} {prose(40, 19_000 + i)}") for i in range(72)]
+    middle = lambda n: " ".join(f"{pool[p]} n{n}" for p in order)
+    rows += [(i, f"{prose(30, 20_000 + i)} {head} n{i} {middle(i)} {tail} {prose(30, 21_000 + i)}") for i in (200, 201)]
+    assert {(r.doc_id, r.other_id) for r in repeated_passages(frame(spark, rows)).collect()} == {(200, 201), (201, 200)}
+
+
 def test_clean_texts_are_left_alone(spark):
     line = prose(30, 77)
     rows = [(i, f"{prose(120, 9_000 + i)} {line} {prose(120, 9_500 + i)}") for i in range(300)]
