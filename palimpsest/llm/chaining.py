@@ -33,17 +33,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, mapped, read, stored, to_batch
+from .common import in_batches, in_slices, mapped, read, stored, to_batch
 from .near_dups import _hash, mixed
 
 K, WINDOW, LEAST, SHARERS = 5, 10, 50, 4
 GAP, GAP_COST, REACH, STEP = 24, 0.05, 128, 64
 #: Most words from one seed of a span to the other; most holders that are all paired at once; and those of a cell.
 SPAN, PAIRED, CELL = 72, 16, 1_024
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 IDS_SENT = 1_000_000
 PASSAGE = "doc_id long, begin long, end long, other_id long, other_begin long, other_end long, n_matched long"
@@ -53,6 +55,54 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array([_hash[w] for w in (text or "").encode("utf-8", "surrogatepass").lower().split()], np.uint64)
 
 
+def xxh64(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64, as of _hash, of many short pieces of bytes, of which each step takes all at once; those of over 31 one by one."""
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight, four = (np.ndarray(len(data) + 1 - np.dtype(t).itemsize, t, data, strides=(1,)) for t in ("<u8", "<u4"))
+    h = _PRIMES[4] + sizes.astype(np.uint64)
+    at = begins.copy()
+    for size, lanes in ((8, eight), (8, eight), (8, eight), (4, four), (1, data), (1, data), (1, data)):
+        i = np.flatnonzero(begins + sizes - at >= size)
+        lane, mine = lanes[at[i]].astype(np.uint64), h[i]
+        if size == 8:
+            mine = _turned(mine ^ (_turned(lane * _PRIMES[1], 31) * _PRIMES[0]), 27) * _PRIMES[0] + _PRIMES[3]
+        elif size == 4:
+            mine = _turned(mine ^ (lane * _PRIMES[0]), 23) * _PRIMES[1] + _PRIMES[2]
+        else:
+            mine = _turned(mine ^ (lane * _PRIMES[4]), 11) * _PRIMES[0]
+        h[i] = mine
+        at[i] += size
+    h = (h ^ (h >> np.uint64(33))) * _PRIMES[1]
+    h = (h ^ (h >> np.uint64(29))) * _PRIMES[2]
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(sizes > 31):
+        h[i] = xxhash.xxh64_intdigest(data[begins[i] : begins[i] + sizes[i]].tobytes())
+    return h
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashed(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word_hashes of many texts in a row, and the bounds of each."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(bodies, "")))
+    words = split.values
+    data, sizes = np.frombuffer(words.buffers()[2] or b"", np.uint8), pc.binary_length(words).to_numpy().astype(np.int64)
+    kept = sizes > 0
+    return xxh64(data, (np.cumsum(sizes) - sizes)[kept], sizes[kept]), np.concatenate([[0], np.cumsum(kept)])[split.offsets.to_numpy()]
+
+
+def spread(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in a row with places between them that no window of two texts can bridge: words, which of them are real, and
+    where each text begins."""
+    begins = bounds[:-1] + (K + WINDOW) * np.arange(len(bounds) - 1)
+    at = np.arange(len(h)) + np.repeat((K + WINDOW) * np.arange(len(bounds) - 1), np.diff(bounds))
+    out, real = np.zeros(len(h) + (K + WINDOW) * len(begins), np.uint64), np.zeros(len(h) + (K + WINDOW) * len(begins), bool)
+    out[at], real[at] = h, True
+    return out, real, begins
+
+
 def folded(h: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     """One hash of the n words from each of begins on."""
     total = np.full(len(begins), n, np.uint64)
@@ -61,15 +111,37 @@ def folded(h: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+def sampled_all(words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text (number) and position of all minimizers of spread texts, by text and position."""
+    n = sizes - K + 1
+    held = np.flatnonzero(n > 0)
+    if not len(held):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = folded(words, np.arange(len(words) - K + 1), K)
+    edges = np.zeros(len(total) + 1, np.int64)  # places without K words of one text are never least
+    np.add.at(edges, begins[held], 1)
+    np.add.at(edges, begins[held] + n[held], -1)
+    total[np.cumsum(edges)[:-1] == 0] = np.iinfo(np.uint64).max
+    least, where, width = total, np.arange(len(total)), 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        later = least[step:] < least[:-step]
+        least, where = np.where(later, least[step:], least[:-step]), np.where(later, where[step:], where[:-step])
+        width += step
+    windows = np.maximum(n[held] - WINDOW, 0) + 1
+    first = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    at = where[np.arange(windows.sum()) + np.repeat(begins[held] - first, windows)]
+    text = np.repeat(held, windows)
+    kept = np.concatenate([[True], at[1:] != at[:-1]])
+    at, text = at[kept], text[kept]
+    return total[at], text, at - begins[text]
+
+
 def sampled(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and position of all minimizers, by position."""
-    n = len(h) - K + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = folded(h, np.arange(n), K)
-    windows = np.lib.stride_tricks.sliding_window_view(total, min(WINDOW, n))
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return total[at], at
+    words, _, begins = spread(h, np.array([0, len(h)]))
+    found, _, at = sampled_all(words, begins, np.array([len(h)]))
+    return found, at
 
 
 def first_in_stretch(found: np.ndarray, at: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +152,25 @@ def first_in_stretch(found: np.ndarray, at: np.ndarray, stretch: int) -> tuple[n
     return found[kept], at[kept]
 
 
+def minimizers_all(h: np.ndarray, bounds: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text (number) and position of the seeds of texts in a row; of equal ones of a text the first in each stretch of
+    WINDOW positions."""
+    words, real, begins = spread(h, bounds)
+    found, text, at = sampled_all(words, begins, np.diff(bounds))
+    order = np.argsort(found, kind="stable")
+    found, text, at = found[order], text[order], at[order]
+    kept = np.ones(len(found), bool)
+    kept[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1]) | (at[1:] // WINDOW > at[:-1] // WINDOW)
+    cycles = [cyclic(words, real, period, least) for period in range(1, 5)]
+    found, places = (np.concatenate([x, *y]) for x, y in zip((found[kept], at[kept] + begins[text[kept]]), zip(*cycles)))
+    text = np.concatenate([text[kept], np.searchsorted(begins, places[kept.sum() :], "right") - 1])
+    return found, text, places - begins[text]
+
+
 def minimizers(h: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and position of a text's seeds; of equal ones the first in each stretch of WINDOW positions."""
-    found, at = sampled(h)
-    if not len(at):
-        return found, at
-    found, at = first_in_stretch(found, at, WINDOW)
-    cycles = [cyclic(h, period, least) for period in range(1, 5)]
-    return np.concatenate([found, *[c[0] for c in cycles]]), np.concatenate([at, *[c[1] for c in cycles]])
+    """Hash and position of a text's seeds."""
+    found, _, at = minimizers_all(h, np.array([0, len(h)]), least)
+    return found, at
 
 
 def windows_of(h: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +216,10 @@ def spans_of(at: np.ndarray, seeds: np.ndarray, common: np.ndarray, runs: list[t
     return [keys[kept], i[kept], j[kept], owner[kept]]
 
 
-def cyclic(h: np.ndarray, period: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of stretches of at least `least` words that repeat every `period` words: all such stretches of the same
+def cyclic(h: np.ndarray, real: np.ndarray, period: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of stretches of at least `least` real words that repeat every `period` words: all such stretches of the same
     words hold one passage, though their plain seeds may lead to a text with a shorter stretch."""
-    if len(h) < least:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    same = np.concatenate([[0], (h[period:] == h[:-period]).astype(np.int8), [0]])
+    same = np.concatenate([[0], ((h[period:] == h[:-period]) & real[period:] & real[:-period]).astype(np.int8), [0]])
     begins, ends = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1) + period
     long = ends - begins >= least
     begins = begins[long]
@@ -195,26 +276,33 @@ def chains(a: np.ndarray, b: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
+#: Words left out on both sides, fewest first.
+JUMPS = [t for d in range(1, 5) for t in [(d, d)] + [(p, q) for e in range(d) for p, q in ((d, e), (e, d))]]
+
+
 def run_on(x: Sequence[int], i: int, y: Sequence[int], j: int, step: int, credit: float = 0.0) -> tuple[int, int, int]:
     """Follows equal words from (i, j), over differences of up to four words after which three agree again; the
     last equal place and the number of equal words. Ends also where differences outweigh the equal words, of which
     `credit` lie before."""
-    matched, at = 0, (i - step, j - step)
-    inside = lambda u, v: 0 <= u < len(x) and 0 <= v < len(y)
-    while inside(i, j):
-        if x[i] == y[j]:
-            at, matched, credit = (i, j), matched + 1, min(credit + 1, 20.0)
+    matched, at, n, m = 0, (i - step, j - step), len(x), len(y)
+    while 0 <= i < n and 0 <= j < m:
+        begin = i
+        while 0 <= i < n and 0 <= j < m and x[i] == y[j]:
             i, j = i + step, j + step
+        if i != begin:
+            at, matched, credit = (i - step, j - step), matched + abs(i - begin), min(credit + abs(i - begin), 20.0)
             continue
-        for d in range(1, 5):
-            tries = [(d, d)] + [(p, q) for e in range(d) for p, q in ((d, e), (e, d))]
-            jump = next(((p, q) for p, q in tries if all(inside(i + step * (p + r), j + step * (q + r)) and x[i + step * (p + r)] == y[j + step * (q + r)] for r in range(3))), None)
-            if jump:
+        for p, q in JUMPS:
+            u, v = i + step * p, j + step * q
+            r, s = u + 2 * step, v + 2 * step
+            if 0 <= u < n and 0 <= v < m and x[u] == y[v] and 0 <= r < n and 0 <= s < m and x[r] == y[s] and x[u + step] == y[v + step]:
                 break
-        if not jump or credit < 2 * max(jump):
+        else:
+            break
+        if credit < 2 * max(p, q):
             break
-        credit -= 2 * max(jump)
-        i, j = i + step * jump[0], j + step * jump[1]
+        credit -= 2 * max(p, q)
+        i, j = u, v
     return (*at, matched)
 
 
@@ -251,12 +339,9 @@ def seeds(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(seed, doc_id, at) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies in in_batches(2, 1, batches):
-            found = [minimizers(word_hashes(t), least) for t in bodies]
-            sizes = [len(h) for h, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], ["seed", "doc_id", "at"]
-            )
+        for ids, bodies in in_slices(2, 1, batches):
+            found, text, at = minimizers_all(*hashed(bodies), least)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids.take(pa.array(text)), pa.array(at.astype(np.int32))], ["seed", "doc_id", "at"])
 
     return mapped(docs.select("doc_id", "text"), run, "seed long, doc_id long, at int")
 
@@ -267,10 +352,11 @@ def window_links(docs: DataFrame, common: DataFrame, least: int) -> DataFrame:
     that follow one another along both texts are a run, which begins with the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies, seeds in in_batches(3, 1, batches):
-            found = [windows_of(word_hashes(t), np.array(s, np.int64).view(np.uint64), least) for t, s in zip(bodies, seeds)]
+        for ids, bodies, seeds in in_slices(3, 1, batches):
+            h, bounds = hashed(bodies)
+            found = [windows_of(h[u:v], np.array(s.values).view(np.uint64), least) for u, v, s in zip(bounds[:-1], bounds[1:], seeds)]
             sizes = [len(w) for w, _ in found]
-            columns = [np.concatenate([w for w, _ in found]).view(np.int64), np.repeat(np.array(ids, np.int64), sizes), np.concatenate([p for _, p in found]).astype(np.int32)]
+            columns = [np.concatenate([w for w, _ in found]).view(np.int64), np.repeat(ids.to_numpy(), sizes), np.concatenate([p for _, p in found]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["window", "doc_id", "at"])
 
     held = docs.join(common, "doc_id").select("doc_id", "text", "seeds")
@@ -314,8 +400,8 @@ def meeting(links: DataFrame) -> DataFrame:
 
 
 def span_matches(spans: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, a_at, b_at) of spans that two texts hold; and (key, me, centre) of the long ones whose holders were only
-    matched with the centre."""
+    """(a, b, a_at, b_at) of spans that two texts hold; and (key, me, centre, n) of the long ones whose n holders were
+    only matched with the centre."""
     me = F.struct("doc_id", "at", "to").alias("me")
     sizes = spans.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high")
     held = stored(spans.join(sizes.select("key", "n"), "key"))
@@ -327,7 +413,7 @@ def span_matches(spans: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     pairs = few.toDF("key", "x").join(few.toDF("key", "y"), "key").filter("x.doc_id < y.doc_id")
     broad = own.filter(F.col("n") > PAIRED)  # where the centre is the first place of both seeds, these have matched it
     star = broad.filter(F.col("centre") != F.col("first")).select(F.col("centre").alias("x"), F.col("me").alias("y"))
-    return meeting(pairs.select("x", "y").unionByName(star)), broad.filter(F.col("me.to") - F.col("me.at") >= least - K).select("key", "me", "centre")
+    return meeting(pairs.select("x", "y").unionByName(star)), broad.filter(F.col("me.to") - F.col("me.at") >= least - K).select("key", "me", "centre", "n")
 
 
 def turned(passages: DataFrame) -> DataFrame:
@@ -340,14 +426,73 @@ def without(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     return pairs.join(passages.unionByName(turned(passages)).alias("p"), cover, "left_anti")
 
 
-def apart(broad: DataFrame, passages: DataFrame) -> DataFrame:
-    """(x, y) of the holders of one span to compare yet: those without a passage over it with its centre, each with all others."""
+def _alike(least: int):
+    """Pairs of one cell, (x of the left, y of the right), that can hold a passage: `least` words of the right lie in three words
+    in a row that the left has too, as all words that an alignment counts lie in runs of three at least; and both ends
+    of the span are near enough for a chain, or the two texts have further matches, by another key that either is alone
+    with or by a key again."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("left", "descending")]))
+        me, lone, n_left = table["me"], table["alone"].to_numpy(), pc.sum(table["left"]).as_py() or 0
+        doc = pc.struct_field(me, "doc_id").to_numpy()
+        words = [np.frombuffer(w, np.uint32) for w in table["words"].to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        codes = folded(np.concatenate([*words, np.zeros(2, np.uint32)]).astype(np.uint64), np.arange(bounds[-1]), 3)
+        keys = [np.unique(k.values) for k in table["keys"]]
+        again = pc.list_value_length(table["keys"]).to_numpy() > [len(k) for k in keys]
+        lone_keys = np.concatenate([np.isin(k, u.values) for k, u in zip(keys, table["lone"])]).astype(np.int8)
+        wide = pc.subtract(pc.struct_field(me, "to"), pc.struct_field(me, "at")).to_numpy()
+        key_at = np.cumsum([0, *[len(k) for k in keys]])
+        named, codes = np.unique(codes, return_inverse=True)
+        kinds, keys = np.unique(np.concatenate(keys), return_inverse=True)
+        for i in (1, 2):
+            codes[bounds[1:] - i] = len(named)  # none: three words of two texts
+        right, begins, held = codes[bounds[n_left] :], bounds[n_left:-1] - bounds[n_left], np.zeros(len(named) + 1, bool)
+        right_keys, key_begins, common = keys[key_at[n_left] :], key_at[n_left:-1] - key_at[n_left], np.zeros(len(kinds), np.int8)
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(n_left if len(begins) else 0):
+            mine = codes[bounds[i] : bounds[i + 1] - 2]
+            held[mine] = True
+            hit = held[right]
+            covered = hit.copy()
+            covered[1:] |= hit[:-1]
+            covered[2:] |= hit[:-2]
+            found = np.add.reduceat(covered, begins, dtype=np.int64) >= least
+            common[keys[key_at[i] : key_at[i + 1]]] = 1 + lone_keys[key_at[i] : key_at[i + 1]]
+            found &= (np.add.reduceat(common[right_keys] + lone_keys[key_at[n_left] :] > 1, key_begins, dtype=np.int64) > 1) | (GAP_COST * (wide[i] + wide[n_left:]) < K) | again[i] | again[n_left:]
+            common[keys[key_at[i] : key_at[i + 1]]] = 0
+            y.append(n_left + np.flatnonzero(found & (doc[n_left:] != doc[i]) & (~lone[n_left:] | (doc[i] < doc[n_left:]))))
+            x.append(np.full(len(y[-1]), i))
+            held[mine] = False
+        return pa.Table.from_arrays([me.take(pa.array(np.concatenate(side))) for side in (x, y)], ["x", "y"])
+
+    return run
+
+
+def apart(docs: DataFrame, broad: DataFrame, passages: DataFrame, least: int) -> DataFrame:
+    """(x, y) of the holders of one span to compare yet: those without a passage over it with its centre, each with all others.
+    Cells of CELL holders a side meet as wholes, with their words about the span, and only pairs that can hold a passage
+    leave them. A passage has K matched words in every GAP + K at least, so if it ends beyond `near` words from the
+    span, `least` of them lie within."""
     others = broad.filter(F.col("me") != F.col("centre"))
     alone = stored(without(others.select("key", F.col("centre").alias("x"), F.col("me").alias("y")), passages).select("key", F.col("y").alias("me")))
-    cells = alone.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    left = alone.join(cells, "key").select("key", F.pmod(F.xxhash64("me"), "cells").cast("int").alias("cell"), F.col("me").alias("x"))
-    right = others.join(cells, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("me").alias("y"))
-    return without(left.join(right, ["key", "cell"]).filter("x.doc_id <> y.doc_id").select("x", "y"), passages)
+    lefts = alone.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("lefts"))
+    held = others.join(lefts, "key").join(alone.withColumn("alone", F.lit(True)), ["key", "me"], "left").select("key", "me", F.coalesce("alone", F.lit(False)).alias("alone"), "lefts", F.ceil(F.col("n") / CELL).cast("int").alias("rights"))
+    held = stored(held)
+    near = (least + K) * (GAP + K) // K + 4
+    low = F.greatest(F.lit(0), F.col("me.at") - near)
+    keys = stored(held.groupBy("me.doc_id").agg(F.collect_list("key").alias("keys"), F.collect_set(F.when(F.col("alone"), F.col("key"))).alias("lone")))
+    texts = worded(docs, keys.select("doc_id")).join(keys, "doc_id").withColumnRenamed("doc_id", "id")
+    held = held.join(texts, F.col("me.doc_id") == F.col("id")).withColumn("words", F.substring("words", 4 * low + 1, 4 * (F.col("me.to") + K + near - low)))
+    held = held.filter(F.length("words") >= 4 * K)  # shorter only where an id has several texts
+    dealt = lambda cells: F.pmod(F.xxhash64("me"), cells).cast("int")
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), dealt("rights").alias("j")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.struct(F.lit(True).alias("left"), dealt("lefts").alias("i"), j.alias("j")))
+    cells = held.select("key", "me", "alone", "words", "keys", "lone", F.explode(F.when(F.col("alone"), F.concat(as_right, as_left)).otherwise(as_right)).alias("cell"))
+    cells = cells.select("key", "cell.i", "cell.j", "cell.left", "me", "alone", "words", "keys", "lone")
+    place = "struct<doc_id: long, at: int, to: int>"
+    return without(cells.groupBy("key", "i", "j").applyInArrow(_alike(least), f"x {place}, y {place}"), passages)
 
 
 def matches(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -410,6 +555,18 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
 
 
+def worded(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, words) of the texts with the stored ids; a word is the lower four bytes of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, bodies in in_slices(2, 1, batches):
+            h, bounds = hashed(bodies)
+            words = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(h.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([held, words], ["doc_id", "words"])
+
+    return mapped(docs.join(sent(ids), "doc_id", "left_semi"), run, "doc_id long, words binary")
+
+
 def aligned(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """Passages of the pairs of texts with the matches found (a, b, a_at, b_at, whole)."""
     grouped = found.groupBy("a", "b").agg(F.collect_set(F.struct("a_at", "b_at", "whole")).alias("matches"))
@@ -418,11 +575,7 @@ def aligned(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     linked = stored(mapped(grouped.filter(several).select("a", "b", "matches").repartition(parts), _chain, "a long, b long, a_at array<int>, b_at array<int>"))
     needed = stored(linked.select(F.col("a").alias("doc_id")).union(linked.select("b")).distinct())
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, bodies in in_batches(2, 1, batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([word_hashes(t).astype("<u4").tobytes() for t in bodies], pa.binary())], ["doc_id", "words"])
-
-    held = mapped(docs.join(sent(needed), "doc_id", "left_semi"), words, "doc_id long, words binary")
+    held = worded(docs, needed)
 
     def slices(frame: DataFrame, side: str) -> DataFrame:
         low = F.greatest(F.lit(0), F.array_min(f"{side}_at") - REACH)
@@ -448,7 +601,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     single = docs.join(sent(again), "doc_id", "left_anti")
     found, broad = matches(single, least)
     passages = aligned(docs, found, least)
-    rest = stored(meeting(apart(broad, passages)))
+    rest = stored(meeting(apart(docs, broad, passages, least)))
     if not rest.isEmpty():
         passages = passages.unionByName(aligned(docs, rest.withColumn("whole", F.lit(False)), least))
     return whole.unionByName(passages).unionByName(turned(passages)).distinct()

@@ -57,19 +57,25 @@ def mapped(frame: DataFrame, run: Mapper, schema: str) -> DataFrame:
     return frame.mapInArrow(task, schema)
 
 
-def in_batches(columns: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """Python columns of at most about CHUNK_CHARS characters of text at a time; one long text may exceed it alone."""
+def in_slices(columns: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of at most about CHUNK_CHARS characters of text at a time; one long text may exceed it alone."""
     for batch in batches:
         cols = [batch.column(i) for i in range(columns)]
         lengths = pc.fill_null(pc.binary_length(cols[text_at]), 0).to_pylist()
         begin, size = 0, 0
         for i, n in enumerate(lengths):
             if i > begin and size + n > CHUNK_CHARS:
-                yield [c.slice(begin, i - begin).to_pylist() for c in cols]
+                yield [c.slice(begin, i - begin) for c in cols]
                 begin, size = i, 0
             size += n
         if lengths:
-            yield [c.slice(begin).to_pylist() for c in cols]
+            yield [c.slice(begin) for c in cols]
+
+
+def in_batches(columns: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of in_slices as Python lists."""
+    for cols in in_slices(columns, text_at, batches):
+        yield [c.to_pylist() for c in cols]
 
 
 def to_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -2,9 +2,11 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from palimpsest.llm import chaining
 from palimpsest.llm.chaining import GAP_COST, K, Fenwick, align, chains, minimizers, repeated_passages, word_hashes
 
 from pyspark.sql import functions as F
@@ -167,6 +169,51 @@ def test_holders_apart_from_the_centre_are_compared(spark, monkeypatch):
     assert {(r.doc_id, r.other_id) for r in repeated_passages(frame(spark, rows)).collect()} == {(200, 201), (201, 200)}
 
 
+def test_many_with_two_everyday_lines_are_not_paired(spark, monkeypatch):
+    """Sixty texts alike only in a line of 20 words at either end of 30 others: of 59 apart from the centre no pair is joined."""
+    links = []
+    plain = chaining.meeting
+    monkeypatch.setattr(chaining, "meeting", lambda found: links.append(found.count()) or plain(found))
+    head, tail = prose(20, 81), prose(20, 82)
+    rows = [(i, f"{prose(40, 22_000 + i)} {head} {prose(30, 23_000 + i)} {tail} {prose(40, 24_000 + i)}") for i in range(60)]
+    assert repeated_passages(frame(spark, rows)).count() == 0
+    assert links[0] > 0 and links[-1] == 0
+
+
+def test_pairs_of_a_cell_by_their_words():
+    """Against a count of each pair's words that lie in three the other has too, and of the keys that lead to both."""
+    r = random.Random(9)
+    words = [[r.randrange(4) for _ in range(r.randint(K, 40))] for _ in range(24)]
+    left, lone, doc = [i < 9 for i in range(24)], [i < 9 or r.random() < 0.3 for i in range(24)], [r.randrange(14) for _ in range(24)]
+    wide = [r.choice([45, 50, 70]) for _ in range(24)]
+    keys = [sorted(r.sample(range(8), r.randint(1, 3))) + [0] * (r.random() < 0.1) for _ in range(24)]
+    only = [[k for k in set(k) if r.random() < 0.4] for k in keys]
+    me = [{"doc_id": d, "at": i, "to": i + w} for i, (d, w) in enumerate(zip(doc, wide))]
+    table = pa.table({"left": left, "me": pa.array(me, pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("to", pa.int32())])), "alone": lone, "words": pa.array([np.array(w, "<u4").tobytes() for w in words]), "keys": pa.array(keys, pa.list_(pa.int64())), "lone": pa.array(only, pa.list_(pa.int64()))})
+    table = table.take(pa.array(r.sample(range(24), 24)))
+
+    def linked(x, y):
+        runs = {tuple(words[x][i : i + 3]) for i in range(len(words[x]) - 2)}
+        covered = {i + k for i in range(len(words[y]) - 2) if tuple(words[y][i : i + 3]) in runs for k in range(3)}
+        shared = {k for k in keys[x] if k in keys[y] and (k in only[x] or k in only[y])}
+        chained = len(shared) > 1 or GAP_COST * (wide[x] + wide[y]) < K or any(len(set(keys[i])) < len(keys[i]) for i in (x, y))
+        return len(covered) >= 12 and chained and doc[x] != doc[y] and (not lone[y] or doc[x] < doc[y])
+
+    found = chaining._alike(12)(table).to_pylist()
+    expected = {(x, y) for x in range(9) for y in range(9, 24) if linked(x, y)}
+    assert {(f["x"]["at"], f["y"]["at"]) for f in found} == expected and len(found) == len(expected) > 5
+
+
+def test_words_and_seeds_of_many_texts_at_once(texts):
+    more = ["was " * 60, "a b " * 30 + "c d e", " \t\x0b\x1cx\u00a0y  ", *[" ".join(f"w{i}" for i in range(n)) for n in range(18)], *["é" * n + "Q" * (n % 3) for n in range(1, 40)], prose(90, 83)]
+    h, bounds = chaining.hashed(pa.array([*texts, *more], pa.string()))
+    found, text, at = chaining.minimizers_all(h, bounds)
+    for i, t in enumerate([*texts, *more]):
+        assert h[bounds[i] : bounds[i + 1]].tolist() == word_hashes(t).tolist()
+        alone = minimizers(word_hashes(t))
+        assert sorted(zip(*(x[text == i].tolist() for x in (found, at)))) == sorted(zip(*(x.tolist() for x in alone)))
+
+
 def test_clean_texts_are_left_alone(spark):
     line = prose(30, 77)
     rows = [(i, f"{prose(120, 9_000 + i)} {line} {prose(120, 9_500 + i)}") for i in range(300)]
