@@ -460,7 +460,7 @@ def _alike(least: int):
             covered[2:] |= hit[:-2]
             found = np.add.reduceat(covered, begins, dtype=np.int64) >= least
             common[keys[key_at[i] : key_at[i + 1]]] = 1 + lone_keys[key_at[i] : key_at[i + 1]]
-            found &= (np.add.reduceat(common[right_keys] + lone_keys[key_at[n_left] :] > 1, key_begins, dtype=np.int64) > 1) | (GAP_COST * (wide[i] + wide[n_left:]) < K) | again[i] | again[n_left:]
+            found &= (np.add.reduceat(common[right_keys] + lone_keys[key_at[n_left] :] > 1, key_begins, dtype=np.int64) > 1) | (GAP_COST * (wide[i] + wide[n_left:]) <= K) | again[i] | again[n_left:]
             common[keys[key_at[i] : key_at[i + 1]]] = 0
             y.append(n_left + np.flatnonzero(found & (doc[n_left:] != doc[i]) & (~lone[n_left:] | (doc[i] < doc[n_left:]))))
             x.append(np.full(len(y[-1]), i))

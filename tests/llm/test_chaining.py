@@ -196,7 +196,7 @@ def test_pairs_of_a_cell_by_their_words():
         runs = {tuple(words[x][i : i + 3]) for i in range(len(words[x]) - 2)}
         covered = {i + k for i in range(len(words[y]) - 2) if tuple(words[y][i : i + 3]) in runs for k in range(3)}
         shared = {k for k in keys[x] if k in keys[y] and (k in only[x] or k in only[y])}
-        chained = len(shared) > 1 or GAP_COST * (wide[x] + wide[y]) < K or any(len(set(keys[i])) < len(keys[i]) for i in (x, y))
+        chained = len(shared) > 1 or GAP_COST * (wide[x] + wide[y]) <= K or any(len(set(keys[i])) < len(keys[i]) for i in (x, y))
         return len(covered) >= 12 and chained and doc[x] != doc[y] and (not lone[y] or doc[x] < doc[y])
 
     found = chaining._alike(12)(table).to_pylist()
