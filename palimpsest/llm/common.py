@@ -45,6 +45,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(frame: DataFrame) -> DataFrame:
+    """The frame as a side of a join that both sides are shuffled for. For tables that grow with the input: Spark sizes a stored
+    frame by its compressed file, a column by its type and an explode not at all, and would broadcast what it so takes for small."""
+    return frame.hint("merge")
+
+
 def mapped(frame: DataFrame, run: Mapper, schema: str) -> DataFrame:
     """frame.mapInArrow(run, schema), with the session's Arrow batches bounded in bytes, as whole texts can be long; what
     a task's batches took is given back when it ends."""

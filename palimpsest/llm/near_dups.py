@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, mapped, read, stored, to_batch
+from .common import in_batches, mapped, read, shuffled, stored, to_batch
 from .components import components
 
 WIDTH, PERCENT = 5, 85
@@ -112,7 +112,7 @@ def postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(coordinate, value, rep, n): each class under its rarest shared coordinate values."""
     each = classes.select("rep", "n", F.posexplode("sig").alias("coordinate", "value"))
     shared = each.groupBy("coordinate", "value").agg(F.count("*").alias("df")).filter("df > 1")
-    held = each.join(shared, ["coordinate", "value"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("held"))
+    held = each.join(shuffled(shared), ["coordinate", "value"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "coordinate", "value"))).alias("held"))
     least = matches(percent)
     prefix = F.slice("held", 1, F.size("held") - least + 1)
     return held.filter(F.size("held") >= least).select("rep", "n", F.explode(prefix).alias("p")).select("p.coordinate", "p.value", "rep", "n")
@@ -125,7 +125,7 @@ def in_blocks(rows: DataFrame, group: list[str], size: int) -> DataFrame:
     """
     sizes = rows.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n > 1")
     blocks = F.ceil(F.col("__n") / size).cast("int")
-    dealt = rows.join(sizes.select(*group, blocks.alias("__blocks")), group).withColumn("__mine", F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
+    dealt = rows.join(shuffled(sizes.select(*group, blocks.alias("__blocks"))), group).withColumn("__mine", F.pmod(F.xxhash64("rep"), F.col("__blocks")).cast("int"))
     cells = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     cell = F.xxhash64(*group, F.least("__mine", "__other"), F.greatest("__mine", "__other"))
     return cells.withColumn("cell", cell).withColumn("left", F.col("__mine") <= F.col("__other")).withColumn("right", F.col("__mine") >= F.col("__other"))
@@ -207,14 +207,14 @@ def _by_sets(cell: pa.Table, left: np.ndarray, right: np.ndarray, percent: int):
 def alike(posted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs that agree in matches(percent) coordinates."""
     cells = in_blocks(posted, ["coordinate", "value"], LIST_BLOCK).select("cell", "left", "right", "rep", "n")
-    signed = cells.join(classes.select("rep", "sig"), "rep").select("cell", "left", "right", "rep", "n", "sig")
+    signed = cells.join(shuffled(classes.select("rep", "sig")), "rep").select("cell", "left", "right", "rep", "n", "sig")
     return mapped(signed.repartition("cell").sortWithinPartitions("cell"), _edges(_by_signature, percent), "a long, b long").distinct()
 
 
 def linked(families: DataFrame, docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs in one family (rep, family) with full sets as similar as asked."""
     families = stored(families)
-    sent = F.broadcast if families.count() <= IDS_SENT else lambda frame: frame
+    sent = F.broadcast if families.count() <= IDS_SENT else shuffled
     schema = pa.schema([("rep", pa.int64()), ("set_key", pa.binary()), ("hashes", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +224,8 @@ def linked(families: DataFrame, docs: DataFrame, members: DataFrame, percent: in
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent(families.select("rep")), "rep", "left_semi")
     held = mapped(texts, sets, "rep long, set_key binary, hashes binary")
-    held = held.join(sent(members.join(families, "rep", "left_semi")), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
-    rows = in_blocks(families, ["family"], SET_BLOCK).select("cell", "left", "right", "rep").join(held.select("rep", "hashes"), "rep")
+    held = held.join(sent(members.join(sent(families), "rep", "left_semi")), ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
+    rows = in_blocks(families, ["family"], SET_BLOCK).select("cell", "left", "right", "rep").join(shuffled(held.select("rep", "hashes")), "rep")
     return mapped(rows.select("cell", "left", "right", "rep", "hashes").repartition("cell").sortWithinPartitions("cell"), _edges(_by_sets, percent), "a long, b long")
 
 
@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     roots = near.select(F.col("id").alias("rep"), F.col("root").alias("family"))
     families = roots.unionByName(near.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct())
     roots = components(linked(families, docs, members, percent))
-    component = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
-    out = signed.join(component, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    component = members.join(shuffled(roots.withColumnRenamed("id", "rep")), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+    out = signed.join(shuffled(component), "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -272,7 +272,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     judged = stored(near_duplicates(docs.select("doc_id", "text"), percent))
     ids = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = stored(ids.filter("not kept").select("doc_id"))
-    left = docs.join(F.broadcast(gone) if gone.count() <= IDS_SENT else gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(F.broadcast(gone) if gone.count() <= IDS_SENT else shuffled(gone), "doc_id", "left_anti").select(docs.columns)
     if ids.filter("kept and n > 1").limit(1).count():
         one = Window.partitionBy("doc_id", F.xxhash64("text"), "text").orderBy(F.lit(0))
         again = left.filter("doc_id is not null").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")

@@ -4,7 +4,7 @@ import random
 import corpus_pipeline
 from palimpsest.llm import components as components_module
 from palimpsest.llm.components import components
-from palimpsest.llm.near_dups import drop_near_duplicates, matches, near_duplicates
+from palimpsest.llm.near_dups import COORDINATES, alike, drop_near_duplicates, matches, near_duplicates, postings
 
 from .conftest import prose
 
@@ -98,3 +98,13 @@ def test_hubs_have_the_components_of_all_edges(spark, monkeypatch):
         root[b] = a
     got = {row.id: row.root for row in components_module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_tables_that_grow_are_not_broadcast_by_their_estimated_size(spark):
+    """Postings explode each class COORDINATES-fold, which Spark's sizes leave out; a broadcast of them fills the driver."""
+    classes = spark.range(1_000).selectExpr("id as rep", "50L as n", "cast(cast(id as string) as binary) as set_key", f"transform(sequence(1, {COORDINATES}), x -> int(id div 2)) as sig")
+    posted = postings(classes, 80)
+    for frame in (posted, alike(posted, classes, 80)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.a, r.b) for r in alike(posted, classes, 80).collect()} == {(i, i + 1) for i in range(0, 1_000, 2)}
