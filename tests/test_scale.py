@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palimpsest import plans
-from palimpsest.operators import features, sponsors, survival, text_svd
-from palimpsest.plans import sponsor_queries
+from palimpsest.operators import cohort, features, sponsors, survival, text_svd
+from palimpsest.plans import registry, sponsor_queries
 
 D = date.fromisoformat
 
@@ -78,3 +78,14 @@ def test_pages_pass_to_python_in_batches_of_few_bytes(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     plans.QUERIES["normalized_texts"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_landmark_states_take_one_shuffle_and_give_the_kept_rows(spark):
+    held = registry.versions(spark, "/root/testdata/sf0.001", dealt=True)
+    for before in (None, D("1998-01-01")):
+        log = cohort.landmark_states(held, registry.STUDY, before)
+        plan = log._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        columns = ("trial_id", "landmark_index", "landmark_date", "event", "event_date")
+        want = cohort.landmarks(held, registry.STUDY, before).filter("excluded is null").select(*columns)
+        assert sorted(cohort.kept_rows(log).select(*columns).collect()) == sorted(want.collect()) != []
