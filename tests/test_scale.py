@@ -89,3 +89,10 @@ def test_landmark_states_take_one_shuffle_and_give_the_kept_rows(spark):
         columns = ("trial_id", "landmark_index", "landmark_date", "event", "event_date")
         want = cohort.landmarks(held, registry.STUDY, before).filter("excluded is null").select(*columns)
         assert sorted(cohort.kept_rows(log).select(*columns).collect()) == sorted(want.collect()) != []
+
+
+def test_a_key_is_dealt_whole_for_its_aliases(spark):
+    rows = [(D("2000-01-01"), sponsors.REPLACEMENT, "a", "b", 1, None), (D("2000-01-02"), sponsors.REPLACEMENT, "a", "b", 2, None)]
+    found = sponsors.alias_candidates(spark.createDataFrame(rows, sponsors.EVENT))
+    assert "Join" not in planned(found)  # rows of a join may be split, and the repartition after it left out
+    assert [(r.key, r.to) for r in found.collect()] == [("a", "b")]
